@@ -24,7 +24,10 @@ def solution_stats(feedback: DataFrame) -> DataFrame:
 
 def with_stats(kb: DataFrame, feedback: DataFrame) -> DataFrame:
     """Knowledge rows with coalesced statistics; ``raw_rate`` stays null for unrated rows."""
-    s = solution_stats(feedback)
+    return join_stats(kb, solution_stats(feedback))
+
+
+def join_stats(kb: DataFrame, s: DataFrame) -> DataFrame:
     return (
         kb.join(s, kb["error_hash"] == s["solution_hash"], "left")
         .drop("solution_hash")
