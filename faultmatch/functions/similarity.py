@@ -50,16 +50,19 @@ def long_words(c: Column | str) -> Column:
 def word_match(query_word: Column, target_words: Column) -> Column:
     """0.9 for an equal word, else 0.7 of the best similarity above 0.8."""
 
-    def near(word: Column) -> Column:
+    def nearest(best: Column, word: Column) -> Column:
         longest = F.greatest(F.length(query_word), F.length(word))
-        gap = F.abs(F.length(query_word) - F.length(word))
+        return F.greatest(best, 1.0 - F.levenshtein(query_word, word) / longest)
+
+    def comparable(word: Column) -> Column:
         # a length gap of a fifth already rules out a similarity above 0.8
-        sim = F.when(gap * 5 < longest, 1.0 - F.levenshtein(query_word, word) / longest).otherwise(0.0)
-        return F.when(sim > 0.8, sim * 0.7).otherwise(0.0)
+        gap = F.abs(F.length(query_word) - F.length(word))
+        return gap * 5 < F.greatest(F.length(query_word), F.length(word))
 
-    return F.when(F.array_contains(target_words, query_word), 0.9).otherwise(
-        F.coalesce(F.array_max(F.transform(target_words, near)), F.lit(0.0))
+    near = F.aggregate(
+        F.filter(target_words, comparable), F.lit(0.0), nearest, lambda best: F.when(best > 0.8, best * 0.7).otherwise(0.0)
     )
+    return F.when(F.array_contains(target_words, query_word), 0.9).otherwise(near)
 
 
 def fuzzy_score(
@@ -92,8 +95,12 @@ def ngrams(c: Column | str, n: int = 3) -> Column:
 def jaccard(a: Column | str, b: Column | str) -> Column:
     """Overlap share of two distinct sets given as arrays; 0 when either is empty."""
     a, b = col(a), col(b)
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
+    total = F.size(a) + F.size(b)
+    # the fold binds the overlap, so that the intersection is built once
+    share = F.aggregate(
+        F.array(F.size(F.array_intersect(a, b))), F.lit(0), lambda s, n: s + n, lambda n: n / (total - n)
+    )
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), share).otherwise(0.0)
 
 
 def ngram_similarity(a: Column | str, b: Column | str, n: int = 3) -> Column:

@@ -47,3 +47,16 @@ def running_sums(
         .withColumns({n: F.col(f"_o_{n}") + F.sum(v).over(inside) for n, v in sums.items()})
         .drop("_bucket", *[f"_o_{n}" for n in sums])
     )
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], spread_by: str, salts: int = 16) -> DataFrame:
+    """Inner join whose hot keys are split.
+
+    ``many`` may hold any share of its rows under one key; ``few`` has a bounded
+    number of rows per key.  The rows of ``many`` take one of ``salts`` salts from
+    ``spread_by`` and ``few`` is repeated for each, so one key spreads over up to
+    ``salts`` tasks.
+    """
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right.hint("shuffle_hash"), [*keys, "_salt"]).drop("_salt")

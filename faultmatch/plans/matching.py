@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from faultmatch import fixed_values as fv
 from faultmatch.functions import scoring as sc, similarity as sim, text as tx
 from faultmatch.operators import audit, candidates as ca, feedback as fb, vectors as ve
-from faultmatch.operators.ranking import top_k
+from faultmatch.operators.ranking import salted_join, top_k
 from faultmatch.session import cut
 
 RESULT = [
@@ -86,7 +86,7 @@ def keyword_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
         .drop("term")
     )
     hits = ca.any_token(expanded, kb, ["error_signature"], ca.by_rate(), fv.KEYWORD_CANDIDATES)
-    rows = expanded.drop("tokens").join(_payload(kb, hits), "terms_key")
+    rows = salted_join(expanded.drop("tokens"), _payload(kb, hits), ["terms_key"], "signature")
 
     def fuzzy(target: str, words: str) -> Column:
         return sim.fuzzy_score("signature", target, "q_words", words, "q_terms")
@@ -100,8 +100,9 @@ def keyword_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
     scored = rows.select(
         "signature", "term_no", "rank", "error_hash", "resolution_steps", "success_rate", "feedback_count",
         score.alias("score"),
-    ).filter(F.col("score") > 0.4)
-    best = top_k(scored, ["signature"], [F.col("score").desc(), F.col("term_no"), F.col("rank")], 1)
+    )
+    # the threshold comes after the choice: pushed below it, it would score every pair twice
+    best = top_k(scored, ["signature"], [F.col("score").desc(), F.col("term_no"), F.col("rank")], 1).filter("score > 0.4")
     return _result(
         queries.select("query_id", "signature").join(best, "signature"),
         "enhanced_fuzzy_keyword", F.least(F.lit(0.95), F.col("score")),
@@ -117,7 +118,7 @@ def fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
         .withColumn("terms_key", ca.term_key("tokens"))
     )
     hits = ca.any_token(texts, kb, ["error_text"], ca.by_newest(), fv.FUZZY_CANDIDATES)
-    rows = texts.drop("tokens").join(_payload(kb, hits, text_grams=True), "terms_key")
+    rows = salted_join(texts.drop("tokens"), _payload(kb, hits, text_grams=True), ["terms_key"], "clean_text")
 
     def mixed(target: str, words: str, grams: str) -> Column:
         fuzzy = sim.fuzzy_score("clean_text", target, "q_words", words, "q_terms")
@@ -128,8 +129,8 @@ def fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
     scored = rows.select(
         "clean_text", "rank", "error_hash", "resolution_steps", "success_rate", "feedback_count",
         F.round(similarity + bonus, 9).alias("score"),
-    ).filter(F.col("score") > 0.5)
-    best = top_k(scored, ["clean_text"], [F.col("score").desc(), F.col("rank")], 1)
+    )
+    best = top_k(scored, ["clean_text"], [F.col("score").desc(), F.col("rank")], 1).filter("score > 0.5")
     return _result(
         queries.select("query_id", "clean_text").join(best, "clean_text"),
         "enhanced_fuzzy_search", F.least(F.lit(0.95), F.col("score")),
@@ -188,7 +189,7 @@ def vector_fuzzy_match(queries: DataFrame, kb: DataFrame, vectors: DataFrame) ->
     n = F.least(F.size("unit"), F.size("kb_unit"))
     cosine = sim.dot(F.slice("unit", F.lit(1), n), F.slice("kb_unit", F.lit(1), n))
     near = (
-        asked.drop("tokens").join(pool, "terms_key").withColumn("cosine", cosine)
+        salted_join(asked.drop("tokens"), pool, ["terms_key"], "query_id").withColumn("cosine", cosine)
         .filter(F.col("cosine") >= fv.VECTOR_MIN_COSINE)
         .drop("unit", "kb_unit")
     )
@@ -361,10 +362,10 @@ def suggestions(queries: DataFrame, kb: DataFrame) -> DataFrame:
         .filter((F.col("close") > 0.3) & (F.col("close") < 0.7))
         .groupBy("clean_text")
         .agg(F.sort_array(F.collect_list(F.struct("n", short.alias("line")))).alias("rows"))
-        .select("clean_text", F.array_join(F.transform(F.slice("rows", 1, 2), lambda r: r["line"]), "; ").alias("similar"))
+        .select("clean_text", F.array_join(F.transform(F.slice("rows", 1, 2), lambda r: r["line"]), "; ").alias("similar_errors"))
     )
     found = texts.join(similar, "clean_text", "left").select(
-        "clean_text", "alternatives", F.coalesce("similar", F.lit("")).alias("similar")
+        "clean_text", "alternatives", F.coalesce("similar_errors", F.lit("")).alias("similar_errors")
     )
     return queries.select("query_id", "clean_text").join(found, "clean_text").drop("clean_text")
 

@@ -321,10 +321,10 @@ register(
     "m18_suggestions",
     lambda f: mt.suggestions(asked(f).select("query_id", "clean_text"), f.kb_texts),
     o.sql(
-        f"""SELECT a.query_id, alternatives, coalesce(similar, '') AS similar FROM (
+        f"""SELECT a.query_id, alternatives, coalesce(similar_errors, '') AS similar_errors FROM (
         SELECT query_id, clean_text, CASE WHEN len(ex) > 1 THEN coalesce(array_to_string(list_filter(list_slice(ex, 1, 3), lambda t: t <> lower(clean_text)), ', '), '') ELSE '' END AS alternatives
         FROM (SELECT query_id, clean_text, {o.ordered_distinct('raw_ex')} AS ex FROM (SELECT query_id, clean_text, {o.expand('clean_text')} AS raw_ex FROM asked))) a
-        LEFT JOIN (SELECT clean_text, string_agg(line, '; ' ORDER BY n) AS similar FROM (
+        LEFT JOIN (SELECT clean_text, string_agg(line, '; ' ORDER BY n) AS similar_errors FROM (
           SELECT clean_text, n, CASE WHEN length(error_signature) > 60 THEN substring(error_signature, 1, 57) || '...' ELSE error_signature END AS line,
           row_number() OVER (PARTITION BY clean_text ORDER BY n) AS pos FROM (
           SELECT * FROM (SELECT clean_text, error_signature, n, round({o.jaccard('a', 'b')}, 9) AS close FROM (

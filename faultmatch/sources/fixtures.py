@@ -114,17 +114,23 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._load(name)
+        return self._tables[name]
+
+    def _load(self, name: str) -> DataFrame:
         if name in GIVEN:
             df = self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
             for field in df.schema.fields:
                 if field.dataType.typeName() == "timestamp_ntz":
                     df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
             return df
-        return self.view(name)
+        return self._view(name)
 
-    def view(self, name: str) -> DataFrame:
+    def _view(self, name: str) -> DataFrame:
         sql = VIEWS[name]
         used = [n for n in GIVEN + list(VIEWS) if "{%s}" % n in sql]
         return self.spark.sql(sql, **{n: self.table(n) for n in used})
@@ -134,7 +140,7 @@ class Fixtures:
         """Knowledge base: texts, signature, hash, steps, embedding."""
         vectors = self.table("embeddings").select(F.col("vec_id").cast("string").alias("kb_id"), "embedding")
         return (
-            self.view("kb_raw")
+            self.table("kb_raw")
             .withColumn("error_signature", tx.normalize("error_text"))
             .withColumn("error_hash", tx.fingerprint("error_signature"))
             .withColumn("resolution_steps", tx.teach_steps("steps_text"))
@@ -145,7 +151,7 @@ class Fixtures:
     def kb_texts(self) -> DataFrame:
         """The knowledge base without its embeddings."""
         return (
-            self.view("kb_raw")
+            self.table("kb_raw")
             .withColumn("error_signature", tx.normalize("error_text"))
             .withColumn("error_hash", tx.fingerprint("error_signature"))
             .withColumn("resolution_steps", tx.teach_steps("steps_text"))
@@ -154,11 +160,11 @@ class Fixtures:
     @cached_property
     def feedback(self) -> DataFrame:
         hashes = self.kb_texts.select("kb_id", F.col("error_hash").alias("solution_hash"), "error_signature")
-        return self.view("feedback_raw").join(hashes, "kb_id").drop("kb_id")
+        return self.table("feedback_raw").join(hashes, "kb_id").drop("kb_id")
 
     @cached_property
     def incoming(self) -> DataFrame:
-        return self.view("incoming")
+        return self.table("incoming")
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -174,7 +180,7 @@ class Fixtures:
     def security_log(self) -> DataFrame:
         from faultmatch.functions import security as sec
 
-        return self.view("security_raw").withColumn("severity", sec.severity("event_type"))
+        return self.table("security_raw").withColumn("severity", sec.severity("event_type"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS or name in GIVEN:
