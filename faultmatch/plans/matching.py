@@ -233,6 +233,71 @@ def strict_keyword_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
     )
 
 
+def simple_fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
+    """Best fuzzy total above 0.6 among the newest 500 knowledge rows.
+
+    The word score is summed over joins on words instead of comparing every
+    query with every row.  A pair without a similar word can only qualify when
+    the query is a fragment (no whole word inside it, or a single word); those
+    meet the rows on character grams.
+    """
+    newest = kb.filter(F.col("error_text").isNotNull()).orderBy(*ca.by_newest()).limit(fv.SIMPLE_FUZZY_ROWS)
+    newest = newest.select(
+        "kb_id", "error_hash", "created_at", "error_text", "resolution_steps", sim.ngrams("error_text").alias("t_grams")
+    )
+    texts = (
+        queries.filter(~tx.is_blank("clean_text")).select("clean_text").distinct()
+        .withColumn("q_words", sim.long_words("clean_text"))
+        .withColumn("parts", F.split(F.lower("clean_text"), " "))
+    )
+    words = texts.select("clean_text", F.explode("q_words").alias("word")).groupBy("clean_text", "word").agg(
+        F.count("*").alias("times")
+    )
+    targets = newest.select("kb_id", F.explode(F.array_distinct(sim.long_words("error_text"))).alias("target"))
+    near = ca.near_words(words.select("word").distinct(), targets.select("target").distinct())
+    best = (
+        words.join(near.join(targets, "target").groupBy("word", "kb_id").agg(F.max("value").alias("value")), "word")
+        .groupBy("clean_text", "kb_id")
+        .agg(F.sum(F.col("value") * F.col("times")).alias("word_sum"))
+    )
+
+    inner = F.filter(F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(0))), lambda w: F.length(w) > 2)
+    fragments = texts.filter((F.size("q_words") <= 1) | (F.size(inner) == 0)).select("clean_text")
+    lower = F.lower("clean_text")
+    size = F.least(F.lit(3), F.length("clean_text"))
+    q_grams = F.when(size < 3, F.array(lower)).otherwise(sim.ngrams("clean_text"))
+    row_grams = None
+    for n in (1, 2, 3):
+        g = newest.select("kb_id", F.explode(sim.ngrams("error_text", n)).alias("gram"))
+        row_grams = g if row_grams is None else row_grams.unionByName(g)
+    loose = (
+        fragments.select("clean_text", F.explode(q_grams).alias("gram")).join(row_grams, "gram")
+        .select("clean_text", "kb_id", F.lit(0.0).alias("word_sum")).distinct()
+    )
+    pairs = best.unionByName(loose).groupBy("clean_text", "kb_id").agg(F.max("word_sum").alias("word_sum"))
+
+    prepared = texts.select(
+        "clean_text", F.size("q_words").alias("n"), sim.expand("clean_text").alias("q_terms"),
+        sim.ngrams("clean_text").alias("q_grams"),
+    )
+    rows = pairs.join(prepared, "clean_text").join(newest, "kb_id")
+    target = F.lower("error_text")
+    bonus = F.when(F.exists("q_terms", lambda t: F.contains(target, t)), 0.5).otherwise(0.0)
+    word_score = F.least(F.lit(1.0), (F.col("word_sum") + bonus) / F.greatest(F.lit(1), F.col("n")))
+    scored = rows.select(
+        "clean_text", "kb_id", "error_hash", "created_at", "resolution_steps", "error_text",
+        F.when(F.contains(target, lower), 1.0).otherwise(word_score).alias("fuzzy"),
+        sim.jaccard("q_grams", "t_grams").alias("ngram"),
+    )
+    total = sc.fuzzy_total(F.col("fuzzy"), F.col("ngram"), F.col("error_text"), F.col("clean_text"))
+    kept = scored.filter((F.round("fuzzy", 9) > 0.5) | (F.col("ngram") > 0.4)).withColumn("total", F.round(total, 9))
+    top = top_k(kept, ["clean_text"], [F.col("total").desc(), *ca.by_newest()], 1).filter("total > 0.6")
+    rows = top.withColumn("success_rate", F.lit(0.0)).withColumn("feedback_count", F.lit(0))
+    return _result(
+        queries.select("query_id", "clean_text").join(rows, "clean_text"), "fuzzy_search", F.least(F.lit(0.95), F.col("total"))
+    )
+
+
 # --- cascade ----------------------------------------------------------------------
 
 

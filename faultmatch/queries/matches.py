@@ -223,6 +223,25 @@ register(
     lambda f: show(mt.strict_keyword_match(asked(f), rated(f))),
     o.sql(f"SELECT {ROUNDED} FROM m9", "m9"),
 )
+register(
+    "m10_simple_fuzzy_match",
+    lambda f: show(mt.simple_fuzzy_match(asked(f), rated(f))),
+    o.sql(
+        f"""SELECT query_id, 'fuzzy_search' AS source, error_hash, steps_text, round(least(0.95::DOUBLE, total), 6) AS confidence,
+        0.0::DOUBLE AS success_rate, 0 AS feedback_count, false AS has_conflicts, '1.0' AS version FROM (
+        SELECT query_id, b.error_hash, steps_text, total FROM asked JOIN (
+        SELECT *, row_number() OVER (PARTITION BY clean_text ORDER BY total DESC, created_at DESC, error_hash, kb_id) AS rn FROM (
+        SELECT clean_text, kb_id, error_hash, created_at, {STEPS} AS steps_text, fz, ng,
+        round(fz + CASE WHEN contains(error_text, lq) THEN 0.3::DOUBLE ELSE 0.0 END + ng * 0.2::DOUBLE, 9) AS total FROM (
+        SELECT *, {o.fuzzy('lq', 'lt', 'qw', 'tw', 'ex')} AS fz, {o.jaccard('qg', 'tg')} AS ng FROM (
+        SELECT DISTINCT clean_text, lower(clean_text) AS lq, {o.long_words('clean_text')} AS qw, {o.expand('clean_text')} AS ex, {o.grams('clean_text')} AS qg
+          FROM asked WHERE trim(clean_text) <> ''),
+        (SELECT *, lower(error_text) AS lt, {o.long_words('error_text')} AS tw, {o.grams('error_text')} AS tg FROM (
+          SELECT * FROM kb ORDER BY created_at DESC, error_hash, kb_id LIMIT 500)))) WHERE round(fz, 9) > 0.5 OR ng > 0.4) b USING (clean_text)
+        WHERE rn = 1 AND total > 0.6)""",
+        "asked", "kb",
+    ),
+)
 register(
     "m12_secure_vector_match",
     lambda f: show(mt.secure_vector_match(with_vectors(f), rated(f), kb_vectors(f))),
