@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from faultmatch import fixed_values as fv
 from faultmatch.functions import text as tx
-from faultmatch.operators.ranking import top_k
+from faultmatch.operators.ranking import salted_join, top_k
 
 
 def by_rate() -> list[Column]:
@@ -101,7 +101,7 @@ def any_token(terms: DataFrame, kb: DataFrame, cols: Sequence[str], order: list[
     lists = lists.dropDuplicates(["terms_key"])
     exploded = lists.select("terms_key", F.explode("tokens").alias("token"))
     rows = keyword_top_rows(exploded.select("token").distinct(), kb, cols, order, k)
-    hits = exploded.join(rows, "token").drop("token").dropDuplicates(["terms_key", "kb_id"])
+    hits = salted_join(exploded, rows, ["token"], "terms_key").drop("token").dropDuplicates(["terms_key", "kb_id"])
     return top_k(hits, ["terms_key"], order, k, "rank")
 
 
@@ -151,13 +151,26 @@ def all_tokens(terms: DataFrame, kb: DataFrame, order: list[Column], k: int) ->
 def containing(texts: DataFrame, kb: DataFrame, order: list[Column], k: int) -> DataFrame:
     """Best ``k`` knowledge rows whose signature or text contains the whole lower-cased query text.
 
-    ``texts`` has a non-blank ``needle``.  Inner words of a needle must occur as
-    whole words, so the rarest one proposes; needles of one or two words are
-    looked up inside the vocabulary.  Equal texts enter once with their best rows.
+    ``texts`` has a non-blank ``needle``.  Its inner words must occur as whole
+    words, its first word must end one and its last word must begin one; whichever
+    of them fits the fewest rows proposes, the whole text verifies.  Equal
+    knowledge texts enter once with their best rows.
     """
-    needles = texts.select("needle").distinct().withColumn("parts", F.split("needle", " "))
-    inner = F.filter(F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(0))), lambda w: w != "")
-    needles = needles.withColumn("inner", F.array_distinct(inner))
+    parts = F.split("needle", " ")
+    n = F.size(parts)
+
+    def anchor(kind: str, token: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), token.alias("token"))
+
+    inner = F.transform(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), lambda w: anchor("inner", w))
+    ends = F.array(anchor("first", parts[0]), anchor("last", F.element_at(parts, -1)))
+    anchors = F.when(n == 1, F.array(anchor("any", parts[0]))).otherwise(F.concat(ends, inner))
+    wanted = (
+        texts.select("needle").distinct()
+        .select("needle", F.explode(F.array_distinct(anchors)).alias("a"))
+        .select("needle", "a.kind", "a.token")
+        .filter(F.col("token") != "")
+    )
 
     rows = kb.withColumn("sig", F.lower("error_signature")).withColumn("txt", F.lower("error_text"))
     rows = rows.withColumn("class", F.sha2(F.concat_ws("\n", "sig", "txt"), 256))
@@ -167,22 +180,27 @@ def containing(texts: DataFrame, kb: DataFrame, order: list[Column], k: int) ->
     ).filter(F.col("word") != "")
     frequency = words.groupBy("word").agg(F.count("*").alias("n"))
 
-    anchored = (
-        needles.filter(F.size("inner") > 0)
-        .select("needle", F.explode("inner").alias("word"))
-        .join(frequency, "word", "left")
+    tokens = wanted.select("kind", "token").distinct()
+    whole = tokens.filter("kind = 'inner'").join(frequency.withColumn("token", F.col("word")), "token")
+    edge = tokens.filter("kind <> 'inner'")
+    fits = (
+        (F.col("kind") == "any")
+        | ((F.col("kind") == "first") & F.endswith("word", "token"))
+        | ((F.col("kind") == "last") & F.startswith("word", "token"))
+    )
+    inside = contained_words(edge.select("token").distinct(), frequency.select("word"), 3)
+    partial = edge.join(inside, "token").filter(fits).join(frequency, "word")
+    fitting = whole.select("kind", "token", "word", "n").unionByName(partial.select("kind", "token", "word", "n"))
+    weight = fitting.groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    chosen = (
+        wanted.join(weight, ["kind", "token"], "left")
         .groupBy("needle")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("best"))
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "kind", "token")).alias("best"))
         .filter(F.col("best.n") > 0)
-        .select("needle", F.col("best.word").alias("word"))
+        .select("needle", "best.kind", "best.token")
     )
-    longest = F.element_at(F.sort_array(F.transform("parts", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), 1)
-    short = needles.filter(F.size("inner") == 0).select("needle", longest["w"].alias("token"))
-    inside = contained_words(short.select("token").distinct(), frequency.select("word"), 3)
-    looked_up = short.join(inside, "token").select("needle", "word")
-
     hits = (
-        anchored.unionByName(looked_up)
+        chosen.join(fitting.drop("n"), ["kind", "token"])
         .join(words, "word")
         .select("needle", "class")
         .distinct()

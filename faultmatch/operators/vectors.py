@@ -158,11 +158,14 @@ def vector_join(
     def multiply(q: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
         if q.empty or k.empty:
             return pd.DataFrame({"query_id": [], "kb_id": [], "similarity": []})
-        products = _unit_rows(q["embedding"]) @ _unit_rows(k["embedding"]).T
-        i, j = np.nonzero(products >= min_sim)
-        return pd.DataFrame(
-            {"query_id": q["query_id"].to_numpy()[i], "kb_id": k["kb_id"].to_numpy()[j], "similarity": products[i, j]}
-        )
+        a, b = _unit_rows(q["embedding"]), _unit_rows(k["embedding"]).T
+        found = []
+        for start in range(0, len(a), 512):
+            products = a[start : start + 512] @ b
+            i, j = np.nonzero(products >= min_sim)
+            found.append((i + start, j, products[i, j]))
+        i, j, s = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "kb_id": k["kb_id"].to_numpy()[j], "similarity": s})
 
     keys = ["cell", "block", "chunk"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(

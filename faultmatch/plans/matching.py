@@ -421,8 +421,7 @@ def suggestions(queries: DataFrame, kb: DataFrame) -> DataFrame:
         F.length("error_signature") > 60, F.concat(F.substring("error_signature", 1, 57), F.lit("..."))
     ).otherwise(F.col("error_signature"))
     similar = (
-        texts.select("clean_text", F.col("prefix").alias("gram"))
-        .join(few, "gram")
+        salted_join(texts.select("clean_text", F.col("prefix").alias("gram")), few, ["gram"], "clean_text")
         .withColumn("close", F.round(close, 9))
         .filter((F.col("close") > 0.3) & (F.col("close") < 0.7))
         .groupBy("clean_text")
