@@ -35,19 +35,26 @@ FEATURE_NAMES = (
 )
 
 
-def features(text: Column | str, ts: Column | str) -> list[Column]:
-    """The 18 named feature columns of a message; time features come from the row's timestamp."""
+TIME_FEATURES = ["hour", "weekday"]
+
+
+def text_features(text: Column | str) -> list[Column]:
+    """The named feature columns that depend on the message alone."""
     t, lower = col(text), F.lower(col(text))
-    values = [F.length(t), F.size(F.split(t, " ")), F.size(F.split(t, "\n"))]
-    values += [F.contains(lower, F.lit(w)) for w in fv.FEATURE_KEYWORDS]
-    values += [
-        error_code(t),
-        F.hour(col(ts)),
-        F.dayofweek(col(ts)) - 1,
-        complexity(t),
-        special_chars(t),
-    ]
-    return [v.cast("double").alias(n) for n, v in zip(FEATURE_NAMES, values)]
+    values = {"length": F.length(t), "words": F.size(F.split(t, " ")), "lines": F.size(F.split(t, "\n"))}
+    values |= {"has_" + w: F.contains(lower, F.lit(w)) for w in fv.FEATURE_KEYWORDS}
+    values |= {"error_code": error_code(t), "complexity": complexity(t), "special_chars": special_chars(t)}
+    return [v.cast("double").alias(n) for n, v in values.items()]
+
+
+def time_features(ts: Column | str) -> list[Column]:
+    values = {"hour": F.hour(col(ts)), "weekday": F.dayofweek(col(ts)) - 1}
+    return [v.cast("double").alias(n) for n, v in values.items()]
+
+
+def features(text: Column | str, ts: Column | str) -> list[Column]:
+    """All 18 feature columns of a message; time features come from the row's timestamp."""
+    return [*text_features(text), *time_features(ts)]
 
 
 # --- confidence ------------------------------------------------------------------

@@ -25,15 +25,24 @@ from faultmatch.plans import matching as mt
 SEED = 42
 
 
-def training_points(rows: DataFrame) -> DataFrame:
-    """Feature columns, label and category of rated feedback rows."""
-    return rows.select(
-        "kb_id", "feedback_id", "error_hash", "error_signature", "created_at",
-        F.col("was_helpful").alias("worked"),
-        F.col("was_helpful").cast("double").alias("label"),
-        tx.categorize("error_signature").alias("category"),
-        *sc.features("error_text", "created_at"),
+def training_points(kb: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Feature columns, label and category of every rated feedback row.
+
+    Text features are taken once per rated knowledge row, before its ratings multiply it.
+    """
+    rated = feedback.filter(F.col("was_helpful").isNotNull()).select(
+        "feedback_id", F.col("solution_hash").alias("error_hash"), "was_helpful", "created_at"
+    )
+    texts = kb.join(rated.select("error_hash").distinct(), "error_hash", "left_semi").select(
+        "kb_id", "error_hash", "error_signature", tx.categorize("error_signature").alias("category"),
+        *sc.text_features("error_text"),
+    )
+    rows = rated.join(texts, "error_hash").select(
+        "kb_id", "feedback_id", "error_hash", "error_signature", "category", "created_at",
+        F.col("was_helpful").alias("worked"), F.col("was_helpful").cast("double").alias("label"),
+        *[n for n in sc.FEATURE_NAMES if n not in sc.TIME_FEATURES], *sc.time_features("created_at"),
     )
+    return rows
 
 
 def query_points(queries: DataFrame, text: str = "clean_text", ts: str = "ts") -> DataFrame:

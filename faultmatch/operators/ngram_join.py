@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from faultmatch.functions.similarity import jaccard, ngrams
 
+# Rare grams two texts must have in common to become a candidate pair.
+SHARED = 1
+
 
 def _ordered(texts: DataFrame, frequency: DataFrame, min_sim: float) -> DataFrame:
     """Each text with its grams, rarest first, and the prefix that must hold a shared gram."""
@@ -17,15 +20,16 @@ def _ordered(texts: DataFrame, frequency: DataFrame, min_sim: float) -> DataFram
         .select("text", F.transform("pairs", lambda p: p["gram"]).alias("grams"))
     )
     n = F.size("grams")
-    prefix = n - F.ceil(n * min_sim - 1e-9).cast("int") + 1
-    return ranked.withColumn("prefix", F.slice("grams", 1, F.least(n, prefix)))
+    least = F.ceil(n * min_sim - 1e-9).cast("int")
+    wanted = F.least(F.lit(SHARED), least)
+    return ranked.withColumn("wanted", wanted).withColumn("prefix", F.slice("grams", 1, n - least + wanted))
 
 
 def ngram_join(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
     """Pairs of distinct texts with n-gram Jaccard of at least ``min_sim`` (> 0).
 
-    Two sets that similar must share a gram among the rarest
-    ``n - ceil(min_sim * n) + 1`` of each, so only those meet in the join and
+    Two sets that similar share at least ``s`` grams among the rarest
+    ``n - ceil(min_sim * n) + s`` of each, so only those meet in the join and
     very common grams do not.  Input columns: ``text``.  Copies enter once.
     """
     l, r = left.select("text").distinct(), right.select("text").distinct()
@@ -34,10 +38,10 @@ def ngram_join(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
     )
     a_sets, b_sets = _ordered(l, frequency, min_sim), _ordered(r, frequency, min_sim)
     a = a_sets.select(
-        F.col("text").alias("left_text"), F.size("grams").alias("na"), F.posexplode("prefix").alias("i", "gram")
+        F.col("text").alias("left_text"), F.size("grams").alias("na"), F.col("wanted").alias("wa"), F.posexplode("prefix").alias("i", "gram")
     )
     b = b_sets.select(
-        F.col("text").alias("right_text"), F.size("grams").alias("nb"), F.posexplode("prefix").alias("j", "gram")
+        F.col("text").alias("right_text"), F.size("grams").alias("nb"), F.col("wanted").alias("wb"), F.posexplode("prefix").alias("j", "gram")
     )
     # Both sides list grams in one order: up to the last shared prefix gram the
     # overlap is counted, beyond it the shorter remainder bounds it.
@@ -46,9 +50,9 @@ def ngram_join(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
     candidates = (
         a.join(b, "gram")
         .filter((F.col("na") >= F.col("nb") * min_sim - 1e-9) & (F.col("nb") >= F.col("na") * min_sim - 1e-9))
-        .groupBy("left_text", "right_text", "na", "nb")
+        .groupBy("left_text", "right_text", "na", "nb", "wa", "wb")
         .agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"))
-        .filter(bound >= needed)
+        .filter((F.col("shared") >= F.least("wa", "wb")) & (bound >= needed))
         .select("left_text", "right_text")
     )
     return (

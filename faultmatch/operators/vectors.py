@@ -88,12 +88,6 @@ def bucket_matches(
 # --- exact join -------------------------------------------------------------------
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.vstack(vectors.to_numpy()).astype(np.float64)
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=m.copy(), where=norm > 1e-8)
-
-
 def vector_join(
     queries: DataFrame,
     kb: DataFrame,
@@ -109,13 +103,20 @@ def vector_join(
     bounded size on both sides, so a crowded cell spreads over many tasks and
     only pairs that qualify leave a block.
     """
+
+    def unit_rows(vectors: pd.Series) -> np.ndarray:
+        # a local function travels to the executors by value
+        m = np.vstack(vectors.to_numpy()).astype(np.float64)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norm, out=m.copy(), where=norm > 1e-8)
+
     sample = kb.filter(F.size("embedding") > 0).orderBy(F.xxhash64("kb_id")).limit(pivots)
-    centres = _unit_rows(sample.select("embedding").toPandas()["embedding"])
+    centres = unit_rows(sample.select("embedding").toPandas()["embedding"])
     reach = math.acos(max(-1.0, min(1.0, min_sim))) + 1e-6
 
     def assign(frames):
         for pdf in frames:
-            angles = np.arccos(np.clip(_unit_rows(pdf["embedding"]) @ centres.T, -1.0, 1.0))
+            angles = np.arccos(np.clip(unit_rows(pdf["embedding"]) @ centres.T, -1.0, 1.0))
             cell = angles.argmin(axis=1)
             yield pdf.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(pdf)), cell])
 
@@ -137,7 +138,7 @@ def vector_join(
 
     def visit(frames):
         for pdf in frames:
-            angles = np.arccos(np.clip(_unit_rows(pdf["embedding"]) @ centres.T, -1.0, 1.0))
+            angles = np.arccos(np.clip(unit_rows(pdf["embedding"]) @ centres.T, -1.0, 1.0))
             open_cells = angles <= radius + reach
             yield pdf.assign(cells=[np.flatnonzero(o).astype("int32") for o in open_cells])
 
@@ -158,7 +159,7 @@ def vector_join(
     def multiply(q: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
         if q.empty or k.empty:
             return pd.DataFrame({"query_id": [], "kb_id": [], "similarity": []})
-        a, b = _unit_rows(q["embedding"]), _unit_rows(k["embedding"]).T
+        a, b = unit_rows(q["embedding"]), unit_rows(k["embedding"]).T
         found = []
         for start in range(0, len(a), 512):
             products = a[start : start + 512] @ b

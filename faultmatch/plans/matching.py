@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultmatch import fixed_values as fv
 from faultmatch.functions import scoring as sc, similarity as sim, text as tx
@@ -246,23 +246,23 @@ def simple_fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
         "kb_id", "error_hash", "created_at", "error_text", "resolution_steps", sim.ngrams("error_text").alias("t_grams")
     )
     texts = (
-        queries.filter(~tx.is_blank("clean_text")).select("clean_text").distinct()
+        queries.filter(~tx.is_blank("clean_text")).groupBy("clean_text").agg(F.min("query_id").alias("text_id"))
         .withColumn("q_words", sim.long_words("clean_text"))
         .withColumn("parts", F.split(F.lower("clean_text"), " "))
     )
-    words = texts.select("clean_text", F.explode("q_words").alias("word")).groupBy("clean_text", "word").agg(
+    words = texts.select("text_id", F.explode("q_words").alias("word")).groupBy("text_id", "word").agg(
         F.count("*").alias("times")
     )
     targets = newest.select("kb_id", F.explode(F.array_distinct(sim.long_words("error_text"))).alias("target"))
     near = ca.near_words(words.select("word").distinct(), targets.select("target").distinct())
     best = (
         words.join(near.join(targets, "target").groupBy("word", "kb_id").agg(F.max("value").alias("value")), "word")
-        .groupBy("clean_text", "kb_id")
+        .groupBy("text_id", "kb_id")
         .agg(F.sum(F.col("value") * F.col("times")).alias("word_sum"))
     )
 
     inner = F.filter(F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(0))), lambda w: F.length(w) > 2)
-    fragments = texts.filter((F.size("q_words") <= 1) | (F.size(inner) == 0)).select("clean_text")
+    fragments = texts.filter((F.size("q_words") <= 1) | (F.size(inner) == 0)).select("text_id", "clean_text")
     lower = F.lower("clean_text")
     size = F.least(F.lit(3), F.length("clean_text"))
     q_grams = F.when(size < 3, F.array(lower)).otherwise(sim.ngrams("clean_text"))
@@ -271,27 +271,38 @@ def simple_fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
         g = newest.select("kb_id", F.explode(sim.ngrams("error_text", n)).alias("gram"))
         row_grams = g if row_grams is None else row_grams.unionByName(g)
     loose = (
-        fragments.select("clean_text", F.explode(q_grams).alias("gram")).join(row_grams, "gram")
-        .select("clean_text", "kb_id", F.lit(0.0).alias("word_sum")).distinct()
+        fragments.select("text_id", F.explode(q_grams).alias("gram")).join(row_grams, "gram")
+        .select("text_id", "kb_id", F.lit(0.0).alias("word_sum")).distinct()
     )
-    pairs = best.unionByName(loose).groupBy("clean_text", "kb_id").agg(F.max("word_sum").alias("word_sum"))
+    pairs = best.unionByName(loose).groupBy("text_id", "kb_id").agg(F.max("word_sum").alias("word_sum"))
 
     prepared = texts.select(
-        "clean_text", F.size("q_words").alias("n"), sim.expand("clean_text").alias("q_terms"),
+        "text_id", "clean_text", F.size("q_words").alias("n"), sim.expand("clean_text").alias("q_terms"),
         sim.ngrams("clean_text").alias("q_grams"),
     )
-    rows = pairs.join(prepared, "clean_text").join(newest, "kb_id")
+    rows = pairs.join(prepared, "text_id").join(newest, "kb_id")
     target = F.lower("error_text")
     bonus = F.when(F.exists("q_terms", lambda t: F.contains(target, t)), 0.5).otherwise(0.0)
     word_score = F.least(F.lit(1.0), (F.col("word_sum") + bonus) / F.greatest(F.lit(1), F.col("n")))
     scored = rows.select(
-        "clean_text", "kb_id", "error_hash", "created_at", "resolution_steps", "error_text",
+        "text_id", "clean_text", "kb_id", "error_hash", "created_at", "resolution_steps", "q_grams", "t_grams",
         F.when(F.contains(target, lower), 1.0).otherwise(word_score).alias("fuzzy"),
-        sim.jaccard("q_grams", "t_grams").alias("ngram"),
-    )
-    total = sc.fuzzy_total(F.col("fuzzy"), F.col("ngram"), F.col("error_text"), F.col("clean_text"))
-    kept = scored.filter((F.round("fuzzy", 9) > 0.5) | (F.col("ngram") > 0.4)).withColumn("total", F.round(total, 9))
-    top = top_k(kept, ["clean_text"], [F.col("total").desc(), *ca.by_newest()], 1).filter("total > 0.6")
+        F.when(F.contains("error_text", lower), 0.3).otherwise(0.0).alias("exact_bonus"),
+    )
+    # the n-gram part adds at most 0.2, so rows further behind a sure candidate need none
+    sure = F.when(F.round("fuzzy", 9) > 0.5, F.col("fuzzy") + F.col("exact_bonus"))
+    lead = F.max(sure).over(Window.partitionBy("text_id"))
+    close = scored.withColumn("lead", lead).filter(
+        F.col("lead").isNull() | (F.col("fuzzy") + F.col("exact_bonus") + 0.2 >= F.col("lead") - 1e-6)
+    )
+    kept = (
+        close.withColumn("ngram", sim.jaccard("q_grams", "t_grams"))
+        .drop("q_grams", "t_grams", "lead")
+        .withColumn("total", F.round(F.col("fuzzy") + F.col("exact_bonus") + F.col("ngram") * 0.2, 9))
+        .withColumn("usable", (F.round("fuzzy", 9) > 0.5) | (F.col("ngram") > 0.4))
+    )
+    best_first = [F.col("usable").desc(), F.col("total").desc(), *ca.by_newest()]
+    top = top_k(kept, ["text_id"], best_first, 1).filter("usable AND total > 0.6")
     rows = top.withColumn("success_rate", F.lit(0.0)).withColumn("feedback_count", F.lit(0))
     return _result(
         queries.select("query_id", "clean_text").join(rows, "clean_text"), "fuzzy_search", F.least(F.lit(0.95), F.col("total"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from faultmatch import fixed_values as fv
 from faultmatch.functions import scoring as sc, text as tx
-from faultmatch.operators import clusters as cl, feedback as fb, knowledge as kn, models as ml, series as se
+from faultmatch.operators import clusters as cl, feedback as fb, models as ml, series as se
 from faultmatch.plans import matching as mt
 from faultmatch.queries import matches as mq, oracle as o
 from faultmatch.queries.base import register
@@ -19,7 +19,7 @@ NAMES = sc.FEATURE_NAMES
 
 
 def points(f):
-    return ml.training_points(kn.training_rows(f.kb_texts, f.feedback, None))
+    return ml.training_points(f.kb_texts, f.feedback)
 
 
 def kb_points(f):

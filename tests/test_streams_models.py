@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultmatch.functions import scoring as sc
-from faultmatch.operators import clusters as cl, feedback as fb, knowledge as kn, models as ml
+from faultmatch.operators import clusters as cl, feedback as fb, models as ml
 from faultmatch.sources.fixtures import VIEWS
 from faultmatch.streaming import jobs
 
@@ -69,7 +69,7 @@ def test_incremental_index_is_idempotent(spark, fixtures):
 
 @pytest.fixture(scope="module")
 def points(fixtures):
-    return ml.training_points(kn.training_rows(fixtures.kb_texts, fixtures.feedback, None)).persist()
+    return ml.training_points(fixtures.kb_texts, fixtures.feedback).persist()
 
 
 def test_clusters(points):
