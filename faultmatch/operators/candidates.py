@@ -227,16 +227,18 @@ def pattern_hits(signatures: DataFrame, patterns: DataFrame) -> DataFrame:
 def near_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Word match value of every (word, target) that is equal (0.9) or more than 0.8 similar (0.7 of it).
 
-    A similarity above 0.8 leaves at least one common bigram, so the vocabularies
-    meet on bigrams instead of pairwise.
+    With a length of at most five such words are equal.  From six on, fewer edits
+    than a fifth of the length leave a common trigram, so the vocabularies meet on
+    trigrams instead of pairwise.
     """
     equal = words.join(vocabulary.withColumn("word", F.col("target")), "word").select(
         "word", "target", F.lit(0.9).alias("value")
     )
-    a = words.select("word", F.explode(grams("word", 2)).alias("gram"))
-    b = vocabulary.select("target", F.explode(grams("target", 2)).alias("gram"))
+    a = words.select("word", F.explode(grams("word", 3)).alias("gram"))
+    b = vocabulary.select("target", F.explode(grams("target", 3)).alias("gram"))
     longest = F.greatest(F.length("word"), F.length("target"))
-    close = (F.abs(F.length("word") - F.length("target")) * 5 < longest) & (F.col("word") != F.col("target"))
+    gap = F.abs(F.length("word") - F.length("target"))
+    close = (longest > 5) & (gap * 5 < longest) & (F.col("word") != F.col("target"))
     pairs = a.join(b, "gram").filter(close).select("word", "target").distinct()
     likeness = pairs.withColumn("s", 1.0 - F.levenshtein("word", "target") / longest)
     return equal.unionByName(likeness.filter(F.col("s") > 0.8).select("word", "target", (F.col("s") * 0.7).alias("value")))
