@@ -255,8 +255,10 @@ def simple_fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
     )
     targets = newest.select("kb_id", F.explode(F.array_distinct(sim.long_words("error_text"))).alias("target"))
     near = ca.near_words(words.select("word").distinct(), targets.select("target").distinct())
+    # at most 500 rows per word; common words are spread over tasks
+    per_word = near.join(targets, "target").groupBy("word", "kb_id").agg(F.max("value").alias("value"))
     best = (
-        words.join(near.join(targets, "target").groupBy("word", "kb_id").agg(F.max("value").alias("value")), "word")
+        salted_join(words, per_word, ["word"], "text_id")
         .groupBy("text_id", "kb_id")
         .agg(F.sum(F.col("value") * F.col("times")).alias("word_sum"))
     )
