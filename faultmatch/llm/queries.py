@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultmatch.llm import binary
+from faultmatch.llm import binary, packing, pairs
 from faultmatch.llm.common import table
 
 
@@ -16,11 +16,21 @@ def vocabulary(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.op3(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op4(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, 4096)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.op9(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_pairs": op3,
+    "op4_best_fit_packing": op4,
     "op9_token_files": op9,
 }
 SQL: dict[str, str] = {}
