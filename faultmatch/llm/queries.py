@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultmatch.llm import binary, packing, pairs
+from faultmatch.llm import binary, html, packing, pairs
 from faultmatch.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.op3(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -29,6 +33,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1,
     "op3_byte_pairs": op3,
     "op4_best_fit_packing": op4,
     "op9_token_files": op9,
