@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultmatch.llm import binary, html, packing, pairs
+from faultmatch.llm import binary, chat, html, packing, pairs
 from faultmatch.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op2(table(spark, sf_dir, "conversations"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.op3(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -34,8 +38,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1,
+    "op2_chat_format": op2,
     "op3_byte_pairs": op3,
     "op4_best_fit_packing": op4,
     "op9_token_files": op9,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_chat_format": chat.SQL,
+}
