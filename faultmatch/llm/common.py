@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from faultmatch.session import configure, cut, new_path
 
 #: Documents of an Arrow batch. It bounds what a Python worker holds of the input at a time.
 BATCH_ROWS = 512
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the library, and batches small enough for very long texts."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Python workers import this package from where the driver has it, or from what --py-files ships
+    env = spark.sparkContext.environment
+    places = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in places:
+        env["PYTHONPATH"] = os.pathsep.join([*places, ROOT])
     return spark
 
 
@@ -31,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Map Arrow batches. ``make`` runs once a task and returns the function for its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
