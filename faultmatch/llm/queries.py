@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultmatch.llm import binary, chat, html, language, packing, pairs
+from faultmatch.llm import binary, chat, html, language, packing, pairs, quality
 from faultmatch.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op6(table(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8(table(spark, sf_dir, "documents"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.op9(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_pairs": op3,
     "op4_best_fit_packing": op4,
     "op6_language_id": op6,
+    "op8_quality_rules": op8,
     "op9_token_files": op9,
 }
 SQL: dict[str, str] = {
