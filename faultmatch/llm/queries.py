@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultmatch.llm import binary, chat, html, language, packing, pairs, quality
+from faultmatch.llm import binary, chat, html, language, packing, pairs, quality, simhash
 from faultmatch.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op4(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, 4096)
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op5(table(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op6(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2,
     "op3_byte_pairs": op3,
     "op4_best_fit_packing": op4,
+    "op5_simhash_groups": op5,
     "op6_language_id": op6,
     "op8_quality_rules": op8,
     "op9_token_files": op9,
