@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultmatch.llm import binary, chat, html, language, packing, pairs, quality, simhash
+from faultmatch.llm import binary, chat, html, language, packing, pairs, quality, sampling, simhash
 from faultmatch.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op6(table(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.op7(table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4,
     "op5_simhash_groups": op5,
     "op6_language_id": op6,
+    "op7_weighted_fingerprints": op7,
     "op8_quality_rules": op8,
     "op9_token_files": op9,
 }
