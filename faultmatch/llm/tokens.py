@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words of which a task keeps the ids. Beyond, it forgets all and starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 #: Longer words are not kept.
 KEPT_LENGTH = 48
 
@@ -58,14 +59,14 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         plain = _PLAIN.match(word)
-        if plain:
-            piece = "".join(map(self.letters.__getitem__, plain[1].encode()))
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
-            if plain[2]:
-                ids += self[plain[2]] if plain[2] in self else self._keep(plain[2], self.whole(plain[2]))
-        else:
-            ids = self.whole(word)
-        return self._keep(word, ids)
+        if not plain:
+            return self._keep(word, self.whole(word))
+        letters, marks = plain.groups()
+        if marks:
+            tail = self.get(marks) or self._keep(marks, self.whole(marks))
+            return self._keep(word, self[letters] + tail)
+        piece = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
+        return self._keep(word, array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes())
 
     def _keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= KEPT_LENGTH:
