@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultmatch.llm import binary, chat, html, language, packing, pairs, quality, sampling, simhash
+from faultmatch.llm import binary, chat, html, language, packing, pairs, quality, sampling, simhash, substrings
 from faultmatch.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.op9(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1,
     "op2_chat_format": op2,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_weighted_fingerprints": op7,
     "op8_quality_rules": op8,
     "op9_token_files": op9,
+    "op10_substring_dedup": op10,
 }
 SQL: dict[str, str] = {
     "op2_chat_format": chat.SQL,

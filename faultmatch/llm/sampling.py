@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultmatch.llm.common import ready
+from faultmatch.llm.order import STRETCHES, with_stretch
 
 #: Samples of a fingerprint, drawn in sets: one aggregate of them all would be too much code for one compiled method.
 #: The share of equal samples strays by up to 0.5 / sqrt(SAMPLES) (one deviation).
 SAMPLES, SET = 24, 8
-#: Rows of a stretch of the document order, and stretches at most.
-STRETCH, STRETCHES = 2000, 1 << 16
+#: Rows of a stretch of the document order.
+STRETCH = 2000
 #: Spaces between words.
 SPACES = r"[\x20\x09-\x0D]+"
 _LEAST = -(1 << 63)
@@ -47,31 +48,6 @@ def sample(term: Column, log_weights: list[Column], k: Column) -> list[Column]:
     return out
 
 
-def _stretches(ids: DataFrame) -> list[int]:
-    """First ids of stretches of about ``STRETCH`` rows, but for the first one. At most ``STRETCHES`` numbers."""
-    n = min(STRETCHES, ids.count() // STRETCH)
-    if n < 2:
-        return []
-    shares = [k / n for k in range(1, n)]
-    found = ids.agg(F.percentile_approx("at", shares, max(10000, 20 * n)).alias("b")).first().b
-    return sorted(set(found))
-
-
-def _stretch(at: Column, bounds: list[int]) -> Column:
-    """How many bounds are not above the id, by halving."""
-    if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
-    array = F.lit(bounds)
-
-    def step(low: Column, width: Column) -> Column:
-        reached = low + width
-        inside = F.when(reached <= len(bounds), F.get(array, reached - 1) <= at).otherwise(False)
-        return F.when(inside, reached).otherwise(low)
-
-    return F.aggregate(F.lit(steps), F.lit(0), step)
-
-
 def in_order(docs: DataFrame) -> DataFrame:
     """``stretch, turn, guest, at, text, next_text``: whole texts in ascending id order, each with the next one.
 
@@ -80,15 +56,14 @@ def in_order(docs: DataFrame) -> DataFrame:
     ``at`` is the id, with the least long number for null.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = _stretches(rows.select("at"))
-    rows = rows.withColumn("stretch", _stretch(F.col("at"), bounds))
-    # one row a stretch, of which there are len(bounds) + 1 at most
-    heads = rows.groupBy("stretch").agg(F.min("at").alias("at"))
-    first = rows.join(F.broadcast(heads), ["stretch", "at"]).groupBy("stretch").agg(F.min("text").alias("text"))
+    rows, n = with_stretch(rows, "at", STRETCH)
+    heads = rows.groupBy("stretch").agg(F.min("at").alias("at"))  # one row a stretch
     whole = Window.orderBy("stretch")
-    before = F.coalesce(F.lag("stretch").over(whole), F.max("stretch").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    guests = first.select("text", F.lit(_LEAST).alias("at"), before.alias("stretch"), F.lit(1).alias("guest"))
-    dealt = rows.select("text", "at", "stretch", F.lit(0).alias("guest")).unionByName(guests).repartition(len(bounds) + 1, "stretch")
+    last = F.max("stretch").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("stretch", "at", F.coalesce(F.lag("stretch").over(whole), last).alias("before"))
+    first = rows.join(F.broadcast(heads) if n <= STRETCHES else heads, ["stretch", "at"]).groupBy("stretch", "before").agg(F.min("text").alias("text"))
+    guests = first.select("text", F.lit(_LEAST).alias("at"), F.col("before").alias("stretch"), F.lit(1).alias("guest"))
+    dealt = rows.select("text", "at", "stretch", F.lit(0).alias("guest")).unionByName(guests).repartition(n, "stretch")
     order = Window.partitionBy("stretch").orderBy("guest", "at", "text")
     return dealt.select(
         "stretch", F.row_number().over(order).alias("turn"), "guest", "at", "text", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next_text")
