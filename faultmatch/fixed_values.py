@@ -78,7 +78,6 @@ CLUSTER_LABELS = [
 ]
 LABEL_DEFAULT = "Other"
 
-TREND_CATEGORIES = ["network", "security", "performance", "general"]
 
 METHOD_NAMES = {
     "exact_match": "Exact Hash Match",
@@ -232,17 +231,14 @@ FUZZY_CANDIDATES = 100
 EXPANSIONS_VECTOR = 3
 VECTOR_PAGE = 100
 VECTOR_PAGES = 2
-INDEX_CANDIDATES = 300
 INDEX_LIMIT = 10
 INDEX_LIMIT_SECURE = 5
 SIMPLE_FUZZY_ROWS = 500
 CONTEXT_ROWS = 6
 SUGGESTION_ROWS = 5
-INDEX_BATCH = 100
 TRAINING_ROWS = 1000
 CACHE_HOURS = 24
 LSH_TABLES = 3
-LSH_DIMENSIONS = 100
 LSH_SCALE = 100
 
 # --- appended row defaults --------------------------------------------------------

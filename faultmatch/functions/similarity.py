@@ -138,7 +138,7 @@ def cosine(a: Column | str, b: Column | str, mode: str = "index") -> Column:
     return F.when(a.isNull() | b.isNull() | (n <= 0), -1.0).otherwise(dot(F.slice(a, 1, n), F.slice(b, 1, n)))
 
 
-def projection_weights(tables: int = fv.LSH_TABLES, dims: int = fv.LSH_DIMENSIONS) -> list[list[float]]:
+def projection_weights(dims: int, tables: int = fv.LSH_TABLES) -> list[list[float]]:
     """Reproducible projection directions in [-0.5, 0.5) from an integer congruential rule."""
     return [
         [((i * 100 + j) * 1103515245 + 12345) % 2**31 / 2**31 - 0.5 for j in range(dims)] for i in range(tables)
@@ -146,13 +146,17 @@ def projection_weights(tables: int = fv.LSH_TABLES, dims: int = fv.LSH_DIMENSION
 
 
 def lsh_buckets(v: Column | str) -> Column:
-    """One integer bucket per projection, truncated towards zero, as strings."""
-    head = F.slice(col(v), 1, fv.LSH_DIMENSIONS)
-    buckets = []
-    for weights in projection_weights():
-        w = F.slice(F.array(*[F.lit(x) for x in weights]), F.lit(1), F.size(head))
-        buckets.append((dot(head, w) * fv.LSH_SCALE).cast("int").cast("string"))
-    return F.array(*buckets)
+    """One integer bucket per projection of the whole vector, truncated towards zero, as strings.
+
+    The directions are those of ``projection_weights``, as long as the vector is.
+    """
+    size = F.size(col(v))
+    places = F.slice(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), F.lit(1), F.greatest(size, F.lit(0)))
+
+    def direction(table: int) -> Column:
+        return F.transform(places, lambda j: ((j + table * 100).cast("long") * 1103515245 + 12345) % F.lit(2**31) / F.lit(2.0**31) - 0.5)
+
+    return F.array(*[(dot(col(v), direction(t)) * fv.LSH_SCALE).cast("int").cast("string") for t in range(fv.LSH_TABLES)])
 
 
 def parse_vector(c: Column | str) -> Column:

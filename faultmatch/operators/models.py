@@ -64,7 +64,7 @@ def success_tree(points: DataFrame, seed: int = SEED) -> DecisionTreeClassificat
     return DecisionTreeClassifier(impurity="entropy", maxDepth=8, seed=seed).fit(assembled(points))
 
 
-def success_net(points: DataFrame, scale: bool = False, seed: int = SEED, epochs: int = 100) -> PipelineModel | MultilayerPerceptronClassificationModel:
+def success_net(points: DataFrame, scale: bool = True, seed: int = SEED, epochs: int = 100) -> PipelineModel | MultilayerPerceptronClassificationModel:
     """Two hidden layers of max(10, inputs/2).  Hidden units are sigmoid, the loss is log loss, without dropout."""
     inputs = len(sc.FEATURE_NAMES)
     hidden = max(10, inputs // 2)

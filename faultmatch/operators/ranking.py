@@ -7,15 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
-    """First ``k`` rows per key.
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, rank: str | None = None) -> DataFrame:
+    """First ``k`` rows per key; all rows, numbered, for ``None``.
 
-    Spark trims every input partition to ``k`` rows per key before the shuffle,
-    so a key that holds a third of all rows never lands whole in one task.
+    Spark trims every input partition to ``k`` rows per key before the shuffle, so a
+    key that holds a third of all rows never lands whole in one task.  It does so up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``, which the session settings raise.
     """
+    if k is None and rank is None:
+        return df
     name = rank or "_rank"
     w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    out = df.withColumn(name, F.row_number().over(w))
+    out = out if k is None else out.filter(F.col(name) <= k)
     return out if rank else out.drop(name)
 
 

@@ -128,7 +128,7 @@ def category_trees(errors: DataFrame) -> DataFrame:
     return out.withColumn("solution", solution).withColumn("rate", rate).drop("template", "confidence")
 
 
-def recommended_path(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def recommended_path(nodes: DataFrame) -> DataFrame:
     """Node order when always following the better rated child, yes on a tie.
 
     A tree's nodes, as many as its solution has steps, are gathered into one map
@@ -154,7 +154,7 @@ def recommended_path(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
         following = F.try_element_at("choices", F.element_at(path, -1))
         return F.when(following.isNotNull(), F.concat(path, F.array(following))).otherwise(path)
 
-    steps = F.sequence(F.lit(1), F.least(F.lit(max_depth), F.size("choices") + 1))
+    steps = F.sequence(F.lit(1), F.size("choices") + 1)
     path = F.aggregate(steps, F.array("root"), extend)
     return rows.select("tree_id", F.posexplode(path).alias("pos", "node_id"))
 
@@ -170,10 +170,12 @@ def level_sizes(nodes: DataFrame) -> DataFrame:
 
 
 def path_outcomes(steps: DataFrame) -> DataFrame:
-    """Walks per node: uses, successful uses, rate; and walk length figures."""
+    """Per node: uses, successful uses, rate, walks and, where steps are timed, the mean time spent there."""
+    timed = [F.avg("seconds").alias("mean_seconds")] if "seconds" in steps.columns else []
     return steps.groupBy("node_id").agg(
         F.count("*").alias("times_used"),
         F.sum(F.when(F.col("was_successful"), 1).otherwise(0)).alias("successes"),
         F.avg(F.when(F.col("was_successful"), 1.0).otherwise(0.0)).alias("success_rate"),
         F.count_distinct("path_id").alias("walks"),
+        *timed,
     )

@@ -27,14 +27,22 @@ def build_index(df: DataFrame, key: str = "kb_id") -> DataFrame:
     )
 
 
-def index_backlog(kb: DataFrame, index: DataFrame, batch: int = fv.INDEX_BATCH) -> DataFrame:
-    """Oldest knowledge rows with a vector and no index row, one batch."""
-    return (
+def index_rows(df: DataFrame, created_at: Column) -> DataFrame:
+    """Rows of the vector index table from ``kb_id, error_hash, embedding``."""
+    hashes = df.select("kb_id", "error_hash")
+    return build_index(df).join(hashes, "kb_id").select(
+        F.col("kb_id").alias("index_id"), "error_hash", F.col("embedding").alias("vector"),
+        *[f"lsh_hash_{i}" for i in range(fv.LSH_TABLES)], created_at.alias("created_at"),
+    )
+
+
+def index_backlog(kb: DataFrame, index: DataFrame, batch: int | None = None) -> DataFrame:
+    """Knowledge rows with a vector and no index row; with ``batch``, only so many of the oldest."""
+    missing = (
         kb.filter(F.col("embedding").isNotNull())
         .join(index.select("kb_id"), "kb_id", "left_anti")
-        .orderBy("created_at", "kb_id")
-        .limit(batch)
     )
+    return missing if batch is None else missing.orderBy("created_at", "kb_id").limit(batch)
 
 
 def slots(df: DataFrame, *keep: str) -> DataFrame:
@@ -46,41 +54,33 @@ def by_confidence() -> list[Column]:
     return [F.col("confidence_score").desc_nulls_last(), F.col("error_hash").asc(), F.col("kb_id").asc()]
 
 
-def bucket_tops(kb: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` rows by confidence of every bucket; a hot bucket shrinks to ``k`` rows."""
-    rows = slots(kb.filter(F.size("embedding") > 0), "kb_id", "error_hash", "confidence_score")
-    return top_k(rows, ["slot", "bucket"], by_confidence(), k)
-
-
-def bucket_candidates(queries: DataFrame, kb: DataFrame, k: int = fv.INDEX_CANDIDATES) -> DataFrame:
-    """Best ``k`` rows by confidence among those sharing any bucket with the query."""
+def bucket_candidates(queries: DataFrame, kb: DataFrame, k: int | None = None) -> DataFrame:
+    """Rows that share a bucket with the query, numbered by confidence; with ``k``, the first ones."""
     probes = slots(queries.filter(F.size("embedding") > 0), "query_id")
-    hits = probes.join(bucket_tops(kb, k), ["slot", "bucket"]).dropDuplicates(["query_id", "kb_id"])
+    rows = slots(kb.filter(F.size("embedding") > 0), "kb_id", "error_hash", "confidence_score")
+    rows = top_k(rows, ["slot", "bucket"], by_confidence(), k)  # the best of a union are among the best of its parts
+    hits = probes.join(rows, ["slot", "bucket"]).dropDuplicates(["query_id", "kb_id"])
     return top_k(hits.drop("slot", "bucket"), ["query_id"], by_confidence(), k, "rank")
 
 
 def bucket_matches(
     queries: DataFrame, kb: DataFrame, limit: int = fv.INDEX_LIMIT, min_sim: float = fv.VECTOR_MIN_COSINE
 ) -> DataFrame:
-    """Index search: candidates by confidence, then cosine, then the ``limit`` best by rank score.
+    """Index search: the cosine of every row that shares a bucket, then the ``limit`` best by rank score.
 
-    The cosine is taken while a probe meets its bucket's short list, so no
-    vector is shuffled per pair.
+    The cosine is taken while a probe meets its bucket, and only pairs of
+    ``min_sim`` or more go on, so no vector is shuffled per pair.
     """
-    k = min(fv.INDEX_CANDIDATES, limit * 5)
-    tops = bucket_tops(kb, k)
-    units = kb.select("kb_id", sim.l2_normalize("embedding").alias("kb_unit"))
-    short = tops.join(units, "kb_id")
-    probes = slots(
-        queries.filter(F.size("embedding") > 0).withColumn("unit", sim.l2_normalize("embedding")), "query_id", "unit"
-    )
+    unit = sim.l2_normalize("embedding")
+    rows = slots(kb.filter(F.size("embedding") > 0).withColumn("kb_unit", unit), "kb_id", "error_hash", "confidence_score", "kb_unit")
+    probes = slots(queries.filter(F.size("embedding") > 0).withColumn("unit", unit), "query_id", "unit")
     cosine = F.when(F.size("unit") == F.size("kb_unit"), sim.dot("unit", "kb_unit")).otherwise(0.0)
-    hits = (
-        probes.join(short, ["slot", "bucket"])
+    near = (
+        probes.join(rows, ["slot", "bucket"])
         .select("query_id", "kb_id", "error_hash", "confidence_score", cosine.alias("similarity"))
+        .filter(F.col("similarity") >= min_sim)
         .dropDuplicates(["query_id", "kb_id"])
     )
-    near = top_k(hits, ["query_id"], by_confidence(), k).filter(F.col("similarity") >= min_sim)
     score = F.round(F.col("similarity") * (0.7 + F.col("confidence_score") * 0.3), 9)
     return top_k(near, ["query_id"], [score.desc(), F.col("error_hash"), F.col("kb_id")], limit, "rank")
 
@@ -95,7 +95,10 @@ def vector_join(
     pivots: int = 16,
     block_rows: int = 8192,
 ) -> DataFrame:
-    """All (query_id, kb_id) with cosine >= ``min_sim``; vectors of one length.
+    """All (query_id, kb_id) with cosine >= ``min_sim``.
+
+    The most frequent length of ``kb`` counts; vectors of another length match
+    nothing.  Without a vector on one side there are no pairs.
 
     Knowledge vectors go to the cell of their nearest pivot.  A query visits a
     cell only if the angle to its pivot does not exceed the cell's radius plus
@@ -110,7 +113,13 @@ def vector_join(
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, norm, out=m.copy(), where=norm > 1e-8)
 
-    sample = kb.filter(F.size("embedding") > 0).orderBy(F.xxhash64("kb_id")).limit(pivots)
+    pairs = "query_id string, kb_id string, similarity double"
+    sizes = kb.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("dim")).count()
+    usual = sizes.orderBy(F.desc("count"), "dim").first()
+    if usual is None:
+        return kb.sparkSession.createDataFrame([], pairs)
+    kb, queries = check_dim(kb, usual.dim)[0], check_dim(queries, usual.dim)[0]
+    sample = kb.orderBy(F.xxhash64("kb_id")).limit(pivots)
     centres = unit_rows(sample.select("embedding").toPandas()["embedding"])
     reach = math.acos(max(-1.0, min(1.0, min_sim))) + 1e-6
 
@@ -170,5 +179,5 @@ def vector_join(
 
     keys = ["cell", "block", "chunk"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        multiply, "query_id string, kb_id string, similarity double"
+        multiply, pairs
     )

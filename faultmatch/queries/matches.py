@@ -142,7 +142,7 @@ def layer_sql(base):
         f"""SELECT query_id, kb_id, error_hash, confidence_score, similarity, row_number() OVER (PARTITION BY query_id
         ORDER BY round(similarity * (0.7::DOUBLE + confidence_score * 0.3::DOUBLE), 9) DESC, error_hash, kb_id) AS rank FROM (
         SELECT *, {o.dot(o.unit('qv'), o.unit('kv'))} AS similarity FROM bucket_ranked
-        WHERE rank <= 50 AND query_id IN (SELECT query_id FROM {base})) WHERE similarity >= 0.7""",
+        WHERE query_id IN (SELECT query_id FROM {base})) WHERE similarity >= 0.7""",
         [base, "bucket_ranked"],
     )
     o.define(
@@ -252,7 +252,7 @@ register(
         row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, rank) AS rn FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity * (0.7::DOUBLE + confidence_score * 0.3::DOUBLE), 9) DESC, error_hash, kb_id) AS rank FROM (
           SELECT b.*, {o.dot(o.unit('qv'), o.unit('kv'))} AS similarity FROM (SELECT query_id, kb_id, error_hash, confidence_score, qv, kv, rank AS crank FROM bucket_ranked) b
-          WHERE crank <= 25 AND query_id IN (SELECT query_id FROM checked_strict WHERE is_valid)) WHERE similarity >= 0.7) n
+          WHERE query_id IN (SELECT query_id FROM checked_strict WHERE is_valid)) WHERE similarity >= 0.7) n
         JOIN kbs k USING (kb_id) WHERE rank <= 5) WHERE rn = 1)""",
         "bucket_ranked", "checked_strict", "kbs",
     ),

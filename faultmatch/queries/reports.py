@@ -244,7 +244,7 @@ o.define(
 register(
     "j5_bucket_candidates",
     lambda f: ve.bucket_candidates(vector_queries(f), f.kb).select("query_id", "kb_id", "rank"),
-    o.sql("SELECT query_id, kb_id, rank FROM bucket_ranked WHERE rank <= 300", "bucket_ranked"),
+    o.sql("SELECT query_id, kb_id, rank FROM bucket_ranked", "bucket_ranked"),
 )
 register(
     "j6_regex_join",

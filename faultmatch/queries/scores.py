@@ -121,8 +121,8 @@ register(
 
 def bucket_sql(v):
     cols = []
-    for weights in sim.projection_weights():
-        ws = "[" + ", ".join(f"{w!r}::DOUBLE" for w in weights[:64]) + "]"
+    for weights in sim.projection_weights(64):
+        ws = "[" + ", ".join(f"{w!r}::DOUBLE" for w in weights) + "]"
         cols.append(f"CAST(CAST(trunc({o.dot(v, ws)} * 100) AS INT) AS STRING)")
     return cols
 

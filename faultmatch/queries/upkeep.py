@@ -13,7 +13,7 @@ from faultmatch.queries.scores import bucket_sql
 from faultmatch.queries.reports import indexed, r6
 from faultmatch.session import new_path
 from faultmatch.sources import tables
-from faultmatch.sources.fixtures import AS_OF
+from faultmatch.sources.fixtures import AS_OF, results_of
 
 SEC = "yyyy-MM-dd HH:mm:ss"
 
@@ -75,37 +75,64 @@ o.define(
     ["taught"],
 )
 OLD_STEPS = "coalesce(array_to_string(k.resolution_steps, '|'), '')"
+
+
+def _taught_table(f):
+    """The knowledge base after a batch, written to its table and read back in all columns."""
+    base = new_path(f.spark, "kb")
+    tables.append(kn.teach(f.kb_table, fb.taught(f.teachings)), base, "kb")
+    rows = tables.read_table(f.spark, base, "kb")
+    return rows.select(
+        "kb_id", "error_hash", "error_signature", "error_text", F.array_join("resolution_steps", "|").alias("steps"),
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("embedding_sum"), "confidence_score",
+        "solution_source", stamp("created_at"), "source", "notes",
+    )
+
+
 register(
     "a5_teach",
-    lambda f: kn.teach(f.kb_texts, fb.taught(f.teachings)).withColumn("steps", F.array_join("resolution_steps", "|")).drop("resolution_steps"),
+    _taught_table,
     o.sql(
         f"""SELECT k.kb_id, k.error_hash, k.error_signature, k.error_text, CASE WHEN n.error_hash IS NULL THEN {OLD_STEPS}
-        ELSE array_to_string({o.ordered_distinct('list_concat(k.resolution_steps, n.new_steps)')}, '|') END AS steps, CAST(NULL AS STRING) AS source,
-        CASE WHEN n.error_hash IS NOT NULL THEN 'Updated with enhanced teaching' END AS notes
-        FROM kb k LEFT JOIN new_steps n USING (error_hash)
-        UNION ALL SELECT 't' || teach_id, error_hash, error_signature, raw_text, array_to_string(new_steps, '|'), 'human_enhanced',
+        ELSE array_to_string({o.ordered_distinct('list_concat(k.resolution_steps, n.new_steps)')}, '|') END AS steps,
+        round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS embedding_sum, confidence_score, solution_source,
+        {sql_stamp('created_at')}, 'seed' AS source,
+        CASE WHEN n.error_hash IS NOT NULL THEN 'Updated with enhanced teaching' WHEN CAST(kb_id AS BIGINT) % 2 = 0 THEN 'note ' || kb_id END AS notes
+        FROM kbv k LEFT JOIN new_steps n USING (error_hash)
+        UNION ALL SELECT 't' || teach_id, error_hash, error_signature, raw_text, array_to_string(new_steps, '|'), NULL, NULL, NULL,
+        strftime(ts, '%Y-%m-%d %H:%M:%S'), 'human_enhanced',
         'Enhanced teaching with conflict detection' FROM (SELECT t.*, n.new_steps, row_number() OVER (PARTITION BY t.error_hash ORDER BY ts, teach_id) AS rn
           FROM taught t JOIN new_steps n USING (error_hash) WHERE t.error_hash NOT IN (SELECT error_hash FROM kb)) WHERE rn = 1""",
-        "kb", "new_steps", "taught",
+        "kbv", "new_steps", "taught",
     ),
 )
 
 
 def versions(f):
-    return kn.version_rows(fb.conflict_check(fb.taught(f.teachings), f.kb_texts, f.feedback))
+    return kn.version_rows(fb.conflict_check(fb.taught(f.teachings), f.kb_texts, f.feedback), f.kb_texts)
+
+
+def _version_table(f):
+    """The history rows written to their table and read back."""
+    base = new_path(f.spark, "kb_versions")
+    tables.append(versions(f), base, "kb_versions")
+    rows = tables.read_table(f.spark, base, "kb_versions")
+    return rows.withColumns({"resolution_steps": F.array_join("resolution_steps", "\n"), "created_at": F.date_format("created_at", SEC)})
 
 
 o.define(
     "versions",
-    """SELECT 'v' || t.teach_id AS version_id, t.error_hash, array_to_string(t.steps, chr(10)) AS steps_text, t.ts AS created_at,
+    """SELECT 'v' || t.teach_id AS version_id, coalesce(k.kb_id, 't' || first_value(t.teach_id) OVER (PARTITION BY t.error_hash ORDER BY t.ts, t.teach_id)) AS kb_entry_id,
+    t.error_hash, array_to_string(t.steps, chr(10)) AS resolution_steps, t.ts AS created_at, t.author AS created_by,
     CASE WHEN coalesce(helpful_ratings / ratings < 0.6, false) THEN 'alternative' ELSE 'create' END AS change_type,
     CAST(NULL AS STRING) AS parent_version, 0.8::DOUBLE AS confidence_score, 0 AS feedback_count, true AS is_active
-    FROM taught t LEFT JOIN conflicts c USING (teach_id)""",
-    ["taught", "conflicts"],
+    FROM taught t LEFT JOIN conflicts c USING (teach_id)
+    LEFT JOIN (SELECT error_hash, arg_min(kb_id, (created_at, kb_id)) AS kb_id FROM kb GROUP BY error_hash) k ON k.error_hash = t.error_hash""",
+    ["taught", "conflicts", "kb"],
 )
 register(
     "a6_version_rows",
-    lambda f: versions(f).withColumn("created_at", F.date_format("created_at", SEC)),
+    _version_table,
     o.sql(f"SELECT * REPLACE (strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at) FROM versions", "versions"),
 )
 register(
@@ -122,22 +149,19 @@ register(
     "a8_index_backlog",
     lambda f: ve.index_backlog(f.kb, indexed(f)).select("kb_id", "error_hash"),
     o.sql(
-        """SELECT kb_id, error_hash FROM kbv WHERE embedding IS NOT NULL AND kb_id NOT IN (SELECT kb_id FROM indexed)
-        ORDER BY created_at, kb_id LIMIT 100""",
+        """SELECT kb_id, error_hash FROM kbv WHERE embedding IS NOT NULL AND kb_id NOT IN (SELECT kb_id FROM indexed)""",
         "kbv", "indexed",
     ),
 )
 
 
 def _index_table(f):
-    """The index written as a partitioned table and read back."""
-    path = new_path(f.spark, "vector_index")
-    rows = ve.build_index(f.kb.select("kb_id", "error_hash", "embedding"))
-    hashes = f.kb_texts.select("kb_id", "error_hash")
-    rows.join(hashes, "kb_id").withColumn("part", F.pmod(F.xxhash64("lsh_hash_0"), F.lit(16)).cast("int")).write.partitionBy(
-        "part"
-    ).parquet(path)
-    return f.spark.read.parquet(path).select("kb_id", "error_hash", "lsh_hash_0", "lsh_hash_1", "lsh_hash_2")
+    """The index rows written to their table and read back."""
+    base = new_path(f.spark, "vector_index")
+    tables.append(ve.index_rows(f.kb.select("kb_id", "error_hash", "embedding"), F.expr(f"TIMESTAMP '{AS_OF}'")), base, "vector_index")
+    rows = tables.read_table(f.spark, base, "vector_index")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn("vector_sum", F.round(total, 4)).withColumn("created_at", F.date_format("created_at", SEC)).drop("vector")
 
 
 _b = bucket_sql("embedding")
@@ -145,57 +169,97 @@ register(
     "a9_index_rows",
     _index_table,
     o.sql(
-        f"SELECT kb_id, error_hash, {_b[0]} AS lsh_hash_0, {_b[1]} AS lsh_hash_1, {_b[2]} AS lsh_hash_2 FROM kbv WHERE embedding IS NOT NULL",
+        f"""SELECT kb_id AS index_id, error_hash, {_b[0]} AS lsh_hash_0, {_b[1]} AS lsh_hash_1, {_b[2]} AS lsh_hash_2,
+        '{AS_OF}' AS created_at, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS vector_sum
+        FROM kbv WHERE embedding IS NOT NULL""",
         "kbv",
     ),
 )
 LIVE = f"created_at > {o.TS} - INTERVAL 24 HOURS"
+
+
+def shown_results(c="results"):
+    return F.array_join(F.transform(c, lambda r: F.concat(r["error_hash"], F.lit("="), r["similarity"].cast("string"))), ",").alias("results")
+
+
+def sql_results(h):
+    return f"('a' || {h} || '=0.9,b' || {h} || '=0.8')"
+
+
 register(
     "a10_cache_lookup",
-    lambda f: ch.lookup(f.lookups.select("lookup_id", "cache_key"), f.cache, AS_OF),
+    lambda f: ch.lookup(f.lookups.select("lookup_id", "cache_key"), f.result_cache, AS_OF).withColumn("results", shown_results()),
     o.sql(
-        f"""SELECT lookup_id, l.cache_key, c.query_hash, c.query_hash IS NOT NULL AS is_hit FROM lookups l
+        f"""SELECT lookup_id, l.cache_key, c.query_hash, {sql_results('c.query_hash')} AS results, c.query_hash IS NOT NULL AS is_hit FROM lookups l
         LEFT JOIN (SELECT * FROM cache WHERE {LIVE}) c USING (cache_key)""",
         "lookups", "cache",
     ),
 )
 register(
     "a10_cache_misses",
-    lambda f: ch.misses(f.lookups.select("lookup_id", "cache_key"), f.cache, AS_OF),
+    lambda f: ch.misses(f.lookups.select("lookup_id", "cache_key"), f.result_cache, AS_OF),
     o.sql(
         f"SELECT lookup_id, cache_key FROM lookups WHERE cache_key NOT IN (SELECT cache_key FROM cache WHERE {LIVE})",
         "lookups", "cache",
     ),
 )
-CACHE_COLS = ["cache_key", "query_hash", "created_at", "hit_count", "last_accessed"]
 
 
-def stamped(df):
-    return df.select("cache_key", "query_hash", stamp("created_at"), "hit_count", stamp("last_accessed"))
+def stored(f, df):
+    """A cache written to its table and read back."""
+    base = new_path(f.spark, "vector_cache")
+    tables.append(df, base, "vector_cache")
+    rows = tables.read_table(f.spark, base, "vector_cache")
+    return rows.select("cache_key", "query_hash", shown_results(), stamp("created_at"), "hit_count", stamp("last_accessed"))
 
 
+MERGED = """SELECT coalesce(c.cache_key, n.cache_key) AS cache_key, coalesce(c.query_hash, n.query_hash) AS query_hash,
+  coalesce(n.query_hash, c.query_hash) AS result_hash, CASE WHEN n.cache_key IS NULL THEN c.created_at ELSE {ts} END AS created_at,
+  coalesce(c.hit_count, 0) + CASE WHEN n.cache_key IS NULL THEN 0 ELSE 1 END AS hit_count, coalesce(c.last_accessed, {ts}) AS last_accessed
+  FROM cache c FULL JOIN {new} n ON c.cache_key = n.cache_key"""
+MERGED_COLS = f"cache_key, query_hash, {sql_results('result_hash')} AS results, {sql_stamp('created_at')}, hit_count, {sql_stamp('last_accessed')}"
 register(
     "a11_cache_merge",
-    lambda f: stamped(ch.merge(f.cache, f.new_results, AS_OF)),
-    o.sql(
-        f"""SELECT cache_key, query_hash, {sql_stamp('created_at')}, hit_count, {sql_stamp('last_accessed')} FROM (
-        SELECT coalesce(c.cache_key, n.cache_key) AS cache_key, coalesce(n.query_hash, c.query_hash) AS query_hash,
-        CASE WHEN n.cache_key IS NULL THEN c.created_at ELSE {o.TS} END AS created_at,
-        coalesce(c.hit_count, 0) + CASE WHEN n.cache_key IS NULL THEN 0 ELSE 1 END AS hit_count, coalesce(c.last_accessed, {o.TS}) AS last_accessed
-        FROM cache c FULL JOIN new_results n ON c.cache_key = n.cache_key)""",
-        "cache", "new_results",
-    ),
+    lambda f: stored(f, ch.merge(f.result_cache, f.found_results, AS_OF)),
+    o.sql(f"SELECT {MERGED_COLS} FROM ({MERGED.format(ts=o.TS, new='new_results')})", "cache", "new_results"),
 )
 register(
     "a12_cache_hits",
-    lambda f: stamped(ch.apply_hits(f.cache, f.lookups)),
+    lambda f: stored(f, ch.apply_hits(f.result_cache, f.lookups)),
     o.sql(
-        f"""SELECT cache_key, query_hash, {sql_stamp('created_at')}, hit_count + coalesce(n, 0) AS hit_count,
+        f"""SELECT cache_key, query_hash, {sql_results('query_hash')} AS results, {sql_stamp('created_at')}, hit_count + coalesce(n, 0) AS hit_count,
         {sql_stamp('coalesce(latest, last_accessed)', 'last_accessed')} FROM cache
         LEFT JOIN (SELECT cache_key, count(*) AS n, max(ts) AS latest FROM lookups GROUP BY cache_key) USING (cache_key)""",
         "cache", "lookups",
     ),
 )
+
+
+def searched(f):
+    """The cached search over all lookups; a miss finds results named after its key."""
+
+    def find(keys):
+        name = F.concat(F.lit("s"), F.col("cache_key"))
+        return keys.withColumn("query_hash", name).withColumn("results", results_of(name))
+
+    return ch.search(f.lookups.select("lookup_id", "cache_key"), f.result_cache, find, AS_OF)
+
+
+o.define("searched", f"SELECT DISTINCT cache_key, 's' || cache_key AS query_hash FROM lookups WHERE cache_key NOT IN (SELECT cache_key FROM cache WHERE {LIVE})", ["lookups", "cache"])
+register(
+    "a10_cached_search",
+    lambda f: searched(f)[0].withColumn("results", shown_results()),
+    o.sql(
+        f"""SELECT lookup_id, l.cache_key, {sql_results('coalesce(s.query_hash, c.query_hash)')} AS results, s.query_hash IS NULL AS is_hit
+        FROM lookups l LEFT JOIN searched s USING (cache_key) LEFT JOIN cache c USING (cache_key)""",
+        "lookups", "searched", "cache",
+    ),
+)
+register(
+    "a11_search_store",
+    lambda f: stored(f, searched(f)[1]),
+    o.sql(f"SELECT {MERGED_COLS} FROM ({MERGED.format(ts=o.TS, new='searched')})", "cache", "searched"),
+)
 register(
     "a14_training_rows",
     lambda f: kn.training_rows(f.kb_texts, f.feedback).select("kb_id", "feedback_id", "was_helpful"),
@@ -214,7 +278,9 @@ def _paths(f):
     tables.append(rows, base, "tree_paths")
     table = tables.read_table(f.spark, base, "tree_paths")
     walk = F.array_join(F.transform("path", lambda p: F.concat(p["node_id"], F.when(p["decision"], "+").otherwise("-"))), ",")
-    return table.select("path_id", walk.alias("walk"), "was_successful", "nodes_visited")
+    return table.select(
+        "path_id", walk.alias("walk"), "was_successful", "nodes_visited", "session_id", "error_hash", "duration_seconds", "created_by"
+    )
 
 
 register(
@@ -222,7 +288,8 @@ register(
     _paths,
     o.sql(
         """SELECT CAST(path_id AS STRING) AS path_id, string_agg(node_id || CASE WHEN decision THEN '+' ELSE '-' END, ',' ORDER BY step_no) AS walk,
-        bool_and(was_successful) AS was_successful, count(*) AS nodes_visited FROM tree_steps GROUP BY path_id""",
+        bool_and(was_successful) AS was_successful, count(*) AS nodes_visited, min(session_id) AS session_id, min(error_hash) AS error_hash,
+        CAST(sum(seconds) AS INT) AS duration_seconds, min(created_by) AS created_by FROM tree_steps GROUP BY path_id""",
         "tree_steps",
     ),
 )
@@ -445,11 +512,11 @@ register(
 )
 register(
     "r7_path_outcomes",
-    lambda f: r6(tr.path_outcomes(f.tree_steps), "success_rate"),
+    lambda f: r6(tr.path_outcomes(f.tree_steps), "success_rate", "mean_seconds"),
     o.sql(
         """SELECT node_id, count(*) AS times_used, count(*) FILTER (was_successful) AS successes,
-        round(avg(CASE WHEN was_successful THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS success_rate, count(DISTINCT path_id) AS walks
-        FROM tree_steps GROUP BY node_id""",
+        round(avg(CASE WHEN was_successful THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS success_rate, count(DISTINCT path_id) AS walks,
+        round(avg(seconds), 6) AS mean_seconds FROM tree_steps GROUP BY node_id""",
         "tree_steps",
     ),
 )

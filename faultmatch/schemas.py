@@ -1,7 +1,7 @@
 """Table schemas, as DDL."""
 
 TABLES = {
-    "kb": """id string, error_hash string, error_signature string, error_text string,
+    "kb": """kb_id string, error_hash string, error_signature string, error_text string,
         resolution_steps array<string>, embedding array<float>, confidence_score double,
         solution_source string, created_at timestamp, updated_at timestamp, source string, notes string""",
     "feedback": """feedback_id string, session_id string, solution_hash string, solution_source string,

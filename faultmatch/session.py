@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # scoring is heavy per byte: do not merge small shuffles into a single task
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # ranks are trimmed before the shuffle up to this k
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 
@@ -32,6 +33,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "16g
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,15 +43,13 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "16g
 def shared_folder(spark: SparkSession) -> str:
     """Folder for lineage cuts and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local master, as in
-    tests, falls back to a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a folder
+    of the warehouse serves, which all executors share as well.
     """
     current = spark.sparkContext.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="faultmatch-")
+        named = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_faultmatch")
     if current is None:
         spark.sparkContext.setCheckpointDir(named)
     return named or current

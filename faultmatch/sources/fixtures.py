@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultmatch.functions import text as tx
 
@@ -41,7 +41,7 @@ SELECT CAST(p_partkey AS STRING) AS kb_id,
 FROM {part}""",
     "feedback_raw": """
 SELECT CAST(event_id AS STRING) AS feedback_id, concat('s', CAST(user_id AS STRING)) AS session_id,
-  CAST(1 + (event_id * 37) % 150 AS STRING) AS kb_id,
+  CAST(1 + (event_id * 37) % (SELECT CAST(floor(count(*) * 0.75) AS BIGINT) FROM {part}) AS STRING) AS kb_id,
   CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'exact_match' WHEN 1 THEN 'enhanced_fuzzy_keyword' WHEN 2 THEN 'enhanced_fuzzy_search'
     WHEN 3 THEN 'advanced_scalable_vector' WHEN 4 THEN 'pattern_match' ELSE 'comprehensive_ml' END AS solution_source,
   CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type <> 'error' AND value < 60 END AS was_helpful,
@@ -80,7 +80,7 @@ SELECT CAST(c_custkey AS STRING) AS teach_id,
   CASE WHEN c_custkey % 5 = 0 THEN concat('Novel fault near ', c_name) ELSE k.error_text END AS raw_text,
   CASE WHEN c_custkey % 31 = 0 THEN chr(10)
     ELSE concat('Check ', c_mktsegment, chr(13), chr(10), chr(10), 'Restart') END AS steps_text,
-  TIMESTAMP '2024-01-30 00:00:00' + c_custkey * INTERVAL '1' MINUTE AS ts
+  TIMESTAMP '2024-01-30 00:00:00' + c_custkey * INTERVAL '1' MINUTE AS ts, concat('u', CAST(c_custkey % 20 AS STRING)) AS author
 FROM {customer} JOIN {kb_raw} k ON k.kb_id = CAST(c_custkey - c_custkey % 3 AS STRING)""",
     "answers": """
 SELECT conv_id, turn, concat('Intro', chr(10), '1. ', replace(text, chr(10), ' '), chr(10),
@@ -89,7 +89,9 @@ FROM {conversations}""",
     "tree_steps": """
 SELECT conv_id AS path_id, turn AS step_no,
   concat('n', CAST(turn AS STRING), '-', CAST(conv_id % 5 AS STRING)) AS node_id,
-  length(text) % 3 <> 0 AS decision, conv_id % 4 <> 0 AS was_successful
+  length(text) % 3 <> 0 AS decision, conv_id % 4 <> 0 AS was_successful, length(text) % 60 AS seconds,
+  concat('s', CAST(conv_id % 7 AS STRING)) AS session_id, md5(CAST(conv_id % 11 AS STRING)) AS error_hash,
+  concat('u', CAST(conv_id % 3 AS STRING)) AS created_by
 FROM {conversations}""",
     "cache": """
 SELECT concat('q', CAST(user_id AS STRING)) AS cache_key, max(ts) AS created_at, CAST(count(*) AS INT) AS hit_count,
@@ -109,6 +111,12 @@ GIVEN = [
 ]
 
 
+def results_of(name: Column) -> Column:
+    """A result list that tells the hash it belongs to."""
+    first = F.struct(F.concat(F.lit("a"), name).alias("error_hash"), F.lit(0.9).alias("similarity"))
+    return F.array(first, F.struct(F.concat(F.lit("b"), name).alias("error_hash"), F.lit(0.8).alias("similarity")))
+
+
 class Fixtures:
     """The given tables and the views over them, read lazily."""
 
@@ -157,6 +165,24 @@ class Fixtures:
             .withColumn("resolution_steps", tx.teach_steps("steps_text"))
         )
 
+    @cached_property
+    def kb_table(self) -> DataFrame:
+        """The knowledge base in the columns of its table, every second row with notes of its own."""
+        from faultmatch.sources import tables
+
+        own = self.kb.drop("steps_text").withColumn("source", F.lit("seed"))
+        return tables.fit(own.withColumn("notes", F.when(F.col("kb_id").cast("long") % 2 == 0, F.concat(F.lit("note "), "kb_id"))), "kb")
+
+    @cached_property
+    def result_cache(self) -> DataFrame:
+        """The cache with its results."""
+        return self.table("cache").withColumn("results", results_of(F.col("query_hash")))
+
+    @cached_property
+    def found_results(self) -> DataFrame:
+        """New results for some keys."""
+        return self.table("new_results").withColumn("results", results_of(F.col("query_hash")))
+
     @cached_property
     def feedback(self) -> DataFrame:
         hashes = self.kb_texts.select("kb_id", F.col("error_hash").alias("solution_hash"), "error_signature")

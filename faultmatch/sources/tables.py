@@ -33,12 +33,15 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def append(df: DataFrame, base: str, name: str) -> None:
-    """Append rows under the table's schema; absent columns become null."""
+    """Append rows under the table's schema; absent columns become null, unknown ones are refused."""
     fit(df, name).write.mode("append").parquet(os.path.join(base, name))
 
 
 def fit(df: DataFrame, name: str) -> DataFrame:
     fields = schema_of(name).fields
+    unknown = sorted(set(df.columns) - {f.name for f in fields})
+    if unknown:
+        raise ValueError(f"{name} has no columns {', '.join(unknown)}")
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -77,13 +80,21 @@ def security_events(validated: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def path_rows(steps: DataFrame, created_at: Column) -> DataFrame:
-    """One tree path per walk from its step rows."""
+    """One tree path per walk from its step rows.
+
+    Where the steps carry them, the walk keeps its session, error and author,
+    and lasts as long as its steps together.
+    """
     visited = F.transform(
         F.sort_array(F.collect_list(F.struct("step_no", "node_id", "decision"))),
         lambda s: F.struct(s["node_id"].alias("node_id"), s["decision"].alias("decision")),
     )
+    kept = [F.min(c).alias(c) for c in ("session_id", "error_hash", "created_by") if c in steps.columns]
+    if "seconds" in steps.columns:
+        kept.append(F.sum("seconds").cast("int").alias("duration_seconds"))
     return steps.groupBy("path_id").agg(
         visited.alias("path"),
         F.bool_and("was_successful").alias("was_successful"),
         F.count("*").cast("int").alias("nodes_visited"),
+        *kept,
     ).withColumn("created_at", created_at)
