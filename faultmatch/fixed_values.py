@@ -170,8 +170,6 @@ SANITIZE_REPLACEMENTS = [
 ]
 MAX_QUERY_LENGTH = 4000
 MAX_DAILY_QUERIES = 1000
-LOG_DETAIL_LENGTH = 500
-LONG_INPUT_EXCERPT = 100
 RATE_LIMITED_TYPES = ["QUERY", "SEARCH"]
 
 EVENT_SEVERITY = {

@@ -42,13 +42,17 @@ def sanitize(c: Column | str) -> Column:
     return strip(out)
 
 
-def verdict(c: Column | str, over_limit: Column) -> Column:
-    """First rule that fires; accepted input is ERROR_ANALYSIS or QUERY."""
+def _too_long(text: Column, max_length: int | None) -> Column:
+    return F.lit(False) if max_length is None else F.length(text) > max_length
+
+
+def verdict(c: Column | str, over_limit: Column, max_length: int | None = fv.MAX_QUERY_LENGTH) -> Column:
+    """First rule that fires; accepted input is ERROR_ANALYSIS or QUERY.  ``max_length`` refuses longer input, ``None`` none."""
     text = col(c)
     error = is_error_message(text)
     return (
         F.when(is_blank(text), "EMPTY")
-        .when(F.length(text) > fv.MAX_QUERY_LENGTH, "EXCESSIVE_LENGTH")
+        .when(_too_long(text, max_length), "EXCESSIVE_LENGTH")
         .when(~error & is_sql_injection(text), "SQL_INJECTION_ATTEMPT")
         .when(is_xss(text), "XSS_ATTEMPT")
         .when(~error & has_command(text), "DANGEROUS_COMMAND")
@@ -58,11 +62,11 @@ def verdict(c: Column | str, over_limit: Column) -> Column:
     )
 
 
-def verdict_strict(c: Column | str, over_limit: Column) -> Column:
+def verdict_strict(c: Column | str, over_limit: Column, max_length: int | None = fv.MAX_QUERY_LENGTH) -> Column:
     text = col(c)
     return (
         F.when(is_blank(text), "EMPTY")
-        .when(F.length(text) > fv.MAX_QUERY_LENGTH, "EXCESSIVE_LENGTH")
+        .when(_too_long(text, max_length), "EXCESSIVE_LENGTH")
         .when(is_strict_sql(text), "SQL_INJECTION_ATTEMPT")
         .when(is_xss(text), "XSS_ATTEMPT")
         .when(has_command(text, strict=True), "DANGEROUS_COMMAND")
@@ -80,13 +84,14 @@ def event_type(v: Column | str) -> Column:
     return F.when(~col(v).isin("EMPTY", "ACCEPTED"), col(v))
 
 
-def event_details(v: Column | str, text: Column | str) -> Column:
+def event_details(v: Column | str, text: Column | str, length: int | None = None) -> Column:
+    """What is logged beside a verdict: the refused text, of which ``length`` keeps only the start."""
+    refused = col(text) if length is None else F.substring(col(text), 1, length)
     return (
-        F.when(col(v) == "EXCESSIVE_LENGTH", F.substring(col(text), 1, fv.LONG_INPUT_EXCERPT))
-        .when(col(v) == "RATE_LIMIT_EXCEEDED", "")
+        F.when(col(v) == "RATE_LIMIT_EXCEEDED", "")
         .when(col(v) == "ERROR_ANALYSIS", fv.ACCEPTED_ERROR_DETAIL)
         .when(col(v) == "QUERY", fv.ACCEPTED_QUERY_DETAIL)
-        .when(~col(v).isin("EMPTY", "ACCEPTED"), F.substring(col(text), 1, fv.LOG_DETAIL_LENGTH))
+        .when(~col(v).isin("EMPTY", "ACCEPTED"), refused)
     )
 
 

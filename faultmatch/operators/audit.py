@@ -49,15 +49,19 @@ def counts_as_of(log: DataFrame, as_of: str) -> DataFrame:
 
 
 def validate(
-    incoming: DataFrame, log: DataFrame | None = None, limit: int = fv.MAX_DAILY_QUERIES, strict: bool = False
+    incoming: DataFrame, log: DataFrame | None = None, limit: int = fv.MAX_DAILY_QUERIES, strict: bool = False,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """Verdict, message and clean text per row; without a log nobody is over the limit."""
+    """Verdict, message and clean text per row; without a log nobody is over the limit.
+
+    Input of any length is judged, unless ``max_length`` refuses what is longer.
+    """
     if log is None:
         rows = incoming.withColumn("recent_queries", F.lit(0).cast("long"))
     else:
         rows = incoming.join(recent_counts(incoming.select("query_id", "user_id", "ts"), log), "query_id")
     judge = sec.verdict_strict if strict else sec.verdict
-    rows = rows.withColumn("verdict", judge("raw_text", F.col("recent_queries") >= limit))
+    rows = rows.withColumn("verdict", judge("raw_text", F.col("recent_queries") >= limit, max_length))
     message = F.create_map(*[F.lit(x) for pair in fv.VERDICT_MESSAGES.items() for x in pair])
     clean = F.when(F.col("verdict").isin("QUERY", "ACCEPTED"), sec.sanitize("raw_text")).otherwise(F.col("raw_text"))
     return (

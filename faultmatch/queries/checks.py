@@ -38,7 +38,7 @@ o.define(
     "checked",
     f"""SELECT *, {MESSAGES} AS message, verdict IN ('ERROR_ANALYSIS', 'QUERY') AS is_valid,
     CASE WHEN verdict = 'QUERY' THEN {sanitized('raw_text')} ELSE raw_text END AS clean_text FROM (
-    SELECT i.*, r.recent_queries, CASE WHEN trim(raw_text) = '' THEN 'EMPTY' WHEN length(raw_text) > 4000 THEN 'EXCESSIVE_LENGTH'
+    SELECT i.*, r.recent_queries, CASE WHEN trim(raw_text) = '' THEN 'EMPTY'
     WHEN NOT {ERR} AND {INJ} THEN 'SQL_INJECTION_ATTEMPT' WHEN {XSS} THEN 'XSS_ATTEMPT'
     WHEN NOT {ERR} AND {commands(fv.DANGEROUS_COMMANDS)} THEN 'DANGEROUS_COMMAND'
     WHEN recent_queries >= 1000 THEN 'RATE_LIMIT_EXCEEDED' WHEN {ERR} THEN 'ERROR_ANALYSIS' ELSE 'QUERY' END AS verdict
@@ -49,7 +49,7 @@ o.define(
     "checked_strict",
     f"""SELECT *, {MESSAGES} AS message, verdict = 'ACCEPTED' AS is_valid,
     CASE WHEN verdict = 'ACCEPTED' THEN {sanitized('raw_text')} ELSE raw_text END AS clean_text FROM (
-    SELECT i.*, r.recent_queries, CASE WHEN trim(raw_text) = '' THEN 'EMPTY' WHEN length(raw_text) > 4000 THEN 'EXCESSIVE_LENGTH'
+    SELECT i.*, r.recent_queries, CASE WHEN trim(raw_text) = '' THEN 'EMPTY'
     WHEN {STRICT} THEN 'SQL_INJECTION_ATTEMPT' WHEN {XSS} THEN 'XSS_ATTEMPT'
     WHEN {commands(fv.DANGEROUS_COMMANDS_STRICT)} THEN 'DANGEROUS_COMMAND'
     WHEN recent_queries >= 1000 THEN 'RATE_LIMIT_EXCEEDED' ELSE 'ACCEPTED' END AS verdict
@@ -59,9 +59,9 @@ o.define(
 EVENTS = f"""SELECT *, {o.label_of('event_type', fv.EVENT_SEVERITY, 'INFO')} AS severity FROM (
   SELECT query_id AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, verdict AS event_type,
   coalesce(user_id, 'unknown') AS user_id, coalesce(session_id, 'unknown') AS session_id,
-  CASE verdict WHEN 'EXCESSIVE_LENGTH' THEN substring(raw_text, 1, 100) WHEN 'RATE_LIMIT_EXCEEDED' THEN ''
+  CASE verdict WHEN 'RATE_LIMIT_EXCEEDED' THEN ''
     WHEN 'ERROR_ANALYSIS' THEN 'SQL error message analyzed' WHEN 'QUERY' THEN 'Validation passed'
-    ELSE substring(raw_text, 1, 500) END AS details FROM checked WHERE verdict <> 'EMPTY')"""
+    ELSE raw_text END AS details FROM checked WHERE verdict <> 'EMPTY')"""
 VERDICT_COLS = ["query_id", "verdict", "is_valid", "message", "clean_text", "recent_queries"]
 
 

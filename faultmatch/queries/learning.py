@@ -274,7 +274,7 @@ def log_stream(f):
 
 def feedback_stream(f):
     hashes = f.kb_texts.select("kb_id", F.col("error_hash").alias("solution_hash"), "error_signature")
-    return f.spark.sql(VIEWS["feedback_raw"], events=events_stream(f)).join(hashes, "kb_id")
+    return f.spark.sql(VIEWS["feedback_raw"], events=events_stream(f), part=f.part).join(hashes, "kb_id")
 
 
 register(

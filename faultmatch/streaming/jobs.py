@@ -1,9 +1,8 @@
 """Streaming twins of the batch aggregates.
 
-Every job runs with ``availableNow``: it takes what the source holds, keeps its
-progress and state under its own checkpoint folder, and can be started again.
-Aggregates are written as one folder per micro-batch; a batch that runs twice
-overwrites its own folder, and readers take the latest value of each key.
+Every job runs with ``availableNow``: it takes what the source holds and keeps its
+progress, state and result under ``path``.  Started again with the same path, it
+reads only what is new.  Without a path it starts afresh in a new folder.
 """
 
 from __future__ import annotations
@@ -32,11 +31,44 @@ def read_files(spark: SparkSession, folder: str, schema: StructType, pattern: st
     return stream
 
 
-def run_updates(stream: DataFrame, path: str) -> None:
-    """Write every updated aggregate row with its batch number."""
+def _versions(spark: SparkSession, folder: str, complete: bool = False) -> list[int]:
+    """Numbers of the result folders, oldest first; with ``complete``, of those fully written."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
+    if complete:
+        found = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in found)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def run_updates(stream: DataFrame, path: str, keys: list[str]) -> None:
+    """Merge every updated aggregate row into the result, one version a micro-batch.
+
+    A version holds the newest value of every key.  A batch that runs twice
+    merges into the version before it again and overwrites its own.  The last
+    two versions stay, so the result does not grow with the number of batches.
+    """
+    out = os.path.join(path, "out")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(path, "out", f"batch={number}"))
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, out, complete=True) if v < number]
+        rows = batch.persist()
+        merged = rows
+        if before:
+            old = spark.read.schema(batch.schema).parquet(os.path.join(out, f"version={before[-1]}"))
+            merged = rows.unionByName(old.join(rows.select(*keys), keys, "left_anti"))
+        merged.write.mode("overwrite").parquet(os.path.join(out, f"version={number}"))
+        rows.unpersist()
+        for version in before[:-1]:
+            _drop(spark, os.path.join(out, f"version={version}"))
 
     query = (
         stream.writeStream.outputMode("update")
@@ -48,36 +80,37 @@ def run_updates(stream: DataFrame, path: str) -> None:
     query.awaitTermination()
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest value of every key over all batches."""
-    rows = spark.read.option("basePath", os.path.join(path, "out")).parquet(os.path.join(path, "out"))
-    values = [c for c in rows.columns if c not in keys and c != "batch"]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return newest.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
+def latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Newest value of every key."""
+    out = os.path.join(path, "out")
+    versions = _versions(spark, out, complete=True)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(os.path.join(out, f"version={versions[-1]}"))
 
 
-def _materialise(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
-    path = new_path(stream.sparkSession, name)
-    run_updates(stream, path)
-    return latest(stream.sparkSession, path, keys)
+def _materialise(stream: DataFrame, keys: list[str], name: str, path: str | None) -> DataFrame:
+    path = path or new_path(stream.sparkSession, name)
+    run_updates(stream, path, keys)
+    return latest(stream.sparkSession, path, stream.schema)
 
 
-def security_per_hour(log: DataFrame, late: str = "2 hours") -> DataFrame:
+def security_per_hour(log: DataFrame, late: str = "2 hours", path: str | None = None) -> DataFrame:
     """Events per type and hour; events later than ``late`` are dropped."""
     hours = log.withWatermark("created_at", late).groupBy(F.window("created_at", "1 hour").alias("w"), "event_type").agg(
         F.count("*").alias("events")
     )
     return _materialise(
-        hours.select(F.col("w.start").alias("hour"), "event_type", "events"), ["hour", "event_type"], "security-hours"
+        hours.select(F.col("w.start").alias("hour"), "event_type", "events"), ["hour", "event_type"], "security-hours", path,
     )
 
 
-def solution_stats(feedback: DataFrame) -> DataFrame:
+def solution_stats(feedback: DataFrame, path: str | None = None) -> DataFrame:
     """Continuously updated feedback statistics per solution."""
-    return _materialise(fb.solution_stats(feedback), ["solution_hash"], "solution-stats")
+    return _materialise(fb.solution_stats(feedback), ["solution_hash"], "solution-stats", path)
 
 
-def user_windows(log: DataFrame, late: str = "2 hours") -> DataFrame:
+def user_windows(log: DataFrame, late: str = "2 hours", path: str | None = None) -> DataFrame:
     """Limited-type events per user in sliding 24-hour windows that move by the hour.
 
     Coarser than the exact per-request count of the batch check: the window end
@@ -90,12 +123,12 @@ def user_windows(log: DataFrame, late: str = "2 hours") -> DataFrame:
         .agg(F.count("*").alias("queries"))
     )
     rows = counted.select(F.col("w.end").alias("window_end"), "user_id", "queries")
-    return _materialise(rows, ["window_end", "user_id"], "user-windows").withColumn(
+    return _materialise(rows, ["window_end", "user_id"], "user-windows", path).withColumn(
         "allowed", F.col("queries") < fv.MAX_DAILY_QUERIES
     )
 
 
-def category_hours(feedback: DataFrame, late: str = "2 hours") -> DataFrame:
+def category_hours(feedback: DataFrame, late: str = "2 hours", path: str | None = None) -> DataFrame:
     """Hourly counts per category, the input of the trend functions."""
     hours = (
         feedback.withColumn("category", tx.categorize("error_signature"))
@@ -103,7 +136,7 @@ def category_hours(feedback: DataFrame, late: str = "2 hours") -> DataFrame:
         .groupBy("category", F.window("created_at", "1 hour").alias("w"))
         .agg(F.count("*").alias("n"))
     )
-    return _materialise(hours.select("category", F.col("w.start").alias("hour"), "n"), ["category", "hour"], "category-hours")
+    return _materialise(hours.select("category", F.col("w.start").alias("hour"), "n"), ["category", "hour"], "category-hours", path)
 
 
 def index_vectors(stream: DataFrame, path: str, key: str = "kb_id") -> DataFrame:

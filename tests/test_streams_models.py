@@ -49,12 +49,33 @@ def test_late_rows_are_dropped_after_the_watermark(spark):
 
 def test_solution_stats_equal_batch(spark, fixtures, event_files):
     hashes = fixtures.kb_texts.select("kb_id", F.col("error_hash").alias("solution_hash"), "error_signature")
-    ratings = spark.sql(VIEWS["feedback_raw"], events=stream(spark, event_files, fixtures.events.schema)).join(hashes, "kb_id")
+    ratings = spark.sql(VIEWS["feedback_raw"], events=stream(spark, event_files, fixtures.events.schema), part=fixtures.part).join(hashes, "kb_id")
     got = {r["solution_hash"]: (round(r["success_rate"], 9), r["feedback_count"]) for r in jobs.solution_stats(ratings).collect()}
     want = {r["solution_hash"]: (round(r["success_rate"], 9), r["feedback_count"]) for r in fb.solution_stats(fixtures.feedback).collect()}
     assert got == want
 
 
+def test_streams_start_again_where_they_stopped(spark, fixtures, tmp_path):
+    """New files alone are read; the result equals the batch over all files and keeps two versions at most."""
+    schema, batches = fixtures.events.schema, [fixtures.events.filter(f"event_id % 5 = {k}") for k in range(5)]
+    hashes = fixtures.kb_texts.select("kb_id", F.col("error_hash").alias("solution_hash"), "error_signature")
+
+    def ratings(events):
+        return spark.sql(VIEWS["feedback_raw"], events=events, part=fixtures.part).join(hashes, "kb_id")
+
+    for k, part in enumerate(batches):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+        got = jobs.solution_stats(
+            ratings(jobs.read_files(spark, str(tmp_path / "in" / "part*"), schema, per_batch=1)), path=str(tmp_path / "job")
+        )
+        seen = fixtures.events.filter(f"event_id % 5 <= {k}")
+        key = lambda r: (r["solution_hash"], round(r["success_rate"], 9), r["feedback_count"], round(r["conflict_rate"], 9))
+        assert sorted(map(key, got.collect())) == sorted(map(key, fb.solution_stats(ratings(seen)).collect()))
+    offsets = [f for f in os.listdir(tmp_path / "job" / "progress" / "offsets") if f.isdigit()]
+    assert len(offsets) == 5
+    assert len([f for f in os.listdir(tmp_path / "job" / "out") if f.startswith("version=")]) <= 2
+
+
 def test_incremental_index_is_idempotent(spark, fixtures):
     folder, path = tempfile.mkdtemp(prefix="vec-"), tempfile.mkdtemp(prefix="idx-")
     rows = fixtures.embeddings.select(F.col("vec_id").cast("string").alias("kb_id"), "embedding")
