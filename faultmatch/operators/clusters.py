@@ -92,6 +92,11 @@ def summary(members: DataFrame) -> DataFrame:
     return totals.join(names, "cluster")
 
 
+def member_rows(members: DataFrame) -> DataFrame:
+    """The errors of each cluster and how often each is in it."""
+    return members.groupBy("cluster", "error_hash").agg(F.count("*").alias("times"))
+
+
 def keywords(members: DataFrame, k: int = 5) -> DataFrame:
     """Most frequent signature keywords per cluster, counted over members."""
     per_text = members.groupBy("cluster", "error_signature").agg(F.count("*").alias("n"))

@@ -23,6 +23,8 @@ from faultmatch.operators import clusters as cl
 from faultmatch.plans import matching as mt
 
 SEED = 42
+#: Levels of the decision tree, features that approximate the kernel, passes of each linear machine.
+TREE_DEPTH, KERNEL_FEATURES, PASSES = 8, 64, 25
 
 
 def training_points(kb: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -60,8 +62,9 @@ def cluster_centres(points: DataFrame, k: int = fv.CLUSTER_COUNT, seed: int = SE
     return cl.Centres(list(range(len(found))), [[float(x) for x in c] for c in found])
 
 
-def success_tree(points: DataFrame, seed: int = SEED) -> DecisionTreeClassificationModel:
-    return DecisionTreeClassifier(impurity="entropy", maxDepth=8, seed=seed).fit(assembled(points))
+def success_tree(points: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH) -> DecisionTreeClassificationModel:
+    """Entropy tree of at most ``depth`` levels; all points are used."""
+    return DecisionTreeClassifier(impurity="entropy", maxDepth=depth, seed=seed).fit(assembled(points))
 
 
 def success_net(points: DataFrame, scale: bool = True, seed: int = SEED, epochs: int = 100) -> PipelineModel | MultilayerPerceptronClassificationModel:
@@ -104,7 +107,7 @@ def split_importance(tree: DecisionTreeClassificationModel) -> list[tuple[str, i
     ]
 
 
-def fourier_features(rows: DataFrame, points: DataFrame, dims: int = 64, seed: int = SEED) -> DataFrame:
+def fourier_features(rows: DataFrame, points: DataFrame, dims: int = KERNEL_FEATURES, seed: int = SEED) -> DataFrame:
     """Random Fourier features of a Gaussian kernel whose width follows the spread of ``points``."""
     spread = points.agg(*[F.var_pop(n).alias(n) for n in sc.FEATURE_NAMES]).first()
     scales = np.array([(v or 0.0) ** 0.5 or 1.0 for v in spread])
@@ -126,7 +129,7 @@ def category_classifier(points: DataFrame, complexity: float = 100.0, seed: int
     numbers = F.create_map(*[F.lit(x) for pair in index.items() for x in pair])
     data = fourier_features(points.withColumn("label", numbers[F.col("category")].cast("double")), points, seed=seed)
     n = max(1, points.count())
-    svm = LinearSVC(maxIter=25, regParam=1.0 / (complexity * n), standardization=False)
+    svm = LinearSVC(maxIter=PASSES, regParam=1.0 / (complexity * n), standardization=False)
     # the library keeps the rows it reads once per class under its own persist
     model = OneVsRest(classifier=svm, labelCol="label", featuresCol="features", parallelism=5).fit(data)
     return model.transform(data)

@@ -339,7 +339,8 @@ def cascade(
     of executors.  ``learned`` adds a model layer over (query_id, clean_text,
     error_hash, ts).
     """
-    rated = fb.join_stats(kb, cut(fb.solution_stats(feedback)))
+    # every layer reads the rated rows: signatures, hashes and statistics are worked out once
+    rated = cut(fb.join_stats(kb, fb.solution_stats(feedback)))
     left = cut(prepare(checked).select("query_id", "clean_text", "signature", "error_hash", "ts"))
     answered: list[DataFrame] = []
 

@@ -111,6 +111,11 @@ register(
         "t_near",
     ),
 )
+register(
+    "g22_cluster_members",
+    lambda f: cl.member_rows(members(f)),
+    o.sql("SELECT cluster, error_hash, count(*) AS times FROM t_near GROUP BY cluster, error_hash", "t_near"),
+)
 register(
     "g23_cluster_keywords",
     lambda f: cl.keywords(members(f)),
