@@ -189,22 +189,25 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands of minima, and minima of a band. Texts of similarity 0.8 share a band at 99.7 %, of 0.85 at 99.95 %.
 BANDS, ROWS = 8, 3
 #: Texts of similarity 0.8 differ in 9.5 of 64 bits on average, with a deviation of 2.8.
-FAR_BITS = 28
+FAR_BITS = 22
+#: Candidates of larger buckets are not paired at once.
+CROWD = 256
 
 _TURNS = np.random.default_rng(5).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(words: list[bytes]) -> tuple[int, int, int, list[int]]:
-    """Two halves of a digest of the words, the fingerprint, and the keys under which similar texts meet."""
+def sketch(words: list[bytes]) -> tuple[int, int, int, int, list[int]]:
+    """Two halves of a digest of the words, the fingerprint, the number of different shingles, and the keys of similar texts."""
     digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
     hashes = shingle_hashes(words, WORDS)
     fp = majority(hashes)
     keys = {int(k) for k in golay_keys(np.array([fp], dtype=np.uint64))[0]}
+    hashes = np.unique(hashes)
     if len(hashes):
         mixed = (hashes ^ (hashes >> np.uint64(29)))[None, :] * _TURNS[:, None]
         least = (mixed ^ (mixed >> np.uint64(32))).min(axis=1).reshape(BANDS, ROWS)
         keys |= {signed(xxhash.xxh64_intdigest(band.tobytes(), k) | 1 << 63) for k, band in enumerate(least)}
-    return *(int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8)), signed(fp), sorted(keys)
+    return *(int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8)), signed(fp), len(hashes), sorted(keys)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -213,80 +216,120 @@ def _sketches(docs: DataFrame) -> DataFrame:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             own = [sketch(words_of(t)) for t in texts_of(batch.column(1))]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            types = (*[pa.int64()] * 4, pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([s[k] for s in own], type=t) for k, t in enumerate(types))],
-                names=["doc_id", "d1", "d2", "fp", "keys"],
+                names=["doc_id", "d1", "d2", "fp", "n", "keys"],
             )
 
         return step
 
-    return per_batch(rows, make, "doc_id long, d1 long, d2 long, fp long, keys array<long>")
+    return per_batch(rows, make, "doc_id long, d1 long, d2 long, fp long, n long, keys array<long>")
+
+
+def _finer(members: DataFrame) -> DataFrame:
+    """Members of large buckets under finer keys: the old one with a codeword index of each segment."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys, fps = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            at, parts = 0, []
+            for k, width in enumerate(SEGMENTS):
+                segment = (fps >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1)
+                parts.append(codeword_keys(segment) | k << 12)
+                at += width
+            index = np.sort(np.concatenate(parts, axis=1), axis=1)
+            new = np.concatenate([np.ones((len(fps), 1), bool), index[:, 1:] != index[:, :-1]], axis=1)
+            turned = (keys.view(np.uint64)[:, None] ^ index.astype(np.uint64)) * _TURNS[0]
+            rows = pa.array(np.repeat(np.arange(len(fps)), new.sum(axis=1)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array((turned ^ (turned >> np.uint64(31)))[new].view(np.int64)), *(c.take(rows) for c in batch.columns[1:])], names=["key", "doc_id", "fp", "n"]
+            )
+
+        return step
+
+    return per_batch(members.select("key", "doc_id", "fp", "n"), make, "key long, doc_id long, fp long, n long")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, shingles``: the different shingles of each text."""
+    """``doc_id, shingles``: 32 bits of each different shingle of each text."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [np.unique(shingle_hashes(words_of(t), WORDS)).view(np.int64) for t in texts_of(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, type=pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            own = [np.unique(shingle_hashes(words_of(t), WORDS).astype(np.uint32)).view(np.int32) for t in texts_of(batch.column(1))]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, type=pa.list_(pa.int32()))], names=["doc_id", "shingles"])
 
         return step
 
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, shingles array<long>")
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, shingles array<int>")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``u, v`` of documents whose share of common shingles reaches ``SIMILARITY``."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = written(_shingle_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingle-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
     both = both.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.filter(common >= SIMILARITY * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
+def _sized(members: DataFrame) -> DataFrame:
+    """Members of buckets with company, and how large their bucket is."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    return members.join(sizes, "key")
+
+
 def similar_links(docs: DataFrame) -> DataFrame:
     """``u, v``: links between documents of similarity 0.8 or more, and between equal texts.
 
     Texts with the same words form a class, of which the least document goes
-    on.  Documents that share a key are candidates: all pairs of a small
-    bucket; in a large one, the least document with each other one, then the
-    least of those not similar to it, and so on until the rest is small.
-    Candidates with distant fingerprints go, the others are verified on their
-    whole texts.  A 64-bit fingerprint alone cannot tell similarity 0.8, at
-    which up to 14 and more bits differ, so bands of least shingle hashes are
-    keys besides the Golay-coded ones.
+    on.  Documents that share a key are candidates.  Members of a large bucket
+    get finer keys first.  Small buckets give pairs; in one that is still
+    large, the least document is tried with each other one, then the least of
+    those not similar to it, and so on until the rest is small.  Candidates of
+    very different size or fingerprint go; the others are verified on the
+    shingles of their whole texts.
+
+    A 64-bit fingerprint alone cannot tell similarity 0.8, at which 14 and
+    more bits differ, so bands of least shingle hashes are keys besides the
+    Golay-coded ones.
     """
     own = written(_sketches(docs), "sketches")
     classes = own.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"))
     copies = own.join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), "v").filter("u <> v").distinct()
     first = own.join(classes.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = first.select("doc_id", "fp", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(keyed.join(sizes, "key"), "similar-keys")
-    near = F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= FAR_BITS
+    shared = written(_sized(first.select(F.explode("keys").alias("key"), "doc_id", "fp", "n")), "similar-keys")
+    ids = shared.select("doc_id").distinct()
+    sets = written(_shingle_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingle-sets")
+    bits = F.bit_count(F.col("fu").bitwiseXOR(F.col("fv")))
+    near = (bits <= FAR_BITS) & (F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv"))
 
     def paired(members: DataFrame) -> DataFrame:
-        one = members.select("key", F.col("doc_id").alias("u"), F.col("fp").alias("fu"))
-        two = members.select("key", F.col("doc_id").alias("v"), F.col("fp").alias("fv"))
+        one = members.select("key", F.col("doc_id").alias("u"), F.col("fp").alias("fu"), F.col("n").alias("nu"))
+        two = members.select("key", F.col("doc_id").alias("v"), F.col("fp").alias("fv"), F.col("n").alias("nv"))
         return one.join(two, "key").filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
-    found = [copies]
-    few, many = shared.filter(F.col("n") <= PAIRED), shared.filter(F.col("n") > PAIRED).drop("n")
+    found, few = [copies], [shared.filter(F.col("size") <= CROWD)]
+    many = shared.filter(F.col("size") > CROWD)
+    if not many.isEmpty():
+        finer = written(_sized(_finer(many)), "similar-finer")
+        few.append(finer.filter(F.col("size") <= CROWD))
+        many = finer.filter(F.col("size") > CROWD)
     while not many.isEmpty():
-        heads = many.groupBy("key").agg(F.min(F.struct("doc_id", "fp")).alias("head"))
-        headed = many.join(heads, "key").select("key", "doc_id", "fp", F.col("head.doc_id").alias("u"), F.col("head.fp").alias("fu"))
-        tried = headed.filter("doc_id <> u").withColumn("fv", F.col("fp"))
-        linked = written(_similar(tried.filter(near).select("u", F.col("doc_id").alias("v")).distinct(), docs), "similar-heads")
+        heads = many.groupBy("key").agg(F.min(F.struct("doc_id", "fp", "n")).alias("head"))
+        tried = many.drop("size").join(heads, "key").filter(F.col("doc_id") != F.col("head.doc_id")).select(
+            "key", "doc_id", "fp", "n", F.col("head.doc_id").alias("u"), F.col("head.fp").alias("fu"), F.col("head.n").alias("nu")
+        )
+        close = tried.withColumns({"fv": F.col("fp"), "nv": F.col("n")}).filter(near).select("u", F.col("doc_id").alias("v")).distinct()
+        linked = written(_similar(close, sets), "similar-heads")
         found.append(linked)
-        rest = tried.join(linked.withColumnRenamed("v", "doc_id"), ["u", "doc_id"], "left_anti").select("key", "doc_id", "fp")
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        rest = written(rest.join(sizes, "key"), "similar-rest")
-        few = few.unionByName(rest.filter(F.col("n") <= PAIRED).select(few.columns))
-        many = rest.filter(F.col("n") > PAIRED).drop("n")
-    found.append(_similar(written(paired(few), "similar-pairs"), docs))
+        rest = tried.join(linked.withColumnRenamed("v", "doc_id"), ["u", "doc_id"], "left_anti").select("key", "doc_id", "fp", "n")
+        rest = written(_sized(rest), "similar-rest")
+        few.append(rest.filter(F.col("size") <= CROWD))
+        many = rest.filter(F.col("size") > CROWD)
+    pairs = paired(few[0])
+    for more in few[1:]:
+        pairs = pairs.unionByName(paired(more))
+    found.append(_similar(written(pairs.distinct(), "similar-pairs"), sets))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more.select("u", "v"))

@@ -106,7 +106,7 @@ def test_one_of_each_group_stays(spark, given, frame, monkeypatch):
     edges = [(a, b) for (a, x), (b, y) in combinations(rows, 2) if jaccard(x, y) >= 0.8]
     want = {n for n, r in roots([i for i, _ in rows], edges).items() if n == r}
     assert {r.doc_id for r in simhash.one_of_each(frame(rows)).collect()} == want
-    monkeypatch.setattr(simhash, "PAIRED", 1)
+    monkeypatch.setattr(simhash, "CROWD", 1)
     assert {r.doc_id for r in simhash.one_of_each(frame(rows)).collect()} == want
 
 
