@@ -9,7 +9,7 @@ from faultmatch.llm.order import STRETCHES, with_stretch
 
 #: Samples of a fingerprint, drawn in sets: one aggregate of them all would be too much code for one compiled method.
 #: The share of equal samples strays by up to 0.5 / sqrt(SAMPLES) (one deviation).
-SAMPLES, SET = 24, 8
+SAMPLES, SET = 40, 8
 #: Rows of a stretch of the document order.
 STRETCH = 2000
 #: Spaces between words.
