@@ -131,6 +131,15 @@ CONFIDENCE_ADDENDA = {
     "enhanced_vector_fuzzy": " | AI semantic analysis with fuzzy preprocessing",
 }
 
+# texts of insights, with the least confidence at which they are shown
+UNUSUAL_WARNING = "This appears to be an unusual error. Consider consulting domain experts or checking for recent system changes."
+TEMPLATE_INTRO = "Try this approach based on similar error patterns:\n"
+TEMPLATE_SHOWN = 0.5
+TREND_TEXT = ("This type of error (", ") is predicted to occur ~", " times in the next hour")
+TREND_SHOWN = 0.7
+NEURAL_ADDENDUM = (" Neural network: ", " confidence")
+NEURAL_ADDENDUM_SHOWN = 0.8
+
 # --- input checks -------------------------------------------------------------
 
 SQL_INJECTION_PATTERN = "|".join([

@@ -217,3 +217,13 @@ def insights(queries: DataFrame, learned: Learned, forecasts: DataFrame) -> Data
         F.struct(F.col("neural_works").alias("works"), F.col("neural_confidence").alias("confidence")).alias("neural"),
         F.struct("template", F.col("cluster_confidence").alias("confidence")).alias("cluster"),
     )
+
+
+def flat_insights(nested: DataFrame) -> DataFrame:
+    """The rows of ``insights`` in the columns that ``enhance``, ``suggestions`` and ``report`` take."""
+    return nested.select(
+        "query_id", "is_anomaly", F.col("neural.works").alias("neural_works"), F.col("neural.confidence").alias("neural_confidence"),
+        F.col("trend.category").alias("trend_category"), F.col("trend.predicted").alias("trend_predicted"),
+        F.col("trend.confidence").alias("trend_confidence"),
+        F.col("cluster.template").alias("cluster_template"), F.col("cluster.confidence").alias("cluster_confidence"),
+    )

@@ -415,8 +415,12 @@ def select_best(results: DataFrame, insights: DataFrame | None = None, minimum:
     return best if minimum is None else best.filter(F.round("confidence", 9) >= minimum)
 
 
-def suggestions(queries: DataFrame, kb: DataFrame) -> DataFrame:
-    """Alternative terms and partly similar signatures for unanswered texts."""
+def suggestions(queries: DataFrame, kb: DataFrame, insights: DataFrame | None = None) -> DataFrame:
+    """Alternative terms and partly similar signatures for unanswered texts.
+
+    ``insights`` (query_id, is_anomaly, cluster_template, cluster_confidence) add a
+    warning for an unusual error and, if confident, the template of its cluster.
+    """
     texts = queries.select("clean_text").distinct().withColumn("terms", sim.expand("clean_text"))
     lower = F.lower("clean_text")
     others = F.filter(F.slice("terms", 1, 3), lambda t: t != lower)
@@ -445,7 +449,16 @@ def suggestions(queries: DataFrame, kb: DataFrame) -> DataFrame:
     found = texts.join(similar, "clean_text", "left").select(
         "clean_text", "alternatives", F.coalesce("similar_errors", F.lit("")).alias("similar_errors")
     )
-    return queries.select("query_id", "clean_text").join(found, "clean_text").drop("clean_text")
+    out = queries.select("query_id", "clean_text").join(found, "clean_text").drop("clean_text")
+    if insights is None:
+        return out
+    sure = (F.col("cluster_confidence") > fv.TEMPLATE_SHOWN) & (F.col("cluster_template") != "")
+    extra = insights.select(
+        "query_id",
+        F.when(F.col("is_anomaly"), fv.UNUSUAL_WARNING).alias("warning"),
+        F.when(sure, F.concat(F.lit(fv.TEMPLATE_INTRO), "cluster_template")).alias("template"),
+    )
+    return out.join(extra, "query_id", "left").fillna("", ["warning", "template"])
 
 
 def context_rows(queries: DataFrame, kb: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -470,7 +483,8 @@ def context_rows(queries: DataFrame, kb: DataFrame, feedback: DataFrame) -> Data
 def report(results: DataFrame, insights: DataFrame, texts: DataFrame) -> DataFrame:
     """Outcome per query: level, labels, insight text and guidance.
 
-    ``texts``: query_id, clean_text.
+    ``texts``: query_id, clean_text.  ``insights`` has the columns of ``enhance`` and
+    trend_category, trend_predicted, trend_confidence.
     """
     rows = select_best(enhance(results, insights).select(*results.columns), insights)
     rows = rows.join(insights, "query_id", "left").join(texts.select("query_id", "clean_text"), "query_id")
@@ -486,18 +500,30 @@ def report(results: DataFrame, insights: DataFrame, texts: DataFrame) -> DataFra
         F.when(F.col("has_conflicts"), " Some users reported mixed results.").otherwise(""),
         tx.label_of("source", fv.CONFIDENCE_ADDENDA, ""),
         F.when(odd, " Anomalous error - exercise caution").otherwise(""),
+        F.when(
+            F.col("neural_confidence") > fv.NEURAL_ADDENDUM_SHOWN,
+            F.concat(F.lit(fv.NEURAL_ADDENDUM[0]), tx.percent(F.col("neural_confidence")), F.lit(fv.NEURAL_ADDENDUM[1])),
+        ).otherwise(""),
+    )
+    trend = F.when(
+        F.col("trend_confidence") > fv.TREND_SHOWN,
+        F.concat(
+            F.lit(fv.TREND_TEXT[0]), "trend_category", F.lit(fv.TREND_TEXT[1]),
+            F.round("trend_predicted").cast("long").cast("string"), F.lit(fv.TREND_TEXT[2]),
+        ),
     )
     neural = F.when(
         F.col("neural_confidence") > 0.7,
         F.concat(
             F.lit("Solutions for this error are "),
             F.when(F.col("neural_works"), "likely to work").otherwise("may need alternatives"),
+            F.lit(" (confidence: "), tx.percent(F.col("neural_confidence")), F.lit(")"),
         ),
     )
     return rows.select(
         "query_id", "layer", "source", F.round("confidence", 6).alias("confidence"), headline.alias("headline"),
         tx.label_of("source", fv.FOUND_TEXTS, fv.FOUND_DEFAULT).alias("found"),
         tx.label_of("source", fv.METHOD_INSIGHTS, fv.METHOD_INSIGHT_DEFAULT).alias("method"),
-        F.concat_ws("; ", F.when(odd, "This error pattern is unusual"), neural).alias("insight"),
+        F.concat_ws("; ", F.when(odd, "This error pattern is unusual"), trend, neural).alias("insight"),
         score.alias("guidance_score"), level.alias("guidance"), reasons.alias("reasons"),
     )

@@ -263,6 +263,10 @@ register(
     lambda f: ml.blended_vector_match(mq.with_vectors(f), mq.rated(f), mq.kb_vectors(f), learned(f)),
 )
 register("m13_cascade_with_models", lambda f: mq.cascaded(f, lambda q, m=learned(f): ml.model_match(q, m)))
+register(
+    "m20_report_with_models",
+    lambda f: mt.report(mq.answers(f), ml.flat_insights(ml.insights(plain_queries(f), learned(f), se.forecast(hours(f)))), mq.checked(f)),
+)
 register("m17_insights", lambda f: ml.insights(plain_queries(f), learned(f), se.forecast(hours(f))))
 
 # --- S ---------------------------------------------------------------------------

@@ -42,6 +42,9 @@ def insights(f):
     return f.incoming.select(
         "query_id", (n % 5 == 0).alias("is_anomaly"), (n % 2 == 0).alias("neural_works"),
         ((n % 100) / 100.0).alias("neural_confidence"),
+        F.concat(F.lit("group "), (n % 3).cast("string")).alias("trend_category"), (n % 30).cast("double").alias("trend_predicted"),
+        ((n % 90) / 90.0).alias("trend_confidence"),
+        F.concat(F.lit("Plan "), (n % 7).cast("string")).alias("cluster_template"), ((n % 80) / 80.0).alias("cluster_confidence"),
     )
 
 
@@ -58,7 +61,9 @@ o.define(
 o.define(
     "insights",
     """SELECT query_id, length(raw_text) % 5 = 0 AS is_anomaly, length(raw_text) % 2 = 0 AS neural_works,
-    (length(raw_text) % 100) / 100.0::DOUBLE AS neural_confidence FROM incoming""",
+    (length(raw_text) % 100) / 100.0::DOUBLE AS neural_confidence, 'group ' || (length(raw_text) % 3) AS trend_category,
+    (length(raw_text) % 30)::DOUBLE AS trend_predicted, (length(raw_text) % 90) / 90.0::DOUBLE AS trend_confidence,
+    'Plan ' || (length(raw_text) % 7) AS cluster_template, (length(raw_text) % 80) / 80.0::DOUBLE AS cluster_confidence FROM incoming""",
     ["incoming"],
 )
 
@@ -290,7 +295,7 @@ o.define(
     "enhanced",
     f"""SELECT * REPLACE (CASE WHEN layer IN (1, 2, 3, 5) AND trim(steps_text) <> '' THEN
     {modifiers_sql('u', 'feedback_count', 'is_anomaly', 'n_steps', '0')} ELSE confidence END AS confidence) FROM (
-    SELECT c.*, is_anomaly, neural_works, neural_confidence, CASE WHEN starts_with(steps_text, '1.') THEN 3 ELSE 1 END AS n_steps,
+    SELECT c.*, is_anomaly, neural_works, neural_confidence, trend_category, trend_predicted, trend_confidence, CASE WHEN starts_with(steps_text, '1.') THEN 3 ELSE 1 END AS n_steps,
     {unified_sql('success_rate', 'feedback_count', '(CASE WHEN has_conflicts THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END)', 'neural_confidence', None)} AS u
     FROM cascaded c JOIN insights USING (query_id) WHERE status <> 'blocked' AND layer IS NOT NULL)""",
     ["cascaded", "insights"],
@@ -338,9 +343,11 @@ register(
 )
 register(
     "m18_suggestions",
-    lambda f: mt.suggestions(asked(f).select("query_id", "clean_text"), f.kb_texts),
+    lambda f: mt.suggestions(asked(f).select("query_id", "clean_text"), f.kb_texts, insights(f)),
     o.sql(
-        f"""SELECT a.query_id, alternatives, coalesce(similar_errors, '') AS similar_errors FROM (
+        f"""SELECT a.query_id, alternatives, coalesce(similar_errors, '') AS similar_errors,
+        CASE WHEN is_anomaly THEN {o.lit(fv.UNUSUAL_WARNING)} ELSE '' END AS warning,
+        CASE WHEN cluster_confidence > 0.5 THEN {o.lit(fv.TEMPLATE_INTRO)} || cluster_template ELSE '' END AS template FROM (
         SELECT query_id, clean_text, CASE WHEN len(ex) > 1 THEN coalesce(array_to_string(list_filter(list_slice(ex, 1, 3), lambda t: t <> lower(clean_text)), ', '), '') ELSE '' END AS alternatives
         FROM (SELECT query_id, clean_text, {o.ordered_distinct('raw_ex')} AS ex FROM (SELECT query_id, clean_text, {o.expand('clean_text')} AS raw_ex FROM asked))) a
         LEFT JOIN (SELECT clean_text, string_agg(line, '; ' ORDER BY n) AS similar_errors FROM (
@@ -350,8 +357,9 @@ register(
             SELECT clean_text, error_signature, {o.grams('clean_text')} AS a, {o.grams('error_signature')} AS b,
             row_number() OVER (PARTITION BY clean_text ORDER BY error_signature) AS n FROM (
               SELECT DISTINCT clean_text, substring({o.tokens('clean_text')}[1], 1, 4) AS prefix FROM asked) JOIN (SELECT DISTINCT error_signature FROM kb)
-            ON contains(error_signature, prefix)) WHERE n <= 5) WHERE close > 0.3 AND close < 0.7)) WHERE pos <= 2 GROUP BY clean_text) s USING (clean_text)""",
-        "asked", "kb",
+            ON contains(error_signature, prefix)) WHERE n <= 5) WHERE close > 0.3 AND close < 0.7)) WHERE pos <= 2 GROUP BY clean_text) s USING (clean_text)
+        JOIN insights n ON n.query_id = a.query_id""",
+        "asked", "kb", "insights",
     ),
 )
 register(
@@ -379,10 +387,14 @@ register(
         f"""SELECT query_id, layer, source, round(confidence, 6) AS confidence, 'Confidence: ' || CASE WHEN confidence >= 0.85 THEN 'High'
         WHEN confidence >= 0.6 THEN 'Medium' ELSE 'Low' END || ' (' || {PERCENT.format('confidence')} || ') | Success Rate: ' || {PERCENT.format('success_rate')}
         || ' | Based on ' || CAST(feedback_count AS STRING) || ' user ratings' || CASE WHEN has_conflicts THEN ' Some users reported mixed results.' ELSE '' END
-        || {o.label_of('source', fv.CONFIDENCE_ADDENDA, '')} || CASE WHEN is_anomaly THEN ' Anomalous error - exercise caution' ELSE '' END AS headline,
+        || {o.label_of('source', fv.CONFIDENCE_ADDENDA, '')} || CASE WHEN is_anomaly THEN ' Anomalous error - exercise caution' ELSE '' END
+        || CASE WHEN neural_confidence > 0.8 THEN ' Neural network: ' || {PERCENT.format('neural_confidence')} || ' confidence' ELSE '' END AS headline,
         {o.label_of('source', fv.FOUND_TEXTS, fv.FOUND_DEFAULT)} AS found, {o.label_of('source', fv.METHOD_INSIGHTS, fv.METHOD_INSIGHT_DEFAULT)} AS method,
-        concat_ws('; ', CASE WHEN is_anomaly THEN 'This error pattern is unusual' END, CASE WHEN neural_confidence > 0.7 THEN
-          'Solutions for this error are ' || CASE WHEN neural_works THEN 'likely to work' ELSE 'may need alternatives' END END) AS insight,
+        concat_ws('; ', CASE WHEN is_anomaly THEN 'This error pattern is unusual' END, CASE WHEN trend_confidence > 0.7 THEN
+          'This type of error (' || trend_category || ') is predicted to occur ~' || CAST(trend_predicted AS BIGINT) || ' times in the next hour' END,
+          CASE WHEN neural_confidence > 0.7 THEN
+          'Solutions for this error are ' || CASE WHEN neural_works THEN 'likely to work' ELSE 'may need alternatives' END
+          || ' (confidence: ' || {PERCENT.format('neural_confidence')} || ')' END) AS insight,
         score AS guidance_score, {LEVELS} AS guidance, reasons FROM (
         SELECT *, {_score} AS score, {_reasons} AS reasons FROM (SELECT e.* REPLACE (confidence + {BONUS} AS confidence), c.clean_text
           FROM enhanced e JOIN checked c USING (query_id) WHERE trim(steps_text) <> ''))""",
