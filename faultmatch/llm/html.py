@@ -28,8 +28,8 @@ DROPPED = frozenset(
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of a class or id that mark what is not the article.
 HINTS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent"
-    " cookie cookies discussion disqus footer gdpr header login masthead menu modal nav navbar navigation navigator newsletter"
+    "ad ads adsense advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent"
+    " cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation navigator newsletter"
     " notice notification notifications pager pagination popup promo promotion recommended related reply replies respond"
     " responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split()
 )
