@@ -37,11 +37,12 @@ def with_stretch(rows: DataFrame, at: str, size: int, name: str = "stretch") ->
     if n < 2:
         return rows.withColumn(name, F.col(at).bitwiseAND(F.lit(0))), 1  # a literal would change the plan
     bounds = sorted(set(rows.agg(_quantiles(at, n).alias("b")).first().b))
-    first = _reached(F.col(at), F.lit(bounds), len(bounds)).cast("long")
+    # never null, or joins on it would filter their sides apart and shuffle what one exchange can serve
+    first = F.coalesce(_reached(F.col(at), F.lit(bounds), len(bounds)).cast("long"), F.lit(0).cast("long"))
     parts = min(PARTS, -(-wanted // n))
     if parts < 2:
         return rows.withColumn(name, first), len(bounds) + 1
     inner = rows.select(first.alias("__first"), at).groupBy("__first").agg(F.array_sort(F.array_distinct(_quantiles(at, parts))).alias("__bounds"))
     found = rows.withColumn("__first", first).join(F.broadcast(inner), "__first")
-    whole = F.col("__first") * PARTS + _reached(F.col(at), F.col("__bounds"), parts)
+    whole = F.col("__first") * PARTS + F.coalesce(_reached(F.col(at), F.col("__bounds"), parts), F.lit(0))
     return found.withColumn(name, whole).drop("__first", "__bounds"), (len(bounds) + 1) * parts

@@ -62,7 +62,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     last = F.max("stretch").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("stretch", "at", F.coalesce(F.lag("stretch").over(whole), last).alias("before"))
     first = rows.join(F.broadcast(heads) if n <= STRETCHES else heads, ["stretch", "at"]).groupBy("stretch", "before").agg(F.min("text").alias("text"))
-    guests = first.select("text", F.lit(_LEAST).alias("at"), F.col("before").alias("stretch"), F.lit(1).alias("guest"))
+    guests = first.select("text", F.lit(_LEAST).alias("at"), F.coalesce("before", F.lit(0).cast("long")).alias("stretch"), F.lit(1).alias("guest"))
     dealt = rows.select("text", "at", "stretch", F.lit(0).alias("guest")).unionByName(guests).repartition(n, "stretch")
     order = Window.partitionBy("stretch").orderBy("guest", "at", "text")
     return dealt.select(
