@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from faultmatch.llm.common import per_batch, ready, texts_of, written
 from faultmatch.llm.components import components
+from faultmatch.operators.ranking import top_k
 
 SEED = 42
 #: Most differing bits of a link; the keys below find all such pairs.
@@ -190,8 +191,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 3
 #: Texts of similarity 0.8 differ in 9.5 of 64 bits on average, with a deviation of 2.8.
 FAR_BITS = 22
-#: Candidates of larger buckets are not paired at once.
-CROWD = 256
+#: Candidates of larger buckets are not paired at once, but with so many of the least ones at a time.
+CROWD, HEADS = 24, 4
 
 _TURNS = np.random.default_rng(5).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -284,8 +285,8 @@ def similar_links(docs: DataFrame) -> DataFrame:
     Texts with the same words form a class, of which the least document goes
     on.  Documents that share a key are candidates.  Members of a large bucket
     get finer keys first.  Small buckets give pairs; in one that is still
-    large, the least document is tried with each other one, then the least of
-    those not similar to it, and so on until the rest is small.  Candidates of
+    large, the few least documents are tried with each other one, then the least
+    of those not similar to them, and so on until the rest is small.  Candidates of
     very different size or fingerprint go; the others are verified on the
     shingles of their whole texts.
 
@@ -315,15 +316,15 @@ def similar_links(docs: DataFrame) -> DataFrame:
         few.append(finer.filter(F.col("size") <= CROWD))
         many = finer.filter(F.col("size") > CROWD)
     while not many.isEmpty():
-        heads = many.groupBy("key").agg(F.min(F.struct("doc_id", "fp", "n")).alias("head"))
-        tried = many.drop("size").join(heads, "key").filter(F.col("doc_id") != F.col("head.doc_id")).select(
-            "key", "doc_id", "fp", "n", F.col("head.doc_id").alias("u"), F.col("head.fp").alias("fu"), F.col("head.n").alias("nu")
-        )
-        close = tried.withColumns({"fv": F.col("fp"), "nv": F.col("n")}).filter(near).select("u", F.col("doc_id").alias("v")).distinct()
+        heads = top_k(many.drop("size"), ["key"], [F.col("doc_id")], HEADS, "rank")
+        heads = heads.select("key", F.col("doc_id").alias("u"), F.col("fp").alias("fu"), F.col("n").alias("nu"))
+        tried = many.select("key", F.col("doc_id").alias("v"), F.col("fp").alias("fv"), F.col("n").alias("nv")).join(heads, "key")
+        close = tried.filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
         linked = written(_similar(close, sets), "similar-heads")
         found.append(linked)
-        rest = tried.join(linked.withColumnRenamed("v", "doc_id"), ["u", "doc_id"], "left_anti").select("key", "doc_id", "fp", "n")
-        rest = written(_sized(rest), "similar-rest")
+        # heads have been tried with all; of the others, those that no head of their bucket is similar to go on
+        done = heads.join(linked, "u").select("key", F.col("v").alias("doc_id")).unionByName(heads.select("key", F.col("u").alias("doc_id")))
+        rest = written(_sized(many.drop("size").join(done.distinct(), ["key", "doc_id"], "left_anti")), "similar-rest")
         few.append(rest.filter(F.col("size") <= CROWD))
         many = rest.filter(F.col("size") > CROWD)
     pairs = paired(few[0])
