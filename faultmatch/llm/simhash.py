@@ -192,7 +192,7 @@ BANDS, ROWS = 8, 3
 #: Texts of similarity 0.8 differ in 9.5 of 64 bits on average, with a deviation of 2.8.
 FAR_BITS = 22
 #: Candidates of larger buckets are not paired at once, but with so many of the least ones at a time.
-CROWD, HEADS = 24, 4
+CROWD, HEADS = 48, 4
 
 _TURNS = np.random.default_rng(5).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
