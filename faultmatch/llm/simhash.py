@@ -191,8 +191,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 3
 #: Texts of similarity 0.8 differ in 9.5 of 64 bits on average, with a deviation of 2.8.
 FAR_BITS = 22
-#: Candidates of larger buckets are not paired at once, but with so many of the least ones at a time.
-CROWD, HEADS = 48, 4
+#: Candidates of larger buckets are not paired at once, but first with so many of them; what stays apart is paired in blocks of about this size.
+CROWD, HEADS, BLOCK = 48, 4, 256
 
 _TURNS = np.random.default_rng(5).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -279,14 +279,35 @@ def _sized(members: DataFrame) -> DataFrame:
     return members.join(sizes, "key")
 
 
+def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that the links found so far do not connect, with their components and numbers of pairs that are apart."""
+    roots = components(links, "similar-roots").select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
+    rooted = many.select("key", "doc_id", "fp", "n").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("part"))
+    sizes = parts.groupBy("key").agg(F.sum("part").alias("size"), F.sum(F.col("part") * F.col("part")).alias("squares"), F.count("*").alias("parts"))
+    sizes = sizes.filter("parts > 1").select("key", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).cast("long").alias("apart"))
+    return written(rooted.join(sizes, "key"), "similar-apart")
+
+
+def _sides(left: DataFrame, right: DataFrame, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Two frames of bucket members with columns for joining them: ``u, fu, nu`` and ``v, fv, nv``."""
+    names = ("fp", "n", *(c for c in ("root",) if c in left.columns and c in right.columns))
+    one = left.select("key", *extra, F.col("doc_id").alias("u"), *(F.col(c).alias(f"{c[0]}u") for c in names))
+    two = right.select("key", *extra, F.col("doc_id").alias("v"), *(F.col(c).alias(f"{c[0]}v") for c in names))
+    return one, two
+
+
 def similar_links(docs: DataFrame) -> DataFrame:
     """``u, v``: links between documents of similarity 0.8 or more, and between equal texts.
 
     Texts with the same words form a class, of which the least document goes
     on.  Documents that share a key are candidates.  Members of a large bucket
     get finer keys first.  Small buckets give pairs; in one that is still
-    large, the few least documents are tried with each other one, then the least
-    of those not similar to them, and so on until the rest is small.  Candidates of
+    large, a few documents are tried with each other one.  That connects most
+    members of a large group of similar texts; pairs inside one component need no
+    further look.  All other pairs of the bucket are tried, linked members
+    too: again with a few at a time while that halves the pairs that are
+    apart, then all of them, in blocks.  Candidates of
     very different size or fingerprint go; the others are verified on the
     shingles of their whole texts.
 
@@ -304,37 +325,50 @@ def similar_links(docs: DataFrame) -> DataFrame:
     bits = F.bit_count(F.col("fu").bitwiseXOR(F.col("fv")))
     near = (bits <= FAR_BITS) & (F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv"))
 
-    def paired(members: DataFrame) -> DataFrame:
-        one = members.select("key", F.col("doc_id").alias("u"), F.col("fp").alias("fu"), F.col("n").alias("nu"))
-        two = members.select("key", F.col("doc_id").alias("v"), F.col("fp").alias("fv"), F.col("n").alias("nv"))
-        return one.join(two, "key").filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    def verified(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return written(_similar(written(ordered, "similar-pairs"), sets), "similar-links")
 
-    found, few = [copies], [shared.filter(F.col("size") <= CROWD)]
+    def paired(members: DataFrame) -> DataFrame:
+        one, two = _sides(members, members, ())
+        return one.join(two, "key").filter((F.col("u") < F.col("v")) & near).select("u", "v")
+
+    def headed(members: DataFrame, turn: int) -> DataFrame:
+        # the same order everywhere, so that buckets of the same documents have the same heads
+        heads = top_k(members, ["key"], [F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id")], HEADS, "rank").drop("rank")
+        one, two = _sides(heads, members, ())
+        other = F.col("ru") != F.col("rv") if "root" in members.columns else F.lit(True)
+        return two.join(one, "key").filter((F.col("u") != F.col("v")) & other & near).select("u", "v")
+
+    def crossed(members: DataFrame) -> DataFrame:
+        n = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = members.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), n).cast("int"))
+        left = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.expr("sequence(block, blocks - 1)")))
+        right = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.expr("sequence(0, block)")))
+        one, two = _sides(left, right, ("i", "j"))
+        once = (F.col("i") < F.col("j")) | (F.col("u") < F.col("v"))
+        return one.join(two, ["key", "i", "j"]).filter(once & (F.col("ru") != F.col("rv")) & near).select("u", "v")
+
+    pairs = paired(shared.filter(F.col("size") <= CROWD))
     many = shared.filter(F.col("size") > CROWD)
     if not many.isEmpty():
         finer = written(_sized(_finer(many)), "similar-finer")
-        few.append(finer.filter(F.col("size") <= CROWD))
+        pairs = pairs.unionByName(paired(finer.filter(F.col("size") <= CROWD)))
         many = finer.filter(F.col("size") > CROWD)
-    while not many.isEmpty():
-        heads = top_k(many.drop("size"), ["key"], [F.col("doc_id")], HEADS, "rank")
-        heads = heads.select("key", F.col("doc_id").alias("u"), F.col("fp").alias("fu"), F.col("n").alias("nu"))
-        tried = many.select("key", F.col("doc_id").alias("v"), F.col("fp").alias("fv"), F.col("n").alias("nv")).join(heads, "key")
-        close = tried.filter((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
-        linked = written(_similar(close, sets), "similar-heads")
-        found.append(linked)
-        # heads have been tried with all; of the others, those that no head of their bucket is similar to go on
-        done = heads.join(linked, "u").select("key", F.col("v").alias("doc_id")).unionByName(heads.select("key", F.col("u").alias("doc_id")))
-        rest = written(_sized(many.drop("size").join(done.distinct(), ["key", "doc_id"], "left_anti")), "similar-rest")
-        few.append(rest.filter(F.col("size") <= CROWD))
-        many = rest.filter(F.col("size") > CROWD)
-    pairs = paired(few[0])
-    for more in few[1:]:
-        pairs = pairs.unionByName(paired(more))
-    found.append(_similar(written(pairs.distinct(), "similar-pairs"), sets))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more.select("u", "v"))
-    return out
+    if many.isEmpty():
+        return copies.unionByName(verified(pairs))
+    links, before, turn = verified(pairs.unionByName(headed(many, 0))), None, 0
+    while True:
+        many = _apart(many, links)
+        open_pairs = many.groupBy("key").agg(F.first("apart").alias("apart")).agg(F.sum("apart")).first()[0] or 0
+        if not open_pairs:
+            return copies.unionByName(links)
+        turn += 1
+        last = before is not None and 2 * open_pairs > before
+        before = open_pairs
+        links = written(links.unionByName(verified(crossed(many) if last else headed(many, turn))), "similar-links")
+        if last:
+            return copies.unionByName(links)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -116,3 +116,32 @@ def test_stage_on_odd_rows(spark, frame):
     assert kept.columns == df.columns
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([None, 1, 2, 3, 7, 8, 9, 11, 12], key=str)
     assert simhash.one_of_each(frame([])).collect() == []
+
+
+def versions(rng, n, words=300, most=0.12):
+    """Versions of one text in which up to ``most`` of the shingles are replaced."""
+    base = [f"w{k}" for k in rng.permutation(words)]
+    out = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.integers(0, words, int(rng.integers(0, int(words * most / 5) + 1))):
+            own[at] = f"x{k}_{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def kept_of_all_pairs(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    numbers = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(numbers)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [numbers[x] for x in s]] = 1
+    common, n = has @ has.T, has.sum(axis=1)
+    near = common >= 0.8 * (n[:, None] + n[None, :] - common) - 1e-3
+    return {n for n, r in roots(range(len(texts)), zip(*map(np.ndarray.tolist, np.nonzero(np.triu(near, 1))))).items() if n == r}
+
+
+def test_a_family_of_over_a_thousand_versions_links_as_all_pairs_do(spark, frame):
+    texts = versions(np.random.default_rng(7), 1100, most=0.2)
+    want = kept_of_all_pairs(texts)
+    assert {r.doc_id for r in simhash.one_of_each(frame(list(enumerate(texts)))).collect()} == want
