@@ -189,8 +189,6 @@ def op5(docs: DataFrame) -> DataFrame:
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of minima, and minima of a band. Texts of similarity 0.8 share a band at 99.7 %, of 0.85 at 99.95 %.
 BANDS, ROWS = 8, 3
-#: Texts of similarity 0.8 differ in 9.5 of 64 bits on average, with a deviation of 2.8.
-FAR_BITS = 22
 #: Candidates of larger buckets are not paired at once, but first with so many of them; what stays apart is paired in blocks of about this size.
 CROWD, HEADS, BLOCK = 48, 4, 256
 
@@ -308,7 +306,7 @@ def similar_links(docs: DataFrame) -> DataFrame:
     further look.  All other pairs of the bucket are tried, linked members
     too: again with a few at a time while that halves the pairs that are
     apart, then all of them, in blocks.  Candidates of
-    very different size or fingerprint go; the others are verified on the
+    very different size go; the others are verified on the
     shingles of their whole texts.
 
     A 64-bit fingerprint alone cannot tell similarity 0.8, at which 14 and
@@ -322,8 +320,7 @@ def similar_links(docs: DataFrame) -> DataFrame:
     shared = written(_sized(first.select(F.explode("keys").alias("key"), "doc_id", "fp", "n")), "similar-keys")
     ids = shared.select("doc_id").distinct()
     sets = written(_shingle_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingle-sets")
-    bits = F.bit_count(F.col("fu").bitwiseXOR(F.col("fv")))
-    near = (bits <= FAR_BITS) & (F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv"))
+    near = F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

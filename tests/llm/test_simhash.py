@@ -145,3 +145,13 @@ def test_a_family_of_over_a_thousand_versions_links_as_all_pairs_do(spark, frame
     texts = versions(np.random.default_rng(7), 1100, most=0.2)
     want = kept_of_all_pairs(texts)
     assert {r.doc_id for r in simhash.one_of_each(frame(list(enumerate(texts)))).collect()} == want
+
+
+def test_repeated_words_do_not_hide_similar_texts(spark, frame):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):
+        text = " ".join(f"v{k}_{j}" for j in rng.permutation(504))
+        rows += [(2 * k, text), (2 * k + 1, text + " all rights kept by us" * 80)]
+    assert all(jaccard(rows[2 * k][1], rows[2 * k + 1][1]) > 0.8 for k in range(60))
+    assert {r.doc_id for r in simhash.one_of_each(frame(rows)).collect()} == set(range(0, 120, 2))
