@@ -187,67 +187,85 @@ def op5(docs: DataFrame) -> DataFrame:
 
 #: Words of a shingle and least share of common shingles of near-duplicates.
 WORDS, SIMILARITY = 5, 0.8
-#: Bands of minima, and minima of a band. Texts of similarity 0.8 share a band at 99.7 %, of 0.85 at 99.95 %.
-BANDS, ROWS = 8, 3
+#: Documents, about, whose shingles tell which ones are frequent, and how many frequent ones are known at most. They set an order only.
+ORDER_ROWS, ORDER_SHINGLES = 20_000, 200_000
+#: Numbers of a parity bitmap of 64 bits each.
+PARITY = 8
 #: Candidates of larger buckets are not paired at once, but first with so many of them; what stays apart is paired in blocks of about this size.
 CROWD, HEADS, BLOCK = 48, 4, 256
 
-_TURNS = np.random.default_rng(5).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of some chosen documents have, sorted, and in how many: the order of shingles in which the rare come first.
 
-def sketch(words: list[bytes]) -> tuple[int, int, int, int, list[int]]:
-    """Two halves of a digest of the words, the fingerprint, the number of different shingles, and the keys of similar texts."""
-    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-    hashes = shingle_hashes(words, WORDS)
-    fp = majority(hashes)
-    keys = {int(k) for k in golay_keys(np.array([fp], dtype=np.uint64))[0]}
-    hashes = np.unique(hashes)
-    if len(hashes):
-        mixed = (hashes ^ (hashes >> np.uint64(29)))[None, :] * _TURNS[:, None]
-        least = (mixed ^ (mixed >> np.uint64(32))).min(axis=1).reshape(BANDS, ROWS)
-        keys |= {signed(xxhash.xxh64_intdigest(band.tobytes(), k) | 1 << 63) for k, band in enumerate(least)}
-    return *(int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8)), signed(fp), len(hashes), sorted(keys)
-
-
-def _sketches(docs: DataFrame) -> DataFrame:
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    The prefixes below are right for any order; this one makes buckets small.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    n = rows.count()
+    if n > ORDER_ROWS:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 20)) < F.lit(max(1, ORDER_ROWS * (1 << 20) // n)))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [sketch(words_of(t)) for t in texts_of(batch.column(1))]
-            types = (*[pa.int64()] * 4, pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([s[k] for s in own], type=t) for k, t in enumerate(types))],
-                names=["doc_id", "d1", "d2", "fp", "n", "keys"],
-            )
+            own = [np.unique(shingle_hashes(words_of(t), WORDS)) for t in texts_of(batch.column(1))]
+            shingles, counts = np.unique(np.concatenate(own), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
 
         return step
 
-    return per_batch(rows, make, "doc_id long, d1 long, d2 long, fp long, n long, keys array<long>")
+    counted = per_batch(rows, make, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 3")
+    found = counted.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    shingles, counts = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    by = np.argsort(shingles)
+    return shingles[by], counts[by]
+
+
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first ones of a set's sorted shingles, rare before frequent: sets of similarity ``SIMILARITY`` or more share one.
 
+    Such sets have at least that share of either set in common, so their first
+    common shingle has fewer than the rest of either before it.
+    """
+    if not len(hashes):
+        return hashes
+    shingles, counts = frequent
+    rank = np.zeros(len(hashes), np.int64)
+    if len(shingles):
+        at = np.minimum(np.searchsorted(shingles, hashes), len(shingles) - 1)
+        rank = np.where(shingles[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(rank, kind="stable")][: len(hashes) - int(np.ceil(SIMILARITY * len(hashes) - 1e-6)) + 1]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of so many bits as sets differ in at least as many shingles: each shingle turns one bit."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def sketch(words: list[bytes], frequent: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """Two halves of a digest of the words, the number of different shingles, their parity bitmap, and the prefix of the set."""
+    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    hashes = np.unique(shingle_hashes(words, WORDS))
+    halves = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+    return *halves, len(hashes), parity(hashes), prefix(hashes, frequent).view(np.int64)
 
-def _finer(members: DataFrame) -> DataFrame:
-    """Members of large buckets under finer keys: the old one with a codeword index of each segment."""
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    frequent = _frequent(docs)
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, fps = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-            at, parts = 0, []
-            for k, width in enumerate(SEGMENTS):
-                segment = (fps >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1)
-                parts.append(codeword_keys(segment) | k << 12)
-                at += width
-            index = np.sort(np.concatenate(parts, axis=1), axis=1)
-            new = np.concatenate([np.ones((len(fps), 1), bool), index[:, 1:] != index[:, :-1]], axis=1)
-            turned = (keys.view(np.uint64)[:, None] ^ index.astype(np.uint64)) * _TURNS[0]
-            rows = pa.array(np.repeat(np.arange(len(fps)), new.sum(axis=1)))
+            own = [sketch(words_of(t), frequent) for t in texts_of(batch.column(1))]
+            types = (*[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2)
             return pa.RecordBatch.from_arrays(
-                [pa.array((turned ^ (turned >> np.uint64(31)))[new].view(np.int64)), *(c.take(rows) for c in batch.columns[1:])], names=["key", "doc_id", "fp", "n"]
+                [batch.column(0), *(pa.array([s[k] for s in own], type=t) for k, t in enumerate(types))],
+                names=["doc_id", "d1", "d2", "n", "parity", "keys"],
             )
 
         return step
 
-    return per_batch(members.select("key", "doc_id", "fp", "n"), make, "key long, doc_id long, fp long, n long")
+    return per_batch(rows, make, "doc_id long, d1 long, d2 long, n long, parity array<long>, keys array<long>")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -280,7 +298,7 @@ def _sized(members: DataFrame) -> DataFrame:
 def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that the links found so far do not connect, with their components and numbers of pairs that are apart."""
     roots = components(links, "similar-roots").select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
-    rooted = many.select("key", "doc_id", "fp", "n").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = many.select("key", "doc_id", "n", "at").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("part"))
     sizes = parts.groupBy("key").agg(F.sum("part").alias("size"), F.sum(F.col("part") * F.col("part")).alias("squares"), F.count("*").alias("parts"))
     sizes = sizes.filter("parts > 1").select("key", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).cast("long").alias("apart"))
@@ -288,8 +306,8 @@ def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _sides(left: DataFrame, right: DataFrame, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Two frames of bucket members with columns for joining them: ``u, fu, nu`` and ``v, fv, nv``."""
-    names = ("fp", "n", *(c for c in ("root",) if c in left.columns and c in right.columns))
+    """Two frames of bucket members with columns for joining them: ``u, nu, au`` and ``v, nv, av``."""
+    names = ("n", "at", *(c for c in ("root",) if c in left.columns and c in right.columns))
     one = left.select("key", *extra, F.col("doc_id").alias("u"), *(F.col(c).alias(f"{c[0]}u") for c in names))
     two = right.select("key", *extra, F.col("doc_id").alias("v"), *(F.col(c).alias(f"{c[0]}v") for c in names))
     return one, two
@@ -299,32 +317,38 @@ def similar_links(docs: DataFrame) -> DataFrame:
     """``u, v``: links between documents of similarity 0.8 or more, and between equal texts.
 
     Texts with the same words form a class, of which the least document goes
-    on.  Documents that share a key are candidates.  Members of a large bucket
-    get finer keys first.  Small buckets give pairs; in one that is still
-    large, a few documents are tried with each other one.  That connects most
+    on.  Documents that share a key, a shingle of both prefixes, are candidates;
+    all that are similar share one.  Small buckets give pairs; in a large one,
+    a few documents are tried with each other one.  That connects most
     members of a large group of similar texts; pairs inside one component need no
     further look.  All other pairs of the bucket are tried, linked members
     too: again with a few at a time while that halves the pairs that are
-    apart, then all of them, in blocks.  Candidates of
-    very different size go; the others are verified on the
+    apart, then all of them, in blocks.  Candidates go whose sizes, places of the
+    key or parity bitmaps rule the similarity out; the others are verified on the
     shingles of their whole texts.
-
-    A 64-bit fingerprint alone cannot tell similarity 0.8, at which 14 and
-    more bits differ, so bands of least shingle hashes are keys besides the
-    Golay-coded ones.
     """
     own = written(_sketches(docs), "sketches")
     classes = own.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"))
     copies = own.join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), "v").filter("u <> v").distinct()
     first = own.join(classes.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    shared = written(_sized(first.select(F.explode("keys").alias("key"), "doc_id", "fp", "n")), "similar-keys")
+    shared = written(_sized(first.select(F.posexplode("keys").alias("at", "key"), "doc_id", "n")), "similar-keys")
     ids = shared.select("doc_id").distinct()
     sets = written(_shingle_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingle-sets")
-    near = F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv")
+    # sets of a and b shingles are similar from (a + b) * share common ones on; at their first common key no more are left in either
+    share = SIMILARITY / (1 + SIMILARITY)
+    left = F.least(F.col("nu") - F.col("au"), F.col("nv") - F.col("av"))
+    near = (F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv") - 1e-6) & (left >= share * (F.col("nu") + F.col("nv")) - 1e-6)
+    bitmaps = own.select("doc_id", "n", "parity").dropDuplicates(["doc_id"])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(bitmaps.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu")), "u")
+        both = both.join(bitmaps.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("parity").alias("pv")), "v")
+        odd = sum((F.bit_count(F.col("pu")[k].bitwiseXOR(F.col("pv")[k])) for k in range(PARITY)), F.lit(0))
+        return both.filter(odd <= (1 - 2 * share) * (F.col("nu") + F.col("nv")) + 1e-6).select("u", "v")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        return written(_similar(written(ordered, "similar-pairs"), sets), "similar-links")
+        return written(_similar(written(alike(ordered), "similar-pairs"), sets), "similar-links")
 
     def paired(members: DataFrame) -> DataFrame:
         one, two = _sides(members, members, ())
@@ -348,10 +372,6 @@ def similar_links(docs: DataFrame) -> DataFrame:
 
     pairs = paired(shared.filter(F.col("size") <= CROWD))
     many = shared.filter(F.col("size") > CROWD)
-    if not many.isEmpty():
-        finer = written(_sized(_finer(many)), "similar-finer")
-        pairs = pairs.unionByName(paired(finer.filter(F.col("size") <= CROWD)))
-        many = finer.filter(F.col("size") > CROWD)
     if many.isEmpty():
         return copies.unionByName(verified(pairs))
     links, before, turn = verified(pairs.unionByName(headed(many, 0))), None, 0

@@ -155,3 +155,13 @@ def test_repeated_words_do_not_hide_similar_texts(spark, frame):
         rows += [(2 * k, text), (2 * k + 1, text + " all rights kept by us" * 80)]
     assert all(jaccard(rows[2 * k][1], rows[2 * k + 1][1]) > 0.8 for k in range(60))
     assert {r.doc_id for r in simhash.one_of_each(frame(rows)).collect()} == set(range(0, 120, 2))
+
+
+def test_pairs_just_over_the_bound_are_all_found(spark, frame):
+    """3000 pairs with 89 of 111 shingles in common; bands of least hashes alone miss some of them."""
+    rows = []
+    for k in range(3000):
+        words = [f"p{k}_{j}" for j in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:93] + [f"q{k}_{j}" for j in range(11)]))]
+    assert 0.8 < jaccard(rows[0][1], rows[1][1]) < 0.81
+    assert {r.doc_id for r in simhash.one_of_each(frame(rows)).collect()} == set(range(0, 6000, 2))
