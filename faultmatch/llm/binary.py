@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from faultmatch.llm.common import new_path, ready, texts_of
-from faultmatch.llm.tokens import WordIds
+from faultmatch.llm.tokens import word_ids
 
 #: Bytes of a stripe, the unit that tasks read side by side; rows of an index entry, the unit that a filter skips.
 STRIPE_BYTES = 16 << 20
@@ -38,7 +38,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = N
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, before = WordIds(tokenizer), 0
+        words, before = word_ids(tokenizer), 0
         for batch in batches:
             coded = [words.encode(t) + end for t in texts_of(batch.column(2))]
             n = np.array([len(x) // 4 for x in coded], dtype=np.int64)

@@ -7,6 +7,7 @@ keeps the ids of words that it has met; a new word goes to the library.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -82,3 +83,9 @@ class WordIds(dict):
         if "<|" not in text and not _BEYOND_LATIN.search(text):
             text = unicodedata.normalize("NFC", text).lower()
         return b"".join(map(self.__getitem__, text.split()))
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """The encoder of a Python worker: its tasks share the vocabulary and the words met."""
+    return WordIds(path)
