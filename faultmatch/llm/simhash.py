@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Callable
 from itertools import combinations, repeat
 
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from faultmatch.llm.common import per_batch, ready, texts_of, written
 from faultmatch.llm.components import components
-from faultmatch.operators.ranking import top_k
 
 SEED = 42
 #: Most differing bits of a link; the keys below find all such pairs.
@@ -183,223 +181,22 @@ def op5(docs: DataFrame) -> DataFrame:
     return near_groups(docs, 3)
 
 
-# --- one document of each group of similar texts
+# --- one document of each group
 
-#: Words of a shingle and least share of common shingles of near-duplicates.
-WORDS, SIMILARITY = 5, 0.8
-#: Documents, about, whose shingles tell which ones are frequent, and how many frequent ones are known at most. They set an order only.
-ORDER_ROWS, ORDER_SHINGLES = 20_000, 200_000
-#: Numbers of a parity bitmap of 64 bits each.
-PARITY = 8
-#: Candidates of larger buckets are not paired at once, but first with so many of them; what stays apart is paired in blocks of about this size.
-CROWD, HEADS, BLOCK = 48, 4, 256
 
+def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, of which one document of each group of ``near_groups`` stays: the least.
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of some chosen documents have, sorted, and in how many: the order of shingles in which the rare come first.
-
-    The prefixes below are right for any order; this one makes buckets small.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    n = rows.count()
-    if n > ORDER_ROWS:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 20)) < F.lit(max(1, ORDER_ROWS * (1 << 20) // n)))
-
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [np.unique(shingle_hashes(words_of(t), WORDS)) for t in texts_of(batch.column(1))]
-            shingles, counts = np.unique(np.concatenate(own), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
-
-        return step
-
-    counted = per_batch(rows, make, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 3")
-    found = counted.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
-    shingles, counts = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    by = np.argsort(shingles)
-    return shingles[by], counts[by]
-
-
-def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first ones of a set's sorted shingles, rare before frequent: sets of similarity ``SIMILARITY`` or more share one.
-
-    Such sets have at least that share of either set in common, so their first
-    common shingle has fewer than the rest of either before it.
-    """
-    if not len(hashes):
-        return hashes
-    shingles, counts = frequent
-    rank = np.zeros(len(hashes), np.int64)
-    if len(shingles):
-        at = np.minimum(np.searchsorted(shingles, hashes), len(shingles) - 1)
-        rank = np.where(shingles[at] == hashes, counts[at], 0)
-    return hashes[np.argsort(rank, kind="stable")][: len(hashes) - int(np.ceil(SIMILARITY * len(hashes) - 1e-6)) + 1]
-
-
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """A bitmap of so many bits as sets differ in at least as many shingles: each shingle turns one bit."""
-    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def sketch(words: list[bytes], frequent: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int, np.ndarray, np.ndarray]:
-    """Two halves of a digest of the words, the number of different shingles, their parity bitmap, and the prefix of the set."""
-    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-    hashes = np.unique(shingle_hashes(words, WORDS))
-    halves = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
-    return *halves, len(hashes), parity(hashes), prefix(hashes, frequent).view(np.int64)
-
-
-def _sketches(docs: DataFrame) -> DataFrame:
-    frequent = _frequent(docs)
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [sketch(words_of(t), frequent) for t in texts_of(batch.column(1))]
-            types = (*[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2)
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([s[k] for s in own], type=t) for k, t in enumerate(types))],
-                names=["doc_id", "d1", "d2", "n", "parity", "keys"],
-            )
-
-        return step
-
-    return per_batch(rows, make, "doc_id long, d1 long, d2 long, n long, parity array<long>, keys array<long>")
-
-
-def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, shingles``: 32 bits of each different shingle of each text."""
-
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [np.unique(shingle_hashes(words_of(t), WORDS).astype(np.uint32)).view(np.int32) for t in texts_of(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, type=pa.list_(pa.int32()))], names=["doc_id", "shingles"])
-
-        return step
-
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, shingles array<int>")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` of documents whose share of common shingles reaches ``SIMILARITY``."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
-    both = both.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= SIMILARITY * (F.size("a") + F.size("b") - common)).select("u", "v")
-
-
-def _sized(members: DataFrame) -> DataFrame:
-    """Members of buckets with company, and how large their bucket is."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    return members.join(sizes, "key")
-
-
-def _apart(many: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that the links found so far do not connect, with their components and numbers of pairs that are apart."""
-    roots = components(links, "similar-roots").select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
-    rooted = many.select("key", "doc_id", "n", "at").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("part"))
-    sizes = parts.groupBy("key").agg(F.sum("part").alias("size"), F.sum(F.col("part") * F.col("part")).alias("squares"), F.count("*").alias("parts"))
-    sizes = sizes.filter("parts > 1").select("key", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).cast("long").alias("apart"))
-    return written(rooted.join(sizes, "key"), "similar-apart")
-
-
-def _sides(left: DataFrame, right: DataFrame, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Two frames of bucket members with columns for joining them: ``u, nu, au`` and ``v, nv, av``."""
-    names = ("n", "at", *(c for c in ("root",) if c in left.columns and c in right.columns))
-    one = left.select("key", *extra, F.col("doc_id").alias("u"), *(F.col(c).alias(f"{c[0]}u") for c in names))
-    two = right.select("key", *extra, F.col("doc_id").alias("v"), *(F.col(c).alias(f"{c[0]}v") for c in names))
-    return one, two
-
-
-def similar_links(docs: DataFrame) -> DataFrame:
-    """``u, v``: links between documents of similarity 0.8 or more, and between equal texts.
-
-    Texts with the same words form a class, of which the least document goes
-    on.  Documents that share a key, a shingle of both prefixes, are candidates;
-    all that are similar share one.  Small buckets give pairs; in a large one,
-    a few documents are tried with each other one.  That connects most
-    members of a large group of similar texts; pairs inside one component need no
-    further look.  All other pairs of the bucket are tried, linked members
-    too: again with a few at a time while that halves the pairs that are
-    apart, then all of them, in blocks.  Candidates go whose sizes, places of the
-    key or parity bitmaps rule the similarity out; the others are verified on the
-    shingles of their whole texts.
-    """
-    own = written(_sketches(docs), "sketches")
-    classes = own.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"))
-    copies = own.join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), "v").filter("u <> v").distinct()
-    first = own.join(classes.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    shared = written(_sized(first.select(F.posexplode("keys").alias("at", "key"), "doc_id", "n")), "similar-keys")
-    ids = shared.select("doc_id").distinct()
-    sets = written(_shingle_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingle-sets")
-    # sets of a and b shingles are similar from (a + b) * share common ones on; at their first common key no more are left in either
-    share = SIMILARITY / (1 + SIMILARITY)
-    left = F.least(F.col("nu") - F.col("au"), F.col("nv") - F.col("av"))
-    near = (F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv") - 1e-6) & (left >= share * (F.col("nu") + F.col("nv")) - 1e-6)
-    bitmaps = own.select("doc_id", "n", "parity").dropDuplicates(["doc_id"])
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bitmaps.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu")), "u")
-        both = both.join(bitmaps.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("parity").alias("pv")), "v")
-        odd = sum((F.bit_count(F.col("pu")[k].bitwiseXOR(F.col("pv")[k])) for k in range(PARITY)), F.lit(0))
-        return both.filter(odd <= (1 - 2 * share) * (F.col("nu") + F.col("nv")) + 1e-6).select("u", "v")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        return written(_similar(written(alike(ordered), "similar-pairs"), sets), "similar-links")
-
-    def paired(members: DataFrame) -> DataFrame:
-        one, two = _sides(members, members, ())
-        return one.join(two, "key").filter((F.col("u") < F.col("v")) & near).select("u", "v")
-
-    def headed(members: DataFrame, turn: int) -> DataFrame:
-        # the same order everywhere, so that buckets of the same documents have the same heads
-        heads = top_k(members, ["key"], [F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id")], HEADS, "rank").drop("rank")
-        one, two = _sides(heads, members, ())
-        other = F.col("ru") != F.col("rv") if "root" in members.columns else F.lit(True)
-        return two.join(one, "key").filter((F.col("u") != F.col("v")) & other & near).select("u", "v")
-
-    def crossed(members: DataFrame) -> DataFrame:
-        n = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = members.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), n).cast("int"))
-        left = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.expr("sequence(block, blocks - 1)")))
-        right = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.expr("sequence(0, block)")))
-        one, two = _sides(left, right, ("i", "j"))
-        once = (F.col("i") < F.col("j")) | (F.col("u") < F.col("v"))
-        return one.join(two, ["key", "i", "j"]).filter(once & (F.col("ru") != F.col("rv")) & near).select("u", "v")
-
-    pairs = paired(shared.filter(F.col("size") <= CROWD))
-    many = shared.filter(F.col("size") > CROWD)
-    if many.isEmpty():
-        return copies.unionByName(verified(pairs))
-    links, before, turn = verified(pairs.unionByName(headed(many, 0))), None, 0
-    while True:
-        many = _apart(many, links)
-        open_pairs = many.groupBy("key").agg(F.first("apart").alias("apart")).agg(F.sum("apart")).first()[0] or 0
-        if not open_pairs:
-            return copies.unionByName(links)
-        turn += 1
-        last = before is not None and 2 * open_pairs > before
-        before = open_pairs
-        links = written(links.unionByName(verified(crossed(many) if last else headed(many, turn))), "similar-links")
-        if last:
-            return copies.unionByName(links)
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, without near-duplicates: the least document of each group stays.
-
-    Rows that share an id are one document, of which one row stays.  Rows
-    without an id cannot be told apart and stay.  Texts without words are
-    equal texts.
+    Rows that share an id are one document: it stays if it is the least of the
+    group of one of its rows, and then with one row.  Rows without an id cannot
+    be told apart and stay.  Texts without words have fingerprint zero and are
+    one group.
     """
     ready(docs.sparkSession)
-    gone = components(similar_links(docs), "similar-groups").select(F.col("u").alias("doc_id"))
     with_id = docs.filter(F.col("doc_id").isNotNull())
-    kept = with_id.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = near_groups(with_id, size).filter("doc_id = component_id").select("doc_id")
+    rows = with_id.join(kept, "doc_id", "left_semi").select(docs.columns)
     if not with_id.groupBy("doc_id").count().filter("count > 1").isEmpty():
         order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-        kept = kept.withColumn("__turn", F.row_number().over(order)).filter("__turn = 1").drop("__turn")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+        rows = rows.withColumn("__turn", F.row_number().over(order)).filter("__turn = 1").drop("__turn")
+    return rows.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -1,12 +1,10 @@
 """The pipeline's stages, each on its own input, against plain versions."""
 
-from itertools import combinations
-
 from conftest import SF
 from tests.llm.conftest import ODD_TEXTS
 from tests.llm.test_packing import check
 from tests.llm.test_quality import plain as plain_quality
-from tests.llm.test_simhash import jaccard, roots
+from tests.llm.test_simhash import least_of_each
 from tests.llm.test_substrings import plain as plain_repeats
 
 import __spark_entry__ as entry
@@ -36,9 +34,7 @@ def test_stages(spark, tmp_path):
     verdict = {r.doc_id: r.kept for r in quality.judge(spoken).collect()}
     assert {r.doc_id for r in good.collect()} == {i for i, kept in verdict.items() if kept}
     assert not any(plain_quality(r.text)[-1] for r in good.collect())
-    texts = [(r.doc_id, r.text) for r in good.collect()]
-    edges = [(a, b) for (a, x), (b, y) in combinations(texts, 2) if jaccard(x, y) >= 0.8]
-    assert {r.doc_id for r in single.collect()} == {n for n, r in roots([i for i, _ in texts], edges).items() if n == r}
+    assert {r.doc_id for r in single.collect()} == least_of_each([(r.doc_id, r.text) for r in good.collect()])
     want = {i: n - gone for i, n, gone, _ in plain_repeats([(r.doc_id, r.text) for r in single.collect()])}
     assert {r.doc_id: len((r.text or "").split()) for r in cut.collect()} == want
     n, bound = check(docs, [(r.doc_id, r.text) for r in cut.collect()], corpus_pipeline.CAPACITY)
