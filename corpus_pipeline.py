@@ -10,6 +10,8 @@ from faultmatch.llm.queries import vocabulary
 
 #: Ids of a sequence, and the id that ends a document.
 CAPACITY, END_ID = 4096, 1
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their five-word shingles or more, the one with the least id."""
-    return simhash.one_of_each(docs)
+    """Of each group of documents whose fingerprints link at 2 bits or fewer, the one with the least id."""
+    return simhash.one_of_each(docs, SHINGLE)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
