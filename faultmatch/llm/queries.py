@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultmatch.llm import binary, chat, html, language, packing, pairs, quality, sampling, simhash, substrings
+from faultmatch.llm import binary, chat, counts, html, language, packing, pairs, quality, sampling, simhash, substrings
 from faultmatch.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op10(table(spark, sf_dir, "documents"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.op13(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1,
     "op2_chat_format": op2,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8,
     "op9_token_files": op9,
     "op10_substring_dedup": op10,
+    "op13_token_counts": op13,
 }
 SQL: dict[str, str] = {
     "op2_chat_format": chat.SQL,
