@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultmatch.llm import binary, chat, counts, html, language, packing, pairs, quality, sampling, simhash, spelling, substrings
+from faultmatch.llm import binary, chat, counts, html, language, merkle, packing, pairs, quality, sampling, simhash, spelling, substrings
 from faultmatch.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op10(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op11(table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.op12(table(spark, sf_dir, "documents"))
 
@@ -75,9 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8,
     "op9_token_files": op9,
     "op10_substring_dedup": op10,
+    "op11_merkle_manifest": op11,
     "op12_spelling_forms": op12,
     "op13_token_counts": op13,
 }
 SQL: dict[str, str] = {
     "op2_chat_format": chat.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
