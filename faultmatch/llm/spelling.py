@@ -17,6 +17,8 @@ from faultmatch.llm.common import ready, written
 SYMBOLS = 4
 #: Numbers that the keys of a block of words take in memory at a time, about.
 BLOCK = 1 << 20
+#: Longest words that go with each of their keys.
+CARRIED = 40
 #: Words that a task counts before it hands them on.
 COUNTED = 200_000
 
@@ -92,7 +94,7 @@ def _sums(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
 def _mixed(form: np.ndarray, half: np.ndarray, side: int, length: int) -> np.ndarray:
     """A key: the reduced word, one half of it in original letters, which half, and the length."""
     x = (form ^ (half * np.uint64(_BASE)) ^ np.uint64(2 * length + side)) * np.uint64(_MIX)
-    return (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(_MIX) | np.uint64(1)  # never zero
 
 
 class Block:
@@ -116,20 +118,22 @@ class Block:
         return np.stack([_mixed(self.forms[:, -1], self.half(side, self.n), side, self.n) for side in (0, 1)], axis=1)
 
     def near_keys(self, least_length: int, start: int, stop: int) -> Iterator[np.ndarray]:
-        """Keys of the whole one-edit neighbourhood of the reduced words, edited at places from ``start`` to ``stop``.
+        """Keys of the one-edit neighbourhood of the reduced words, edited at places from ``start`` to ``stop``.
 
         An edit leaves one half of the edited word in its original letters, and
         that half is in the key.  So a word one edit away has one of these keys
-        among its own two.
+        among its own two.  The neighbourhood is symmetric, and each pair of
+        reduced words is generated on one side: by the longer word, which loses a
+        symbol, or by the one with the smaller symbol at the place where they differ.
+        Zero is no key.
         """
         n = self.n
         at = np.arange(start, min(stop, n))
-        before, behind, whole = self.forms[:, at], self.forms[:, at + 1], self.forms[:, -1:]
-        power = self.powers[at]
+        letters, power, whole = self.letters[:, at], self.powers[at], self.forms[:, -1:]
         inverse = np.uint64(pow(_BASE, -1, 1 << 64))
 
-        def keyed(forms: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-            first = places < length // 2  # the edit is in the first half, so the rest is untouched
+        def keyed(forms: np.ndarray, length: int) -> np.ndarray:
+            first = at < length // 2  # the edit is in the first half, so the rest is untouched
             out = np.empty(forms.shape, np.uint64)
             for side, chosen in ((0, ~first), (1, first)):
                 if chosen.any():
@@ -137,17 +141,14 @@ class Block:
             return out
 
         if n - 1 >= least_length:
-            yield keyed(before + (whole - behind) * inverse, at, n - 1)
-        for symbol in range(1, self.symbols + 1):
-            yield keyed(whole + (np.uint64(symbol) - self.letters[:, at]) * power, at, n)
-        at = np.arange(start, stop if stop < n else n + 1)
-        before, power = self.forms[:, at], self.powers[at]
-        for symbol in range(1, self.symbols + 1):
-            yield keyed(before + np.uint64(symbol) * power + (whole - before) * np.uint64(_BASE), at, n + 1)
+            yield keyed(self.forms[:, at] + (whole - self.forms[:, at + 1]) * inverse, n - 1)
+        for step in range(1, self.symbols):
+            larger = letters + np.uint64(step)
+            yield np.where(larger <= self.symbols, keyed(whole + np.uint64(step) * power, n), np.uint64(0))
 
 
-def _blocks(words: list[str], ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words of equal length as matrices of code points, few enough at a time, with their ids."""
+def _blocks(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of equal length as matrices of code points, few enough at a time, with their places in the list."""
     sizes = np.array([len(w) for w in words])
     for n in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == n)
@@ -155,49 +156,74 @@ def _blocks(words: list[str], ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         for k in range(0, len(rows), step):
             some = rows[k : k + step]
             coded = "".join([words[i] for i in some]).encode("utf-32-le")
-            yield np.frombuffer(coded, "<u4").reshape(len(some), n), ids[some]
+            yield np.frombuffer(coded, "<u4").reshape(len(some), n), some
 
 
-def _keyed(words: DataFrame, near: bool, least_length: int, symbols: int) -> DataFrame:
-    """``key, id`` of each word's own keys or of its neighbourhood, each once a word."""
+def _own_keys(words: DataFrame, symbols: int) -> DataFrame:
+    """``key, word, n``: the two keys of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        for batch in batches:
+            texts, counts = batch.column(0), batch.column(1)
+            for points, rows in _blocks(texts.to_pylist()):
+                keys = Block(points, symbols).own_keys()
+                at = pa.array(np.repeat(rows, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), texts.take(at), counts.take(at)], names=["key", "near", "near_n"])
+
+    return words.select("word", "n").mapInArrow(run, "key long, near string, near_n long")
+
+
+def _near_keys(words: DataFrame, names: list[str], least_length: int, symbols: int) -> DataFrame:
+    """``key, same`` and the columns ``names`` for the neighbourhood of each word, each key once a word; ``same``: the word's own."""
+    kinds = dict(words.dtypes)
+    schema = ", ".join(["key long", "same boolean", *(f"{c} {kinds[c]}" for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(keys: np.ndarray, columns: list[pa.Array], rows: np.ndarray, same: bool) -> pa.RecordBatch:
             keys = np.sort(keys, axis=1)
-            new = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(np.repeat(ids, new.sum(axis=1)))], names=["key", "id"])
+            new = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1) & (keys != 0)
+            found, at = keys[new].view(np.int64), pa.array(np.repeat(rows, new.sum(axis=1)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array(np.full(len(found), same)), *(c.take(at) for c in columns)], names=["key", "same", *names]
+            )
 
         for batch in batches:
-            for points, ids in _blocks(batch.column(0).to_pylist(), batch.column(1).to_numpy()):
+            columns = batch.columns[1:]
+            for points, rows in _blocks(batch.column(0).to_pylist()):
                 block, n = Block(points, symbols), points.shape[1]
-                if not near:
-                    yield out(block.own_keys(), ids)
-                    continue
-                step = max(1, BLOCK // (len(ids) * 2 * symbols))
-                for start in range(0, n + 1, step):
-                    yield out(np.concatenate(list(block.near_keys(least_length, start, start + step)), axis=1), ids)
+                yield out(block.own_keys(), columns, rows, True)
+                step = max(1, BLOCK // (len(rows) * 2 * symbols))
+                for start in range(0, n, step):
+                    parts = list(block.near_keys(least_length, start, start + step))
+                    if parts:
+                        yield out(np.concatenate(parts, axis=1), columns, rows, False)
 
-    return words.select("word", "id").mapInArrow(run, "key long, id long")
+    return words.select(F.col("word").alias("letters"), *names).mapInArrow(run, schema)
 
 
 def near_words(words: DataFrame, least_length: int = 1, symbols: int = SYMBOLS) -> DataFrame:
-    """``word, near, near_n``: pairs of words exactly one inserted, deleted or replaced code point apart, both ways.
+    """``word, n, near, near_n``: pairs of words exactly one inserted, deleted or replaced code point apart.
 
     ``words`` has distinct words of ``least_length`` code points on, with ``n``.
-    Letters are reduced to a few symbols.  The whole one-edit neighbourhood of
-    each reduced word meets the reduced vocabulary on 64-bit keys, which also
+    Letters are reduced to a few symbols.  The one-edit neighbourhoods of the
+    reduced words meet the reduced vocabulary on 64-bit keys, which also
     hold the half of the word that the edit does not touch, in its own letters:
     words that are alike only in reduced letters then rarely meet, and no pair is
-    lost.  Pairs that meet are verified on the words themselves.
+    lost.  Pairs that meet are verified on the words themselves.  A pair
+    comes in one direction, now and then more than once.
+
+    Short words go with each of their keys, so that pairs are verified where they
+    meet; of long ones, which have more keys, a number goes and the word joins later.
     """
     ready(words.sparkSession)
     named = written(words.select("word", "n", F.xxhash64("word").alias("id")), "spelling-words")
-    own = _keyed(named, False, least_length, symbols).withColumnRenamed("id", "near_id")
-    pairs = _keyed(named, True, least_length, symbols).join(own, "key").select("id", "near_id").distinct()
-    texts = named.select("id", "word")
-    others = named.select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    both = pairs.join(texts, "id").join(others, "near_id")
-    return both.filter(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
+    own = _own_keys(named, symbols)
+    short, long = (named.filter(F.length("word") <= CARRIED), named.filter(F.length("word") > CARRIED))
+    met = _near_keys(short, ["word", "n"], least_length, symbols).join(own, "key")
+    by_id = _near_keys(long, ["id"], least_length, symbols).join(own, "key").join(long, "id")
+    columns = ["same", "word", "n", "near", "near_n"]
+    both = met.select(columns).unionByName(by_id.select(columns)).filter(~F.col("same") | (F.col("word") < F.col("near")))
+    return both.filter(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
 # --- forms
@@ -212,9 +238,14 @@ def forms(words: DataFrame, least_length: int = 1, times: int = 10, symbols: int
     so the walk has few; every round doubles the steps done.
     """
     words = written(words, "spelling-counts")
-    near = near_words(words, least_length, symbols).groupBy("word").agg(
-        F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best")
+    pairs = near_words(words, least_length, symbols)
+    turned = F.array(
+        F.struct("word", (-F.col("near_n")).alias("less"), F.col("near").alias("form")),
+        F.struct(F.col("near").alias("word"), (-F.col("n")).alias("less"), F.col("word").alias("form")),
     )
+    # a word has few near words, at most some hundreds for each of its letters
+    around = pairs.select(F.inline(turned)).groupBy("word").agg(F.collect_set(F.struct("less", "form")).alias("near"))
+    near = around.select("word", F.size("near").alias("n_near"), F.array_min("near").alias("best"))
     rows = words.join(near, "word", "left").withColumn("form_n", -F.col("best.less"))
     strong = F.col("form_n") >= times * F.col("n")
     rows = rows.select(
