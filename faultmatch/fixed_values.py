@@ -39,7 +39,6 @@ NORMALIZE_REWRITES = [
 ]
 
 TOKEN_PATTERN = r"[a-z0-9\-]{4,}"
-TOKEN_LIMIT = 4
 
 NUMBERED_STEP_PATTERN = r"^\d+[\.\)]"
 BULLETS = ["\n•", "\n-", "\n*"]
@@ -231,17 +230,10 @@ GUIDANCE_CATEGORIES = ["network", "security", "performance"]
 
 # --- retrieval sizes ------------------------------------------------------------
 
-EXPANSIONS_KEYWORD = 3
-KEYWORD_CANDIDATES = 20
-EXPANSIONS_FUZZY = 2
 FUZZY_CANDIDATES = 100
-EXPANSIONS_VECTOR = 3
 VECTOR_PAGE = 100
-VECTOR_PAGES = 2
 INDEX_LIMIT = 10
 INDEX_LIMIT_SECURE = 5
-SIMPLE_FUZZY_ROWS = 500
-CONTEXT_ROWS = 6
 SUGGESTION_ROWS = 5
 TRAINING_ROWS = 1000
 CACHE_HOURS = 24

@@ -37,10 +37,11 @@ def fingerprint(c: Column | str) -> Column:
     return F.sha2(F.coalesce(col(c), F.lit("")), 256)
 
 
-def tokens(c: Column | str, k: int = fv.TOKEN_LIMIT) -> Column:
-    """First ``k`` distinct keywords in order of appearance."""
+def tokens(c: Column | str, k: int | None = None) -> Column:
+    """Distinct keywords in order of appearance, the first ``k`` if given."""
     found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(fv.TOKEN_PATTERN), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(found, lambda w: ~w.isin(fv.STOP_WORDS))), 1, k)
+    distinct = F.array_distinct(F.filter(found, lambda w: ~w.isin(fv.STOP_WORDS)))
+    return distinct if k is None else F.slice(distinct, 1, k)
 
 
 def non_blank_lines(c: Column | str) -> Column:

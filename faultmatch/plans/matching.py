@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultmatch import fixed_values as fv
 from faultmatch.functions import scoring as sc, similarity as sim, text as tx
-from faultmatch.operators import audit, candidates as ca, feedback as fb, vectors as ve
+from faultmatch.operators import audit, best_match as bm, candidates as ca, feedback as fb, ngram_join as ng, vectors as ve
 from faultmatch.operators.ranking import salted_join, top_k
 from faultmatch.session import cut
 
@@ -57,84 +57,69 @@ def exact_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
     )
 
 
-def _scorable(texts: DataFrame, column: str) -> DataFrame:
-    return (
-        texts.withColumn("q_terms", sim.expand(column))
-        .withColumn("q_words", sim.long_words(column))
-        .withColumn("q_grams", sim.ngrams(column))
-    )
+def _texts(queries: DataFrame, column: str) -> DataFrame:
+    """``text_id, text``: distinct texts of a column, named by a query that has them."""
+    return queries.groupBy(F.col(column).alias("text")).agg(F.min("query_id").alias("text_id")).filter(F.col("text").isNotNull())
 
 
-def _payload(kb: DataFrame, ids: DataFrame, signature_grams: bool = True, text_grams: bool = False) -> DataFrame:
-    out = _only(kb, ids).select(
-        "kb_id", "error_signature", "error_text", "resolution_steps", "success_rate", "feedback_count",
-        sim.long_words("error_signature").alias("s_words"), sim.long_words("error_text").alias("t_words"),
-        *([sim.ngrams("error_signature").alias("s_grams")] if signature_grams else []),
-        *([sim.ngrams("error_text").alias("t_grams")] if text_grams else []),
-    )
-    return ids.join(out, "kb_id")
+def _with_keywords(texts: DataFrame) -> DataFrame:
+    """Texts that have keywords, their own or those of their synonyms."""
+    keywords = tx.tokens(F.array_join(sim.expand("text"), " "))
+    return texts.withColumn("tokens", keywords).filter(F.size("tokens") > 0)
 
 
-def keyword_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
-    """Keyword candidates of the first three expansions, best combined score above 0.4."""
-    signatures = _scorable(queries.select("signature").distinct(), "signature")
-    expanded = (
-        signatures.select("*", F.posexplode(F.slice("q_terms", 1, fv.EXPANSIONS_KEYWORD)).alias("term_no", "term"))
-        .withColumn("tokens", tx.tokens("term"))
-        .filter(F.size("tokens") > 0)
-        .withColumn("terms_key", ca.term_key("tokens"))
-        .drop("term")
-    )
-    hits = ca.any_token(expanded, kb, ["error_signature"], ca.by_rate(), fv.KEYWORD_CANDIDATES)
-    rows = salted_join(expanded.drop("tokens"), _payload(kb, hits), ["terms_key"], "signature")
+def _has_keyword(column: str) -> Column:
+    return F.exists("tokens", lambda t: F.contains(F.col(f"low_{column}"), t))
 
-    def fuzzy(target: str, words: str) -> Column:
-        return sim.fuzzy_score("signature", target, "q_words", words, "q_terms")
 
-    combined = (
-        fuzzy("error_signature", "s_words") * 0.5
-        + sim.jaccard("q_grams", "s_grams") * 0.3
-        + fuzzy("error_text", "t_words") * 0.2
+def _rows_with_keywords(column: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """All rows that hold a keyword of a text, for texts that need not share a word with their best row."""
+
+    def pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
+        asked = texts.select("text_id", F.explode("tokens").alias("token"))
+        return asked.join(ca.token_rows(asked.select("token").distinct(), rows, [column]), "token").select("text_id", "kb_id")
+
+    return pairs
+
+
+def _answers(queries: DataFrame, column: str, texts: DataFrame, best: DataFrame, kb: DataFrame) -> DataFrame:
+    """Best rows of texts, handed to every query that has the text."""
+    found = texts.select("text_id", F.col("text").alias(column)).join(best, "text_id")
+    rows = kb.select("kb_id", "error_hash", "resolution_steps", "success_rate", "feedback_count").join(
+        best.select("kb_id").distinct(), "kb_id", "left_semi"
     )
-    score = F.round(combined + F.when(F.col("success_rate") > 0.7, 0.2).otherwise(0.0), 9)
-    scored = rows.select(
-        "signature", "term_no", "rank", "error_hash", "resolution_steps", "success_rate", "feedback_count",
-        score.alias("score"),
+    return queries.select("query_id", column).join(found.join(rows, "kb_id"), column)
+
+
+def keyword_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
+    """Best combined score above 0.4 among all rows whose signature holds a keyword of any expansion; ties by rate."""
+    texts = _with_keywords(_texts(queries, "signature"))
+    rows = kb.select(
+        "kb_id", "error_hash", "error_signature", "error_text", "raw_rate", "created_at",
+        F.when(F.col("success_rate") > 0.7, 0.2).otherwise(0.0).alias("bonus"),
     )
-    # the threshold comes after the choice: pushed below it, it would score every pair twice
-    best = top_k(scored, ["signature"], [F.col("score").desc(), F.col("term_no"), F.col("rank")], 1).filter("score > 0.4")
-    return _result(
-        queries.select("query_id", "signature").join(best, "signature"),
-        "enhanced_fuzzy_keyword", F.least(F.lit(0.95), F.col("score")),
+    score = bm.Score(
+        (bm.Field("error_signature", 0.5, 0.3), bm.Field("error_text", 0.2, 0.0)), 0.4, lambda: _has_keyword("error_signature")
     )
+    best = bm.best_match(texts, rows, score, ca.by_rate(), _rows_with_keywords("error_signature"))
+    found = _answers(queries, "signature", texts, best, kb)
+    return _result(found, "enhanced_fuzzy_keyword", F.least(F.lit(0.95), F.col("score")))
 
 
 def fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
-    """Newest keyword candidates on the text, mixed text and signature similarity above 0.5."""
-    texts = _scorable(queries.select("clean_text").distinct(), "clean_text")
-    texts = (
-        texts.withColumn("tokens", tx.tokens(F.array_join(F.slice("q_terms", 1, fv.EXPANSIONS_FUZZY), " ")))
-        .filter(F.size("tokens") > 0)
-        .withColumn("terms_key", ca.term_key("tokens"))
+    """Best mixed text and signature similarity above 0.5 among all rows whose text holds a keyword; ties by age."""
+    texts = _with_keywords(_texts(queries, "clean_text"))
+    rows = kb.select(
+        "kb_id", "error_hash", "error_signature", "error_text", "created_at",
+        (F.col("success_rate") * F.least(F.lit(1.0), F.col("feedback_count") / 10.0) * 0.2).alias("bonus"),
     )
-    hits = ca.any_token(texts, kb, ["error_text"], ca.by_newest(), fv.FUZZY_CANDIDATES)
-    rows = salted_join(texts.drop("tokens"), _payload(kb, hits, text_grams=True), ["terms_key"], "clean_text")
-
-    def mixed(target: str, words: str, grams: str) -> Column:
-        fuzzy = sim.fuzzy_score("clean_text", target, "q_words", words, "q_terms")
-        return fuzzy * 0.6 + sim.jaccard("q_grams", grams) * 0.4
-
-    similarity = mixed("error_text", "t_words", "t_grams") * 0.7 + mixed("error_signature", "s_words", "s_grams") * 0.3
-    bonus = F.col("success_rate") * F.least(F.lit(1.0), F.col("feedback_count") / 10.0) * 0.2
-    scored = rows.select(
-        "clean_text", "rank", "error_hash", "resolution_steps", "success_rate", "feedback_count",
-        F.round(similarity + bonus, 9).alias("score"),
-    )
-    best = top_k(scored, ["clean_text"], [F.col("score").desc(), F.col("rank")], 1).filter("score > 0.5")
-    return _result(
-        queries.select("query_id", "clean_text").join(best, "clean_text"),
-        "enhanced_fuzzy_search", F.least(F.lit(0.95), F.col("score")),
+    score = bm.Score(
+        (bm.Field("error_text", 0.6 * 0.7, 0.4 * 0.7), bm.Field("error_signature", 0.6 * 0.3, 0.4 * 0.3)), 0.5,
+        lambda: _has_keyword("error_text"),
     )
+    best = bm.best_match(texts, rows, score, ca.by_newest(), _rows_with_keywords("error_text"))
+    found = _answers(queries, "clean_text", texts, best, kb)
+    return _result(found, "enhanced_fuzzy_search", F.least(F.lit(0.95), F.col("score")))
 
 
 def _index_rows(queries: DataFrame, kb: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
@@ -164,41 +149,30 @@ def secure_vector_match(queries: DataFrame, kb: DataFrame, vectors: DataFrame) -
 
 
 def vector_fuzzy_match(queries: DataFrame, kb: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Newest keyword candidates on either column, vector and fuzzy similarity weighted by confidence."""
-    rows_wanted = fv.VECTOR_PAGE * fv.VECTOR_PAGES
-    terms = F.array_join(F.slice(sim.expand("clean_text"), 1, fv.EXPANSIONS_VECTOR), " ")
-    asked = (
-        queries.filter(F.size("embedding") > 0)
-        .select("query_id", "clean_text", sim.l2_normalize("embedding").alias("unit"), tx.tokens(terms).alias("tokens"))
-        .withColumn("terms_key", ca.term_key("tokens"))
-    )
-    hits = ca.any_token(asked, kb, ["error_signature", "error_text"], ca.by_newest(), rows_wanted)
-    # a query without keywords sees the newest rows of the whole table
-    newest = (
-        kb.select("kb_id", "error_hash", "created_at", "raw_rate")
-        .orderBy(*ca.by_newest())
-        .limit(rows_wanted)
-        .select(F.lit("").alias("terms_key"), "kb_id", "error_hash", "created_at")
-    )
-    pool = hits.select("terms_key", "kb_id", "error_hash", "created_at").unionByName(newest)
-    units = vectors.filter(F.size("embedding") > 0).select("kb_id", sim.l2_normalize("embedding").alias("kb_unit"))
-    payload = _only(kb, pool).select(
-        "kb_id", "error_text", "resolution_steps", "success_rate", "feedback_count", "has_conflicts"
-    )
-    pool = pool.join(units, "kb_id").join(payload, "kb_id")
-    n = F.least(F.size("unit"), F.size("kb_unit"))
-    cosine = sim.dot(F.slice("unit", F.lit(1), n), F.slice("kb_unit", F.lit(1), n))
-    near = (
-        salted_join(asked.drop("tokens"), pool, ["terms_key"], "query_id").withColumn("cosine", cosine)
-        .filter(F.col("cosine") >= fv.VECTOR_MIN_COSINE)
-        .drop("unit", "kb_unit")
-    )
-    confidence = sc.confidence("success_rate", "feedback_count", F.when(F.col("has_conflicts"), 0.4).otherwise(0.1))
-    similarity = F.col("cosine") * 0.7 + sim.fuzzy_score("clean_text", "error_text") * 0.3
-    scored = near.withColumn("trust", confidence).withColumn(
-        "score", F.round(similarity * (0.6 + F.col("trust") * 0.4), 9)
-    )
-    best = top_k(scored, ["query_id"], [F.col("score").desc(), *ca.by_newest()], 1)
+    """Vector and fuzzy similarity weighted by confidence, over all rows near enough that hold a keyword in either column.
+
+    Vectors stay where the exact join places them: only ids and cosines come
+    back.  A query without keywords sees all rows near enough.  The fuzzy
+    part is worked out for pairs that can still be best without knowing it.
+    """
+    asked = queries.filter(F.size("embedding") > 0)
+    pairs = ve.vector_join(asked.select("query_id", "embedding"), vectors, fv.VECTOR_MIN_COSINE)
+    texts = asked.select(
+        "query_id", "clean_text", tx.tokens(F.array_join(sim.expand("clean_text"), " ")).alias("tokens"),
+    )
+    trust = sc.confidence("success_rate", "feedback_count", F.when(F.col("has_conflicts"), 0.4).otherwise(0.1))
+    rows = _only(kb, pairs).select(
+        "kb_id", "error_hash", "created_at", "error_text", F.lower("error_signature").alias("low_signature"),
+        F.lower("error_text").alias("low_text"), "resolution_steps", "success_rate", "feedback_count", "has_conflicts", trust.alias("trust"),
+    )
+    holds = F.exists("tokens", lambda t: F.contains("low_signature", t) | F.contains("low_text", t))
+    near = pairs.join(texts, "query_id").join(rows, "kb_id").filter((F.size("tokens") == 0) | holds)
+    weight = 0.6 + F.col("trust") * 0.4
+    near = near.withColumn("least", F.col("similarity") * 0.7 * weight)
+    lead = F.max("least").over(Window.partitionBy("query_id"))
+    close = near.withColumn("lead", lead).filter(F.col("least") + 0.3 * weight >= F.col("lead") - 1e-6)
+    score = (F.col("similarity") * 0.7 + sim.fuzzy_score("clean_text", "error_text") * 0.3) * weight
+    best = top_k(close.withColumn("score", F.round(score, 9)), ["query_id"], [F.col("score").desc(), *ca.by_newest()], 1)
     return _result(best, "enhanced_vector_fuzzy", F.col("trust"), None, conflicts=F.col("has_conflicts"))
 
 
@@ -233,82 +207,35 @@ def strict_keyword_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
     )
 
 
-def simple_fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
-    """Best fuzzy total above 0.6 among the newest 500 knowledge rows.
-
-    The word score is summed over joins on words instead of comparing every
-    query with every row.  A pair without a similar word can only qualify when
-    the query is a fragment (no whole word inside it, or a single word); those
-    meet the rows on character grams.
-    """
-    newest = kb.filter(F.col("error_text").isNotNull()).orderBy(*ca.by_newest()).limit(fv.SIMPLE_FUZZY_ROWS)
-    newest = newest.select(
-        "kb_id", "error_hash", "created_at", "error_text", "resolution_steps", sim.ngrams("error_text").alias("t_grams")
-    )
-    texts = (
-        queries.filter(~tx.is_blank("clean_text")).groupBy("clean_text").agg(F.min("query_id").alias("text_id"))
-        .withColumn("q_words", sim.long_words("clean_text"))
-        .withColumn("parts", F.split(F.lower("clean_text"), " "))
-    )
-    words = texts.select("text_id", F.explode("q_words").alias("word")).groupBy("text_id", "word").agg(
-        F.count("*").alias("times")
-    )
-    targets = newest.select("kb_id", F.explode(F.array_distinct(sim.long_words("error_text"))).alias("target"))
-    near = ca.near_words(words.select("word").distinct(), targets.select("target").distinct())
-    # at most 500 rows per word; common words are spread over tasks
-    per_word = near.join(targets, "target").groupBy("word", "kb_id").agg(F.max("value").alias("value"))
-    best = (
-        salted_join(words, per_word, ["word"], "text_id")
-        .groupBy("text_id", "kb_id")
-        .agg(F.sum(F.col("value") * F.col("times")).alias("word_sum"))
+def _fragment_rows(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows that hold a text without a whole word inside it, and rows of which half the grams are those of a single word."""
+    fragments = bm.without_inner_word(texts).select("text_id", F.col("low").alias("needle"))
+    holding = ca.containing(fragments, rows.withColumn("error_signature", F.col("error_text")), [F.col("kb_id")], None)
+    holding = fragments.join(holding, "needle").select("text_id", "kb_id")
+    single = texts.filter("size(q_words) <= 1").select("text_id", "text")
+    alike = ng.ngram_join(single.select("text"), rows.select(F.col("error_text").alias("text")), 0.5)
+    alike = alike.join(single.withColumnRenamed("text", "left_text"), "left_text").join(
+        rows.select("kb_id", F.col("error_text").alias("right_text")), "right_text"
     )
+    return holding.unionByName(alike.select("text_id", "kb_id"))
 
-    inner = F.filter(F.slice("parts", 2, F.greatest(F.size("parts") - 2, F.lit(0))), lambda w: F.length(w) > 2)
-    fragments = texts.filter((F.size("q_words") <= 1) | (F.size(inner) == 0)).select("text_id", "clean_text")
-    lower = F.lower("clean_text")
-    size = F.least(F.lit(3), F.length("clean_text"))
-    q_grams = F.when(size < 3, F.array(lower)).otherwise(sim.ngrams("clean_text"))
-    row_grams = None
-    for n in (1, 2, 3):
-        g = newest.select("kb_id", F.explode(sim.ngrams("error_text", n)).alias("gram"))
-        row_grams = g if row_grams is None else row_grams.unionByName(g)
-    loose = (
-        fragments.select("text_id", F.explode(q_grams).alias("gram")).join(row_grams, "gram")
-        .select("text_id", "kb_id", F.lit(0.0).alias("word_sum")).distinct()
-    )
-    pairs = best.unionByName(loose).groupBy("text_id", "kb_id").agg(F.max("word_sum").alias("word_sum"))
 
-    prepared = texts.select(
-        "text_id", "clean_text", F.size("q_words").alias("n"), sim.expand("clean_text").alias("q_terms"),
-        sim.ngrams("clean_text").alias("q_grams"),
-    )
-    rows = pairs.join(prepared, "text_id").join(newest, "kb_id")
-    target = F.lower("error_text")
-    bonus = F.when(F.exists("q_terms", lambda t: F.contains(target, t)), 0.5).otherwise(0.0)
-    word_score = F.least(F.lit(1.0), (F.col("word_sum") + bonus) / F.greatest(F.lit(1), F.col("n")))
-    scored = rows.select(
-        "text_id", "clean_text", "kb_id", "error_hash", "created_at", "resolution_steps", "q_grams", "t_grams",
-        F.when(F.contains(target, lower), 1.0).otherwise(word_score).alias("fuzzy"),
-        F.when(F.contains("error_text", lower), 0.3).otherwise(0.0).alias("exact_bonus"),
-    )
-    # the n-gram part adds at most 0.2, so rows further behind a sure candidate need none
-    sure = F.when(F.round("fuzzy", 9) > 0.5, F.col("fuzzy") + F.col("exact_bonus"))
-    lead = F.max(sure).over(Window.partitionBy("text_id"))
-    close = scored.withColumn("lead", lead).filter(
-        F.col("lead").isNull() | (F.col("fuzzy") + F.col("exact_bonus") + 0.2 >= F.col("lead") - 1e-6)
-    )
-    kept = (
-        close.withColumn("ngram", sim.jaccard("q_grams", "t_grams"))
-        .drop("q_grams", "t_grams", "lead")
-        .withColumn("total", F.round(F.col("fuzzy") + F.col("exact_bonus") + F.col("ngram") * 0.2, 9))
-        .withColumn("usable", (F.round("fuzzy", 9) > 0.5) | (F.col("ngram") > 0.4))
-    )
-    best_first = [F.col("usable").desc(), F.col("total").desc(), *ca.by_newest()]
-    top = top_k(kept, ["text_id"], best_first, 1).filter("usable AND total > 0.6")
-    rows = top.withColumn("success_rate", F.lit(0.0)).withColumn("feedback_count", F.lit(0))
-    return _result(
-        queries.select("query_id", "clean_text").join(rows, "clean_text"), "fuzzy_search", F.least(F.lit(0.95), F.col("total"))
+def simple_fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
+    """Best fuzzy total above 0.6 among all rows, ties by age.
+
+    A row without any of a text's words can only win if the text is a fragment:
+    with no whole word inside it, or a single word, of which the row then has half the grams.
+    """
+    texts = _texts(queries.filter(~tx.is_blank("clean_text")), "clean_text")
+    rows = kb.select("kb_id", "error_hash", "error_text", "created_at", F.lit(0.0).alias("bonus"))
+    score = bm.Score(
+        (bm.Field("error_text", 1.0, 0.2),), 0.6,
+        lambda: (F.round("fuzzy_error_text", 9) > 0.5) | (F.col("overlap_error_text") > 0.4),
+        0.3, lambda: F.contains("error_text", F.col("low")),
     )
+    best = bm.best_match(texts, rows, score, ca.by_newest(), _fragment_rows)
+    found = _answers(queries, "clean_text", texts, best, kb.withColumn("success_rate", F.lit(0.0)).withColumn("feedback_count", F.lit(0)))
+    return _result(found, "fuzzy_search", F.least(F.lit(0.95), F.col("score")))
 
 
 # --- cascade ----------------------------------------------------------------------
@@ -461,12 +388,12 @@ def suggestions(queries: DataFrame, kb: DataFrame, insights: DataFrame | None =
     return out.join(extra, "query_id", "left").fillna("", ["warning", "template"])
 
 
-def context_rows(queries: DataFrame, kb: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Up to six related solved cases per text, proven ones flagged, as one list."""
+def context_rows(queries: DataFrame, kb: DataFrame, feedback: DataFrame, limit: int | None = None) -> DataFrame:
+    """Related solved cases per text, proven ones flagged, as one list; all of them, or the best ``limit``."""
     rated = fb.join_stats(kb, fb.proven_rates(feedback).withColumn("conflict_rate", F.lit(None).cast("double")))
     order = [F.round("success_rate", 9).desc(), F.col("created_at").desc(), F.col("error_hash"), F.col("kb_id")]
     texts = queries.filter(~tx.is_blank("raw_text")).select("query_id", F.lower("raw_text").alias("needle"))
-    hits = ca.containing(texts, rated, order, fv.CONTEXT_ROWS)
+    hits = ca.containing(texts, rated, order, limit)
     line = F.concat(
         F.col("error_signature"),
         F.when(F.col("success_rate") > fv.PROVEN_RATE, " (Proven high success rate)").otherwise(""),

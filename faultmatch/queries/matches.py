@@ -69,7 +69,7 @@ o.define(
 
 
 def any_of(x, toks="toks"):
-    return "(" + " OR ".join(f"(len({toks}) >= {i} AND contains(lower({x}), {toks}[{i}]))" for i in range(1, 5)) + ")"
+    return f"len(list_filter({toks}, lambda t: contains(lower({x}), t))) > 0"
 
 
 def layer_sql(base):
@@ -87,60 +87,48 @@ def layer_sql(base):
         FROM {base} q JOIN kbs k ON q.error_hash = k.error_hash) WHERE rn = 1""",
         [base, "kbs"],
     )
+    o.word_sums(name("w2"), f"SELECT DISTINCT signature AS q FROM {base}", [base], "kbs", ["error_signature", "error_text"])
+    # the gram part adds at most its weight: only pairs that can still be best need it
     o.define(
-        name("terms2"),
-        f"""SELECT signature, ex, term_no, {o.tokens('term')} AS toks FROM (
-        SELECT signature, ex, unnest(range(1, len(ex) + 1)) AS term_no, unnest(ex) AS term FROM (
-        SELECT signature, list_slice(full_ex, 1, 3) AS ex FROM (SELECT signature, {o.ordered_distinct('raw_ex')} AS full_ex FROM (
-        SELECT DISTINCT signature, {o.expand('signature')} AS raw_ex FROM {base}))))""",
-        [base],
+        name("part2"),
+        f"""SELECT * FROM (SELECT *, max(part) OVER (PARTITION BY qid) AS lead FROM (SELECT p.qid, kb_id,
+        coalesce(a.fz, 0.0) * 0.5::DOUBLE + coalesce(c.fz, 0.0) * 0.2::DOUBLE + CASE WHEN success_rate > 0.7 THEN 0.2::DOUBLE ELSE 0.0 END AS part
+        FROM {name('w2')}_tok p JOIN {name('w2')}_x s ON s.xid = p.xid JOIN kbs k ON k.error_signature = s.x JOIN {name('w2')}_x t ON t.x = k.error_text
+        LEFT JOIN {name('w2')}_fz a ON a.qid = p.qid AND a.xid = s.xid LEFT JOIN {name('w2')}_fz c ON c.qid = p.qid AND c.xid = t.xid))
+        WHERE part + 0.3 >= greatest(lead, 0.4) - 1e-6""",
+        ["kbs", name("w2") + "_tok", name("w2") + "_fz"],
     )
-    o.define(
-        name("cand2"),
-        f"""SELECT * FROM (SELECT t.signature, t.term_no, k.*, row_number() OVER (PARTITION BY t.signature, t.term_no ORDER BY
-        {BY_RATE}) AS rank FROM {name('terms2')} t JOIN kbs k ON {any_of('k.error_signature')}) WHERE rank <= 20""",
-        [name("terms2"), "kbs"],
-    )
-    f_sig = o.fuzzy("signature", "ls", "qw", "sw", "ex")
-    f_txt = o.fuzzy("signature", "lt", "qw", "tw", "ex")
     o.define(
         name("m2"),
         f"""SELECT query_id, 'enhanced_fuzzy_keyword' AS source, b.error_hash, steps_text, least(0.95::DOUBLE, score) AS confidence,
-        success_rate, feedback_count, false AS has_conflicts, '1.0' AS version FROM {base} q JOIN (
-        SELECT *, row_number() OVER (PARTITION BY signature ORDER BY score DESC, term_no, rank) AS rn FROM (
-        SELECT signature, term_no, rank, error_hash, {STEPS} AS steps_text, success_rate, feedback_count,
-        round({f_sig} * 0.5::DOUBLE + {o.jaccard('qg', 'sg')} * 0.3::DOUBLE + {f_txt} * 0.2::DOUBLE
-          + CASE WHEN success_rate > 0.7 THEN 0.2::DOUBLE ELSE 0.0 END, 9) AS score FROM (
-        SELECT *, error_signature AS ls, lower(error_text) AS lt, {o.long_words('signature')} AS qw, {o.long_words('error_signature')} AS sw,
-        {o.long_words('error_text')} AS tw, {o.expand('signature')} AS ex, {o.grams('signature')} AS qg, {o.grams('error_signature')} AS sg
-        FROM {name('cand2')})) WHERE score > 0.4) b USING (signature) WHERE rn = 1""",
-        [base, name("cand2")],
+        success_rate, feedback_count, false AS has_conflicts, '1.0' AS version FROM {base} r JOIN (
+        SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, {BY_RATE}) AS rn FROM (
+        SELECT q, k.*, {STEPS} AS steps_text, round(part + {o.jaccard('qg', 's.xg')} * 0.3::DOUBLE, 9) AS score
+        FROM {name('part2')} p JOIN {name('w2')}_q q USING (qid) JOIN kbs k USING (kb_id) JOIN {name('w2')}_x s ON s.x = k.error_signature)
+        WHERE score > 0.4) b ON b.q = r.signature WHERE rn = 1""",
+        [base, name("part2")],
     )
+    o.word_sums(name("w3"), f"SELECT DISTINCT clean_text AS q FROM {base}", [base], "kbs", ["error_signature", "error_text"])
     o.define(
-        name("cand3"),
-        f"""SELECT * FROM (SELECT t.clean_text, k.*, row_number() OVER (PARTITION BY t.clean_text ORDER BY
-        created_at DESC, error_hash, kb_id) AS rank FROM (SELECT clean_text, {o.tokens('broad')} AS toks FROM (
-        SELECT clean_text, array_to_string(list_slice({o.ordered_distinct('raw_ex')}, 1, 2), ' ') AS broad FROM (
-        SELECT DISTINCT clean_text, {o.expand('clean_text')} AS raw_ex FROM {base}))) t
-        JOIN kbs k ON {any_of('k.error_text')}) WHERE rank <= 100""",
-        [base, "kbs"],
+        name("part3"),
+        f"""SELECT * FROM (SELECT *, tf * 0.42::DOUBLE + sf * 0.18::DOUBLE + rated AS part, max(tf * 0.42::DOUBLE + sf * 0.18::DOUBLE + rated) OVER (PARTITION BY qid) AS lead
+        FROM (SELECT p.qid, kb_id, coalesce(c.fz, 0.0) AS tf, coalesce(a.fz, 0.0) AS sf, success_rate * least(1.0::DOUBLE, feedback_count / 10.0::DOUBLE) * 0.2::DOUBLE AS rated
+        FROM {name('w3')}_tok p JOIN {name('w3')}_x t ON t.xid = p.xid JOIN kbs k ON k.error_text = t.x JOIN {name('w3')}_x s ON s.x = k.error_signature
+        LEFT JOIN {name('w3')}_fz a ON a.qid = p.qid AND a.xid = s.xid LEFT JOIN {name('w3')}_fz c ON c.qid = p.qid AND c.xid = t.xid))
+        WHERE part + 0.4 >= greatest(lead, 0.5) - 1e-6""",
+        ["kbs", name("w3") + "_tok", name("w3") + "_fz"],
     )
-    g_txt = o.fuzzy("lq", "lt", "qw", "tw", "ex")
-    g_sig = o.fuzzy("lq", "ls", "qw", "sw", "ex")
     o.define(
         name("m3"),
         f"""SELECT query_id, 'enhanced_fuzzy_search' AS source, b.error_hash, steps_text, least(0.95::DOUBLE, score) AS confidence,
-        success_rate, feedback_count, false AS has_conflicts, '1.0' AS version FROM {base} q JOIN (
-        SELECT *, row_number() OVER (PARTITION BY clean_text ORDER BY score DESC, rank) AS rn FROM (
-        SELECT clean_text, rank, error_hash, {STEPS} AS steps_text, success_rate, feedback_count,
-        round(({g_txt} * 0.6::DOUBLE + {o.jaccard('qg', 'tg')} * 0.4::DOUBLE) * 0.7::DOUBLE
-          + ({g_sig} * 0.6::DOUBLE + {o.jaccard('qg', 'sg')} * 0.4::DOUBLE) * 0.3::DOUBLE
-          + success_rate * least(1.0::DOUBLE, feedback_count / 10.0::DOUBLE) * 0.2::DOUBLE, 9) AS score FROM (
-        SELECT *, lower(clean_text) AS lq, error_signature AS ls, lower(error_text) AS lt, {o.long_words('clean_text')} AS qw,
-        {o.long_words('error_signature')} AS sw, {o.long_words('error_text')} AS tw, {o.expand('clean_text')} AS ex,
-        {o.grams('clean_text')} AS qg, {o.grams('error_signature')} AS sg, {o.grams('error_text')} AS tg
-        FROM {name('cand3')})) WHERE score > 0.5) b USING (clean_text) WHERE rn = 1""",
-        [base, name("cand3")],
+        success_rate, feedback_count, false AS has_conflicts, '1.0' AS version FROM {base} r JOIN (
+        SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, created_at DESC, error_hash, kb_id) AS rn FROM (
+        SELECT q, k.*, {STEPS} AS steps_text, round((tf * 0.6::DOUBLE + {o.jaccard('qg', 't.xg')} * 0.4::DOUBLE) * 0.7::DOUBLE
+          + (sf * 0.6::DOUBLE + {o.jaccard('qg', 's.xg')} * 0.4::DOUBLE) * 0.3::DOUBLE + rated, 9) AS score
+        FROM {name('part3')} p JOIN {name('w3')}_q q USING (qid) JOIN kbs k USING (kb_id)
+        JOIN {name('w3')}_x s ON s.x = k.error_signature JOIN {name('w3')}_x t ON t.x = k.error_text)
+        WHERE score > 0.5) b ON b.q = r.clean_text WHERE rn = 1""",
+        [base, name("part3")],
     )
     o.define(
         name("near"),
@@ -163,12 +151,12 @@ def layer_sql(base):
     )
     o.define(
         name("cand5"),
-        f"""SELECT * FROM (SELECT t.query_id, t.clean_text, t.qv, k.*, row_number() OVER (PARTITION BY t.query_id ORDER BY
-        created_at DESC, error_hash, kb_id) AS rank FROM (SELECT query_id, clean_text, qv, {o.tokens('broad')} AS toks FROM (
-        SELECT query_id, clean_text, qv, array_to_string(list_slice({o.ordered_distinct('raw_ex')}, 1, 3), ' ') AS broad FROM (
-        SELECT query_id, clean_text, e.embedding AS qv, {o.expand('clean_text')} AS raw_ex FROM {base} JOIN embeddings e
-        ON CAST(e.vec_id AS STRING) = query_id))) t
-        JOIN kbs k ON len(toks) = 0 OR {any_of('k.error_signature')} OR {any_of('k.error_text')}) WHERE rank <= 200""",
+        f"""SELECT t.query_id, t.clean_text, t.c, k.* FROM (SELECT *, {o.tokens('broad')} AS toks FROM (
+        SELECT *, array_to_string({o.ordered_distinct('raw_ex')}, ' ') AS broad FROM (
+        SELECT p.*, {o.expand('clean_text')} AS raw_ex FROM (SELECT query_id, clean_text, kb_id, {o.dot('qu', 'ku')} AS c FROM
+          (SELECT query_id, clean_text, {o.unit('e.embedding')} AS qu FROM {base} JOIN embeddings e ON CAST(e.vec_id AS STRING) = query_id),
+          (SELECT CAST(vec_id AS STRING) AS kb_id, {o.unit('embedding')} AS ku FROM embeddings)) p WHERE c >= 0.7))) t
+        JOIN kbs k ON k.kb_id = t.kb_id AND (len(toks) = 0 OR {any_of('k.error_signature')} OR {any_of('k.error_text')})""",
         [base, "kbs"],
     )
     o.define(
@@ -179,8 +167,7 @@ def layer_sql(base):
           created_at DESC, error_hash, kb_id) AS rn FROM (
         SELECT *, {o.fuzzy('lq', 'lt', 'qw', 'tw', 'ex')} AS fz, {o.confidence('success_rate', 'feedback_count', 'CASE WHEN has_conflicts THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END')} AS trust FROM (
         SELECT *, lower(clean_text) AS lq, lower(error_text) AS lt, {o.long_words('clean_text')} AS qw, {o.long_words('error_text')} AS tw,
-        {o.expand('clean_text')} AS ex FROM (SELECT c5.*, {o.dot(o.unit('qv'), o.unit('e.embedding'))} AS c FROM {name('cand5')} c5
-        JOIN embeddings e ON CAST(e.vec_id AS STRING) = kb_id) WHERE c >= 0.7))) WHERE rn = 1""",
+        {o.expand('clean_text')} AS ex FROM {name('cand5')}))) WHERE rn = 1""",
         [name("cand5")],
     )
     o.define(
@@ -220,7 +207,7 @@ o.define(
     f"""SELECT query_id, 'keyword_match' AS source, error_hash, {STEPS} AS steps_text,
     {o.confidence('success_rate', 'feedback_count', '0.0')} AS confidence, success_rate, feedback_count,
     false AS has_conflicts, '1.0' AS version FROM (SELECT t.query_id, k.*, row_number() OVER (PARTITION BY t.query_id
-      ORDER BY {BY_RATE}) AS rn FROM terms t JOIN kbs k ON {any_of('k.error_signature').replace(' OR ', ' AND ').replace('len(toks) >=', 'len(toks) <').replace(' AND contains', ' OR contains')}) WHERE rn = 1""",
+      ORDER BY {BY_RATE}) AS rn FROM terms t JOIN kbs k ON len(list_filter(toks, lambda t: NOT contains(k.error_signature, t))) = 0) WHERE rn = 1""",
     ["terms", "kbs"],
 )
 register(
@@ -228,6 +215,7 @@ register(
     lambda f: show(mt.strict_keyword_match(asked(f), rated(f))),
     o.sql(f"SELECT {ROUNDED} FROM m9", "m9"),
 )
+o.word_sums("w10", "SELECT DISTINCT clean_text AS q FROM asked WHERE trim(clean_text) <> ''", ["asked"], "kb", ["error_text"])
 register(
     "m10_simple_fuzzy_match",
     lambda f: show(mt.simple_fuzzy_match(asked(f), rated(f))),
@@ -235,16 +223,17 @@ register(
         f"""SELECT query_id, 'fuzzy_search' AS source, error_hash, steps_text, round(least(0.95::DOUBLE, total), 6) AS confidence,
         0.0::DOUBLE AS success_rate, 0 AS feedback_count, false AS has_conflicts, '1.0' AS version FROM (
         SELECT query_id, b.error_hash, steps_text, total FROM asked JOIN (
-        SELECT *, row_number() OVER (PARTITION BY clean_text ORDER BY total DESC, created_at DESC, error_hash, kb_id) AS rn FROM (
-        SELECT clean_text, kb_id, error_hash, created_at, {STEPS} AS steps_text, fz, ng,
-        round(fz + CASE WHEN contains(error_text, lq) THEN 0.3::DOUBLE ELSE 0.0 END + ng * 0.2::DOUBLE, 9) AS total FROM (
-        SELECT *, {o.fuzzy('lq', 'lt', 'qw', 'tw', 'ex')} AS fz, {o.jaccard('qg', 'tg')} AS ng FROM (
-        SELECT DISTINCT clean_text, lower(clean_text) AS lq, {o.long_words('clean_text')} AS qw, {o.expand('clean_text')} AS ex, {o.grams('clean_text')} AS qg
-          FROM asked WHERE trim(clean_text) <> ''),
-        (SELECT *, lower(error_text) AS lt, {o.long_words('error_text')} AS tw, {o.grams('error_text')} AS tg FROM (
-          SELECT * FROM kb ORDER BY created_at DESC, error_hash, kb_id LIMIT 500)))) WHERE round(fz, 9) > 0.5 OR ng > 0.4) b USING (clean_text)
+        SELECT *, row_number() OVER (PARTITION BY q ORDER BY total DESC, created_at DESC, error_hash, kb_id) AS rn FROM (
+        SELECT q, kb_id, error_hash, created_at, {STEPS} AS steps_text, fz, ng, round(part + ng * 0.2::DOUBLE, 9) AS total FROM (
+        SELECT q, p.fz, p.part, k.*, {o.jaccard('qg', 't.xg')} AS ng FROM (
+        SELECT *, max(CASE WHEN round(fz, 9) > 0.5 THEN part END) OVER (PARTITION BY qid) AS lead FROM (
+        SELECT qid, kb_id, fz, fz + CASE WHEN contains(error_text, lq) THEN 0.3::DOUBLE ELSE 0.0 END AS part
+        FROM w10_fz JOIN w10_x t USING (xid) JOIN kb k ON k.error_text = t.x JOIN w10_q USING (qid))) p
+        JOIN w10_q USING (qid) JOIN kb k USING (kb_id) JOIN w10_x t ON t.x = k.error_text
+        WHERE part + 0.2 >= greatest(coalesce(lead, 0), 0.6) - 1e-6))
+        WHERE round(fz, 9) > 0.5 OR ng > 0.4) b ON b.q = asked.clean_text
         WHERE rn = 1 AND total > 0.6)""",
-        "asked", "kb",
+        "asked", "w10_fz",
     ),
 )
 register(
@@ -371,7 +360,7 @@ register(
         error_signature || CASE WHEN rate > 0.7 THEN ' (Proven high success rate)' ELSE '' END || ' => ' || coalesce(array_to_string(resolution_steps, ' / '), '') AS line
         FROM (SELECT i.query_id, k.*, coalesce(s.success_rate, 0.5) AS rate FROM inc i JOIN kb k
           ON contains(lower(k.error_signature), lower(i.raw_text)) OR contains(lower(k.error_text), lower(i.raw_text))
-          LEFT JOIN stats s ON s.solution_hash = k.error_hash AND s.feedback_count >= 3 WHERE trim(i.raw_text) <> '')) WHERE rank <= 6 GROUP BY query_id""",
+          LEFT JOIN stats s ON s.solution_hash = k.error_hash AND s.feedback_count >= 3 WHERE trim(i.raw_text) <> '')) GROUP BY query_id""",
         "inc", "kb", "stats",
     ),
 )

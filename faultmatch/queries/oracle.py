@@ -36,7 +36,7 @@ def ordered_distinct(x: str) -> str:
 
 def tokens(x: str) -> str:
     found = f"list_filter(regexp_extract_all({x}, '[a-z0-9\\-]{{4,}}'), lambda x: NOT list_contains({words(fv.STOP_WORDS)}, x))"
-    return f"list_slice({ordered_distinct(found)}, 1, 4)"
+    return ordered_distinct(found)
 
 
 def expand(x: str) -> str:
@@ -71,6 +71,49 @@ def fuzzy(q: str, t: str, qw: str, tw: str, ex: str) -> str:
     )
 
 
+def word_sums(name: str, texts: str, needs: list[str], rows: str, fields: list[str]) -> None:
+    """Define ``<name>_fz``: (qid, xid, fz), the fuzzy scores above 0 of the texts of ``texts`` (q) and the field values of ``rows``.
+
+    ``<name>_q`` numbers the texts, ``<name>_x`` the values.  ``<name>_tok`` has
+    the pairs in which the value holds a keyword of the text.  Each pair of words, terms and values is compared once.
+    """
+    define(
+        f"{name}_q",
+        f"""SELECT *, {tokens("array_to_string(ex, ' ')")} AS toks FROM (SELECT row_number() OVER (ORDER BY q) AS qid, q, lower(q) AS lq,
+        {long_words('q')} AS qw, {grams('q')} AS qg, {ordered_distinct('raw_ex')} AS ex FROM (SELECT q, {expand('q')} AS raw_ex FROM ({texts})))""",
+        needs,
+    )
+    values = " UNION ".join(f"SELECT {f} AS x FROM {rows}" for f in fields)
+    define(
+        f"{name}_x",
+        f"""SELECT row_number() OVER (ORDER BY x) AS xid, x, lower(x) AS lx, {long_words('x')} AS xw, {grams('x')} AS xg FROM ({values})""",
+        [rows],
+    )
+    define(
+        f"{name}_sums",
+        f"""SELECT qid, xid, sum(times * val) AS ws FROM (
+        SELECT qid, w, any_value(times) AS times, xid, max(val) AS val FROM (SELECT qid, w, count(*) AS times FROM (SELECT qid, unnest(qw) AS w FROM {name}_q) GROUP BY qid, w)
+        JOIN (SELECT w, v, CASE WHEN w = v THEN 0.9::DOUBLE ELSE s * 0.7 END AS val FROM (SELECT w, v, {similarity('w', 'v')} AS s
+          FROM (SELECT DISTINCT unnest(qw) AS w FROM {name}_q), (SELECT DISTINCT unnest(xw) AS v FROM {name}_x)) WHERE w = v OR s > 0.8) USING (w)
+        JOIN (SELECT DISTINCT xid, v FROM (SELECT xid, unnest(xw) AS v FROM {name}_x)) USING (v) GROUP BY qid, w, xid) GROUP BY qid, xid""",
+        [f"{name}_q", f"{name}_x"],
+    )
+
+    def holding(column: str) -> str:
+        held = f"SELECT e, xid FROM (SELECT DISTINCT unnest({column}) AS e FROM {name}_q), {name}_x WHERE contains(lx, e)"
+        return f"SELECT DISTINCT qid, xid FROM (SELECT qid, unnest({column}) AS e FROM {name}_q) JOIN ({held}) USING (e)"
+
+    define(f"{name}_tok", holding("toks"), [f"{name}_q", f"{name}_x"])
+    define(
+        f"{name}_fz",
+        f"""SELECT qid, xid, CASE WHEN whole THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (ws + bonus) / greatest(1, len(qw))) END AS fz FROM (
+        SELECT qid, xid, max(ws) AS ws, max(bonus) AS bonus, bool_or(whole) AS whole FROM (
+          SELECT qid, xid, ws, 0.0::DOUBLE AS bonus, false AS whole FROM {name}_sums UNION ALL SELECT qid, xid, 0.0, 0.5, false FROM ({holding('ex')})
+          UNION ALL SELECT qid, xid, 0.0, 0.0, true FROM {name}_q, {name}_x WHERE contains(lx, lq)) GROUP BY qid, xid) JOIN {name}_q USING (qid)""",
+        [f"{name}_sums"],
+    )
+
+
 def grams(x: str) -> str:
     return f"list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substring(lower({x}), i::INT, 3)))"
 

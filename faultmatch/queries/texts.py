@@ -65,10 +65,7 @@ register(
         """SELECT query_id, kb_id, rank FROM (
         SELECT t.query_id, k.kb_id, row_number() OVER (PARTITION BY t.query_id
             ORDER BY k.created_at DESC, k.error_hash, k.kb_id) AS rank
-        FROM terms t JOIN kb k ON contains(lower(k.error_text), toks[1])
-          OR (len(toks) >= 2 AND contains(lower(k.error_text), toks[2]))
-          OR (len(toks) >= 3 AND contains(lower(k.error_text), toks[3]))
-          OR (len(toks) >= 4 AND contains(lower(k.error_text), toks[4]))) WHERE rank <= 100""",
+        FROM terms t JOIN kb k ON len(list_filter(toks, lambda t: contains(lower(k.error_text), t))) > 0) WHERE rank <= 100""",
         "terms", "kb",
     ),
 )
@@ -81,10 +78,7 @@ def _all(f):
     return terms.select("query_id", "terms_key").join(hits, "terms_key").select("query_id", "kb_id")
 
 
-ALL_TOKENS = """contains(k.error_signature, toks[1])
-          AND (len(toks) < 2 OR contains(k.error_signature, toks[2]))
-          AND (len(toks) < 3 OR contains(k.error_signature, toks[3]))
-          AND (len(toks) < 4 OR contains(k.error_signature, toks[4]))"""
+ALL_TOKENS = "len(list_filter(toks, lambda t: NOT contains(k.error_signature, t))) = 0"
 register(
     "p5_all_tokens",
     _all,
@@ -100,7 +94,7 @@ register(
 
 def _containing(f):
     texts = f.incoming.filter(~tx.is_blank("raw_text")).select("query_id", F.lower("raw_text").alias("needle"))
-    hits = ca.containing(texts, fb.with_stats(f.kb_texts, f.feedback), ca.by_rate(), fv.CONTEXT_ROWS)
+    hits = ca.containing(texts, fb.with_stats(f.kb_texts, f.feedback), ca.by_rate(), None)
     return texts.join(hits, "needle").select("query_id", "kb_id", "rank")
 
 
@@ -113,7 +107,7 @@ register(
             ORDER BY k.raw_rate DESC NULLS LAST, k.created_at DESC, k.error_hash, k.kb_id) AS rank
         FROM inc i JOIN kbs k ON contains(lower(k.error_signature), lower(i.raw_text))
           OR contains(lower(k.error_text), lower(i.raw_text))
-        WHERE trim(i.raw_text) <> '') WHERE rank <= 6""",
+        WHERE trim(i.raw_text) <> '')""",
         "inc", "kbs",
     ),
 )

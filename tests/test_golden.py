@@ -33,7 +33,8 @@ def test_fingerprint_of_null_is_that_of_empty(spark):
 
 def test_tokens(spark):
     text = "connection timeout connection abc failed pool-size retry limit"
-    assert one(spark, tx.tokens(F.lit(text))) == ["connection", "timeout", "pool-size", "retry"]
+    assert one(spark, tx.tokens(F.lit(text))) == ["connection", "timeout", "pool-size", "retry", "limit"]
+    assert one(spark, tx.tokens(F.lit(text), 4)) == ["connection", "timeout", "pool-size", "retry"]
     assert one(spark, tx.tokens(F.lit("TimeOut pool"))) == ["pool"]
 
 
