@@ -7,14 +7,14 @@ the score is a sum, bounds decide which rows can still win:
 1. Word likeness.  Every word of the texts meets every word of the rows once;
    pairs of words that are equal or much alike keep their value.  Scores of texts
    are sums over that table.
-2. Seeds.  The rows of a text's rarest word, the best of a long list, are scored.
+2. Seeds.  Of the rows of a text's rarest words, the most promising are scored.
    Their best score is a lower bound for the winner.
 3. Search.  A row that beats the bound needs a certain word sum.  In the order of rarity, the
    words from some place on cannot reach it any more, so the row has one of the
    words before.  Only those lists are joined.  Rows with a large bonus need less;
    they are searched level by level.
-4. Proof.  The number of common words bounds the score of a pair; pairs that
-   may win are scored in full.
+4. Proof.  The number of common words bounds the fuzzy part of a pair, and parity
+   bitmaps of the grams bound their overlap; pairs that may win are scored in full.
 
 Rows that hold the whole text are found on its rarest inner word.  Texts that
 need no word at all to win go to ``loose``, which proposes their rows otherwise.
@@ -28,12 +28,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultmatch.functions import similarity as sim
-from faultmatch.operators import candidates as ca
+from faultmatch.operators import candidates as ca, ngram_join as ng
 from faultmatch.operators.ranking import top_k
 from faultmatch.session import cut
 
-#: Rows of a word that serve as seeds, and rarest words of a text that propose them. They set a bound only.
-SEED_ROWS, SEED_WORDS = 48, 2
+#: Rows of a word that may be seeds, rarest words of a text that propose them, and seeds of a text. They set a bound only.
+SEED_ROWS, SEED_WORDS, SEEDS = 48, 2, 3
 #: Step of the bonus levels.
 LEVEL = 0.05
 #: Values of an equal word and, at most, of a word that is only alike.
@@ -80,15 +80,49 @@ def classes(rows: DataFrame, fields: tuple[Field, ...], order: list[Column]) ->
     words = {f"words_{n}": F.array_distinct(sim.long_words(F.coalesce(F.col(n), F.lit("")))) for n in names}
     out = one.withColumns({f"low_{n}": F.lower(n) for n in names}).withColumns(words)
     out = out.withColumns({f"grams_{f.name}": sim.ngrams(f.name) for f in fields if f.grams})
+    for f in fields:
+        if f.grams:
+            out = out.withColumns({f"n_{f.name}": F.size(f"grams_{f.name}")} | {f"bits_{f.name}_{w}": ng.parity_bits(w, f"grams_{f.name}") for w in range(ng.WORDS)})
     level = F.ceil(F.col("bonus") / LEVEL - EPSILON).cast("int")
-    return cut(out.withColumn("words", F.array_distinct(F.concat(*words))).withColumn("level", level))
+    out = out.withColumn("words", F.array_distinct(F.concat(*words))).withColumn("level", level)
+    return cut(out.withColumn("ids", F.transform("words", lambda w: F.xxhash64(w))))
 
 
 def prepared(texts: DataFrame) -> DataFrame:
     """Texts (``text_id``, ``text``) with their words, grams and expansions."""
-    return texts.withColumns({
+    out = texts.withColumns({
         "low": F.lower("text"), "q_words": sim.long_words("text"), "q_grams": sim.ngrams("text"), "q_terms": sim.expand("text"),
-    }).withColumn("n", F.greatest(F.lit(1), F.size("q_words")))
+    })
+    return out.withColumns({
+        "n": F.greatest(F.lit(1), F.size("q_words")), "q_ids": F.array_distinct(F.transform("q_words", lambda w: F.xxhash64(w))),
+        # without synonyms only a row that holds the text has a term of it
+        "q_bonus": F.when(F.size("q_terms") > 1, 0.5).otherwise(0.0), "q_n": F.size("q_grams"), **{f"q_bits_{w}": ng.parity_bits(w, "q_grams") for w in range(ng.WORDS)},
+    })
+
+
+ASKING = ["text_id", "n", "q_ids", "q_bonus", "slack", "q_n", *[f"q_bits_{w}" for w in range(ng.WORDS)]]
+
+
+def _offered(score: Score) -> list[str]:
+    """Columns of the rows that the bound of a pair needs."""
+    parts = [[f"n_{f.name}", *[f"bits_{f.name}_{w}" for w in range(ng.WORDS)]] for f in score.fields if f.grams]
+    return ["kb_id", "level", "bonus", "ids", *[c for part in parts for c in part]]
+
+
+def _most(score: Score) -> Column:
+    """An upper bound of the score of a pair whose row does not hold the text.
+
+    Different words with one number only raise it.  Bitmaps of two sets of grams
+    differ in at most as many bits as the sets have unshared grams.
+    """
+    words = F.size(F.array_intersect("q_ids", "ids")) * EQUAL + F.col("slack") + F.col("q_bonus")
+    total = F.least(F.lit(1.0), words / F.col("n")) * score.fuzzy + F.col("bonus")
+    for f in score.fields:
+        if f.grams:
+            apart = sum((F.bit_count(F.col(f"q_bits_{w}").bitwiseXOR(F.col(f"bits_{f.name}_{w}"))) for w in range(ng.WORDS)), F.lit(0))
+            both = F.col("q_n") + F.col(f"n_{f.name}")
+            total = total + F.when((F.col("q_n") > 0) & (F.col(f"n_{f.name}") > 0), (both - apart) / (both + apart)).otherwise(0.0) * f.grams
+    return total + EPSILON
 
 
 def likeness(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -180,14 +214,16 @@ def best_match(
     )
     no_map = F.create_map().cast("map<string,array<struct<target:string,value:double>>>")
     texts = texts.join(near, "text_id", "left").withColumn("alike", F.coalesce("alike", no_map))
-    # words that may add without being in the row
-    slack = F.size(F.filter("q_words", lambda w: F.map_contains_key("alike", w))) * ALIKE
+    # what words may add that are only alike to one of the row, and repeated ones beyond the first
+    slack = F.size(F.filter("q_words", lambda w: F.map_contains_key("alike", w))) * ALIKE + (F.size("q_words") - F.size("q_ids")) * EQUAL
     texts = cut(texts.withColumn("slack", slack))
     ordered = cut(_ordered_words(texts, table))
     targets = table.select("word", "target")
-    lists = rows.select(F.explode("words").alias("target"), "kb_id", "bonus")
-    heads = top_k(lists, ["target"], [F.col("bonus").desc(), F.col("kb_id")], SEED_ROWS)
-    seeds = ordered.filter(F.col("place") < SEED_WORDS).join(targets, "word").join(heads, "target").select("text_id", "kb_id").distinct()
+    offers = rows.select(F.explode("words").alias("target"), *_offered(score))
+    heads = top_k(offers, ["target"], [F.col("bonus").desc(), F.col("kb_id")], SEED_ROWS)
+    first = ordered.filter(F.col("place") < SEED_WORDS).select("text_id", "word").join(targets, "word").join(texts.select(ASKING), "text_id")
+    promising = first.join(heads, "target").select("text_id", "kb_id", F.round(_most(score), 6).alias("most")).distinct()
+    seeds = top_k(promising, ["text_id"], [F.col("most").desc(), F.col("kb_id")], SEEDS).select("text_id", "kb_id")
     known = cut(scored(seeds, texts, rows, score))
     best = known.groupBy("text_id").agg(F.max("score").alias("bound"))
     least = F.lit(score.minimum)
@@ -195,16 +231,12 @@ def best_match(
 
     # the fuzzy part that a row of a level needs if its grams overlap in full
     levels = [r.level for r in rows.select("level").distinct().collect()]  # at most a few steps up to the largest bonus
-    needed = asked.select("text_id", "n", "bound", F.explode(F.array(*map(F.lit, levels or [0]))).alias("level"))
+    needed = asked.select("text_id", "n", "q_bonus", "bound", F.explode(F.array(*map(F.lit, levels or [0]))).alias("level"))
     needed = needed.withColumn("need", (F.col("bound") - score.grams - F.col("level") * LEVEL) / score.fuzzy - EPSILON).filter("need <= 1")
-    needed = needed.withColumn("sum", F.col("need") * F.col("n") - 0.5)
+    needed = needed.withColumn("sum", F.col("need") * F.col("n") - F.col("q_bonus"))
     reach = ordered.join(needed, "text_id").filter(F.col("rest") >= F.col("sum")).select("text_id", "level", "word")
-    asking = asked.select("text_id", "n", "bound", "q_words", "slack")
-    offers = rows.select(F.explode("words").alias("target"), "kb_id", "level", "bonus", "words")
-    met = reach.join(targets, "word").join(asking, "text_id").join(offers, ["target", "level"])
-    common = F.size(F.filter("q_words", lambda w: F.array_contains("words", w)))
-    most = F.least(F.lit(1.0), (common * EQUAL + F.col("slack") + 0.5) / F.col("n"))
-    met = met.filter(most * score.fuzzy + score.grams + F.col("bonus") >= F.col("bound") - EPSILON).select("text_id", "kb_id")
+    met = reach.join(targets, "word").join(asked.select(*ASKING, "bound"), "text_id").join(offers, ["target", "level"])
+    met = met.filter(_most(score) >= F.col("bound") - EPSILON).select("text_id", "kb_id")
 
     # rows that hold the text have the full fuzzy part whatever their words
     whole = asked.join(_inner_word(asked, table), "text_id").select("text_id", "low", F.col("word").alias("target"))

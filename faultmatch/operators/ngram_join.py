@@ -13,13 +13,13 @@ SHARED = 1
 WORDS = 4
 
 
-def parity_bits(word: int) -> Column:
+def parity_bits(word: int, grams: str = "grams") -> Column:
     """One word of a bitmap in which every gram flips one bit.
 
     Two bitmaps differ in at most as many bits as the gram sets have unshared
     grams, which makes their difference a safe and very cheap filter.
     """
-    mine = f"filter(grams, g -> pmod(xxhash64(g), {64 * WORDS}) div 64 = {word})"
+    mine = f"filter({grams}, g -> pmod(xxhash64(g), {64 * WORDS}) div 64 = {word})"
     return F.expr(f"aggregate({mine}, 0L, (b, g) -> b ^ shiftleft(1L, cast(pmod(xxhash64(g), 64) AS int)))").alias(f"bits{word}")
 
 
