@@ -247,8 +247,11 @@ def best_match(
     holding = holding.filter(inside).select("text_id", "kb_id")
 
     open_texts = needed.filter("sum <= 0").select("text_id").unionByName(without_inner_word(asked).select("text_id")).distinct()
-    others = loose(asked.join(open_texts, "text_id", "left_semi"), rows)
-    pairs = met.unionByName(holding).unionByName(others).distinct().join(known.select("text_id", "kb_id"), ["text_id", "kb_id"], "left_anti")
+    open_texts = cut(asked.join(open_texts, "text_id", "left_semi"))
+    pairs = met.unionByName(holding)
+    if not open_texts.isEmpty():
+        pairs = pairs.unionByName(loose(open_texts, rows))
+    pairs = pairs.distinct().join(known.select("text_id", "kb_id"), ["text_id", "kb_id"], "left_anti")
     found = known.unionByName(scored(pairs, asked, rows, score)).filter(F.col("score") > score.minimum)
     names = [c for c in rows.columns if c not in found.columns]
     return top_k(found.join(rows.select("kb_id", *names), "kb_id"), ["text_id"], [F.col("score").desc(), *order], 1).select("text_id", "kb_id", "score")

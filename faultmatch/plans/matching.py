@@ -210,14 +210,16 @@ def strict_keyword_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
 def _fragment_rows(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows that hold a text without a whole word inside it, and rows of which half the grams are those of a single word."""
     fragments = bm.without_inner_word(texts).select("text_id", F.col("low").alias("needle"))
-    holding = ca.containing(fragments, rows.withColumn("error_signature", F.col("error_text")), [F.col("kb_id")], None)
-    holding = fragments.join(holding, "needle").select("text_id", "kb_id")
-    single = texts.filter("size(q_words) <= 1").select("text_id", "text")
-    alike = ng.ngram_join(single.select("text"), rows.select(F.col("error_text").alias("text")), 0.5)
-    alike = alike.join(single.withColumnRenamed("text", "left_text"), "left_text").join(
-        rows.select("kb_id", F.col("error_text").alias("right_text")), "right_text"
-    )
-    return holding.unionByName(alike.select("text_id", "kb_id"))
+    single = texts.filter("size(q_words) <= 1").select("text_id", F.col("text").alias("left_text"))
+    found = fragments.select("text_id", F.lit("").alias("kb_id")).limit(0)
+    if not fragments.isEmpty():
+        holding = ca.containing(fragments, rows.withColumn("error_signature", F.col("error_text")), [F.col("kb_id")], None)
+        found = found.unionByName(fragments.join(holding, "needle").select("text_id", "kb_id"))
+    if not single.isEmpty():
+        alike = ng.ngram_join(single.select(F.col("left_text").alias("text")), rows.select(F.col("error_text").alias("text")), 0.5)
+        named = rows.select("kb_id", F.col("error_text").alias("right_text"))
+        found = found.unionByName(alike.join(single, "left_text").join(named, "right_text").select("text_id", "kb_id"))
+    return found
 
 
 def simple_fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
