@@ -76,7 +76,7 @@ def odd_rows():
     return rows
 
 
-@pytest.mark.parametrize("height", [1, 2, 6])
+@pytest.mark.parametrize("height", [2, 6])
 def test_odd_rows_in_small_blocks(spark, frame, height):
     rows = odd_rows()
     df = frame(rows, ["key", "pos", "leaf", "node"])
