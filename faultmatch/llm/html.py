@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,14 @@ HINTS = frozenset(
     " notice notification notifications pager pagination popup promo promotion recommended related reply replies respond"
     " responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split()
 )
+#: Of what is left out, blocks that border the article: lines beyond them are not joined to it.
+BORDERS = frozenset(("aside", "footer", "header", "menu", "nav"))
+BORDER_WORDS = frozenset(
+    "banner comment comments commentlist complementary contentinfo discussion disqus footer header masthead menu nav navbar navigation"
+    " navigator recommended related replies respond responses sidebar".split()
+)
+#: A header of one of these is the article's own.
+OWNERS = frozenset(("article", "content", "entry", "post", "story"))
 #: With one of these words, a class tells about the page's layout.
 NEGATIONS = frozenset(("has", "no", "with", "without"))
 #: Elements that hold the page; a class of theirs says nothing about what they hold.
@@ -48,14 +57,22 @@ SIGMA = 1.0
 MAIN_SHARE = 0.9
 
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_LEGAL = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class _Line(NamedTuple):
+    text: str
+    tags: int  #: since the line before
+    element: int  #: innermost open element
+    borders: int  #: border blocks that begin before the line
+    linked: bool  #: all of its text is in links
+
+
 class _Lines(HTMLParser):
     """Cuts a page into lines at the borders of block elements, as the events come.
 
-    Every element gets a number and knows its parent.  A line has its text, the
-    number of tags since the line before, and the innermost open element.
+    Every element gets a number and knows its parent.
     """
 
     def __init__(self) -> None:
@@ -64,16 +81,17 @@ class _Lines(HTMLParser):
         self.open = [0]
         self.dropped = 0  # open elements that are dropped
         self.text: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []
+        self.tags = self.borders = self.links = 0
+        self.plain = False  # text outside links in the line so far
+        self.lines: list[_Line] = []
 
     def end_line(self) -> None:
         if self.text:
             line = " ".join("".join(self.text).split())
             self.text = []
             if line:
-                self.lines.append((line, self.tags, self.open[-1]))
-                self.tags = 0
+                self.lines.append(_Line(line, self.tags, self.open[-1], self.borders, not self.plain))
+                self.tags, self.plain = 0, False
 
     def judged(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in DROPPED:
@@ -96,15 +114,25 @@ class _Lines(HTMLParser):
                 words = [w.lower() for w in _WORDS.findall(value)]
                 if not NEGATIONS.isdisjoint(words):
                     continue
+                if not OWNERS.isdisjoint(words):
+                    words = [w for w in words if w != "header"]
                 if not HINTS.isdisjoint(words) or not HINTS.isdisjoint(map("".join, zip(words, words[1:], strict=False))):
                     state = 2
         return state
 
+    @staticmethod
+    def is_border(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in BORDERS:
+            return True
+        words = (w.lower() for key, value in attrs if value and key in ("class", "id", "role") for w in _WORDS.findall(value))
+        return not BORDER_WORDS.isdisjoint(words)
+
     def close_to(self, depth: int) -> None:
         for element in self.open[depth:]:
             if self.state[element] == 1:
                 self.dropped -= 1
                 self.tags = 0  # tags of what is dropped count for no line
+            self.links -= self.name[element] == "a"
         del self.open[depth:]
 
     def end_implied(self, tag: str) -> None:
@@ -132,6 +160,8 @@ class _Lines(HTMLParser):
         self.state.append(state)
         self.open.append(len(self.name) - 1)
         self.dropped += state == 1
+        self.links += tag == "a"
+        self.borders += state > 0 and self.is_border(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # browsers open the element all the same
@@ -148,6 +178,12 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.dropped:
             self.text.append(data)
+            self.plain = self.plain or not (self.links or data.isspace())
+
+    def close(self) -> None:
+        if self.rawdata.startswith("<!--"):
+            self.rawdata = ""  # a comment without an end reaches to the end of the page
+        super().close()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -173,6 +209,14 @@ def threshold(values: np.ndarray) -> float:
     return min(border, float(values.std()) or border)
 
 
+def _joins(line: _Line, edge: _Line, name: list[str]) -> bool:
+    """Whether a line beside the region's first or last one belongs to the article too."""
+    if line.borders != edge.borders:
+        return False
+    heading = re.fullmatch("h[1-6]", name[line.element]) is not None
+    return heading or not (line.linked or _LEGAL.search(line.text))
+
+
 def main_text(page: str) -> str:
     """The article of a page, its blocks in page order with one space between; empty if there is none.
 
@@ -181,12 +225,12 @@ def main_text(page: str) -> str:
     element inside where that holds most.  All lines of the region are
     kept, short ones too, but for elements that are never part of an article.
     Where no element but the body holds the content, the region reaches from
-    the first content line to the last, with the heading before it.
+    the first content line to the last.  On a page without an article or main
+    element, the lines before and after the region belong to it up to the next
+    menu, header, sidebar or the like, a line of links, or a legal line; so
+    headings, leads and endings outside the fullest part stay.
     """
     parser = _Lines()
-    comment = page.rfind("<!--")
-    if comment >= 0 and page.find("-->", comment) < 0:
-        page = page[:comment]  # a comment without an end reaches to the end of the page
     parser.feed(page)
     parser.close()
     parser.end_line()
@@ -196,17 +240,17 @@ def main_text(page: str) -> str:
         out = [False] * len(parent)
         for element in range(1, len(parent)):
             out[element] = out[parent[element]] or state[element] in dropped
-        lines = [x for x in parser.lines if not out[x[2]]]
+        lines = [x for x in parser.lines if not out[x.element]]
         articles = [e for e in range(1, len(parent)) if name[e] in ("article", "main") and not out[e]]
         if lines and (articles or not any(n in ("article", "main") for n in name)):
             break
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(line) / max(1, tags) for line, tags, _ in lines]))
+    ratios = smoothed(np.array([len(line.text) / max(1, line.tags) for line in lines]))
     content = ratios >= threshold(ratios)
     weight = Counter()
-    for (line, _, element), good in zip(lines, content, strict=True):
-        weight[element] += len(line) * int(good)
+    for line, good in zip(lines, content, strict=True):
+        weight[line.element] += len(line.text) * int(good)
     for element in range(len(parent) - 1, 0, -1):
         weight[parent[element]] += weight[element]
     region = 0
@@ -228,13 +272,16 @@ def main_text(page: str) -> str:
     within[region] = True
     for element in range(1, len(parent)):
         within[element] = within[element] or within[parent[element]] if element != region else True
-    first, last = 0, len(lines) - 1
-    if name[region] in ("", "html", "body"):
-        good = np.flatnonzero(content)
-        first, last = int(good[0]), int(good[-1])
-        if first and re.fullmatch("h[1-6]", name[lines[first - 1][2]]):
-            first -= 1
-    return " ".join(line for line, _, element in lines[first : last + 1] if within[element])
+    if articles:
+        return " ".join(line.text for line in lines if within[line.element])
+    wide = name[region] in ("", "html", "body")
+    kept = np.array([within[line.element] for line in lines]) & (content if wide else True)
+    first, last = (int(at) for at in np.flatnonzero(kept)[[0, -1]])
+    while first and _joins(lines[first - 1], lines[first], name):
+        first -= 1
+    while last + 1 < len(lines) and _joins(lines[last + 1], lines[last], name):
+        last += 1
+    return " ".join(line.text for line in lines[first : last + 1])
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

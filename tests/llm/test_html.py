@@ -37,11 +37,36 @@ def test_query(spark, given):
     ("<div class='cookie-notice'>We use cookies to serve you.</div><article><h1>A</h1><p>b", "A b"),
     ("<script>var t='</p>';</script><style>p{}</style><article><p>a\n\t b</p><ul><li>c<li>d</ul></article>", "a b c d"),
     ("<div hidden>no</div><p>yes</p><div style='display: none'>no</div>", "yes"),
+    ("<script>var s=\"<!--\";</script><article><h1>T</h1><p>one two</p></article>", "T one two"),
+    ("<p title='<!--'>one two three</p><p>four", "one two three four"),
+    ("<p>one two three</p><!-- an end <p>missing", "one two three"),
 ])
 def test_pages(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "<p>" + "</p><p>".join(f"This is the {n} sentence of a paragraph, and it is long enough to count." for n in ("first", "second", "third")) + "</p>"
+READ = re.sub("</?p>", " ", LONG).replace("  ", " ").strip()
+
+
+@pytest.mark.parametrize("page, before, after", [
+    (f"<div id=content><h1>T</h1><div class=intro>short</div><div class=body>{LONG}</div><p>Last words.</p></div>", "T short", "Last words."),
+    (f"<body><nav><a>Home</a></nav><h1>T</h1><div class=text>{LONG}</div><p>End.</p><footer>© us</footer></body>", "T", "End."),
+    (f"<body><div class=post><div class=post-header><h1>T</h1></div><div>{LONG}</div><div class=comments><p>No!</p></div></div></body>", "T", ""),
+    (f"<body><ul><li><a>Home</a><li><a>News</a></ul><h2><a>T</a></h2>{LONG}<p>Bye.</p><p>Copyright 2020 us</p></body>", "T", "Bye."),
+    (f"<div class=wrap><div class=menu>a b</div><p>Lead.</p><section>{LONG}</section><div class=ad>buy</div><p>End.</p></div>", "Lead.", "End."),
+    (f"<div><div class=sidebar>x</div><div>{LONG}<ul><li>a<li>b</ul></div><div class=related><p>More</p></div><p>Beyond</p></div>", "", "a b"),
+    (f"<table><tr><td class=nav>n</td><td><b>T</b><br>{LONG}</td></tr></table>", "T", ""),
+    (f"<div><blockquote>{LONG}</blockquote><p>So they said.</p></div>", "", "So they said."),
+    (f"<body><p>By someone</p>{LONG}<form>mail</form><p>Fin.</p></body>", "By someone", "Fin."),
+    (f"<div id=header>Site</div><div id=main><h1>T</h1><div><div>{LONG}</div></div><p>x</p></div><div id=footer>f</div>", "T", "x"),
+    (f"<body><header>S</header><div>{LONG}</div><aside>y</aside><div>box</div></body>", "", ""),
+    (f"<div class=entry><h3>T</h3><div class=entry-content>{LONG}</div><div class=share><a>Tell</a></div></div>", "T", ""),
+])
+def test_pages_without_an_article_element(page, before, after):
+    assert html.main_text(page) == " ".join(filter(None, (before, READ, after)))
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>a</p>"), (2, "v", ""), (3, "w", "<p>" + "long text " * 50000)]
     df = spark.createDataFrame([r + ("clash",) for r in rows], "page_id long, url string, html string, text string")
