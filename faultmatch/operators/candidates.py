@@ -212,18 +212,6 @@ def containing(texts: DataFrame, kb: DataFrame, order: list[Column], k: int) ->
     return top_k(hits.join(best_rows, "class").drop("class"), ["needle"], order, k, "rank")
 
 
-def pattern_hits(signatures: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pairs of distinct signatures and the rule patterns they match."""
-    from faultmatch.session import in_broadcastable_slices
-
-    distinct = signatures.select("signature").distinct()
-    out = None
-    for rules in in_broadcastable_slices(patterns, "pattern_id"):
-        hits = distinct.join(rules, F.expr("signature rlike pattern_regex"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
 def near_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Word match value of every (word, target) that is equal (0.9) or more than 0.8 similar (0.7 of it).
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultmatch import fixed_values as fv
 from faultmatch.functions import scoring as sc, similarity as sim, text as tx
-from faultmatch.operators import audit, best_match as bm, candidates as ca, feedback as fb, ngram_join as ng, vectors as ve
+from faultmatch.operators import audit, best_match as bm, candidates as ca, feedback as fb, ngram_join as ng, rules as ru, vectors as ve
 from faultmatch.operators.ranking import salted_join, top_k
 from faultmatch.session import cut
 
@@ -179,7 +179,7 @@ def vector_fuzzy_match(queries: DataFrame, kb: DataFrame, vectors: DataFrame) ->
 def pattern_match(queries: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rule with the highest priority, then effectiveness."""
     order = [F.col("priority").desc(), F.col("effectiveness_score").desc_nulls_last(), F.col("pattern_id").asc()]
-    best = top_k(ca.pattern_hits(queries, patterns), ["signature"], order, 1)
+    best = top_k(ru.pattern_hits(queries, patterns), ["signature"], order, 1)
     effectiveness = F.coalesce("effectiveness_score", F.lit(0.5))
     uses = F.coalesce("usage_count", F.lit(0))
     rows = (

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from faultmatch import fixed_values as fv
 from faultmatch.functions import similarity as sim, text as tx
-from faultmatch.operators import candidates as ca, dashboards as db, feedback as fb, ranking as rk, vectors as ve
+from faultmatch.operators import candidates as ca, dashboards as db, feedback as fb, ranking as rk, rules, vectors as ve
 from faultmatch.queries import oracle as o
 from faultmatch.queries.base import register
 from faultmatch.queries.scores import bucket_sql, vector_queries
@@ -248,7 +248,7 @@ register(
 )
 register(
     "j6_regex_join",
-    lambda f: ca.pattern_hits(
+    lambda f: rules.pattern_hits(
         f.kb_texts.select(F.col("error_signature").alias("signature")), f.patterns
     ).groupBy("pattern_id").agg(F.count("*").alias("signatures")),
     o.sql(

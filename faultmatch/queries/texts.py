@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from faultmatch import fixed_values as fv
 from faultmatch.functions import text as tx
-from faultmatch.operators import candidates as ca, feedback as fb
+from faultmatch.operators import candidates as ca, feedback as fb, rules
 from faultmatch.queries import oracle as o
 from faultmatch.queries.base import register
 
@@ -113,7 +113,7 @@ register(
 )
 register(
     "p7_pattern_hits",
-    lambda f: f.queries.select("query_id", "signature").join(ca.pattern_hits(f.queries, f.patterns), "signature")
+    lambda f: f.queries.select("query_id", "signature").join(rules.pattern_hits(f.queries, f.patterns), "signature")
     .select("query_id", "pattern_id"),
     o.sql(
         "SELECT query_id, pattern_id FROM inc JOIN patterns ON regexp_matches(signature, pattern_regex)",
