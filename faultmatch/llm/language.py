@@ -143,19 +143,66 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     return per_batch(rows, make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-#: Documents whose nearest profile has a lower cosine are in none of the languages.
-LEAST_SCORE = 0.05
+#: A text is in none of the languages if its cosine is below this share of what texts of its length usually have.
+OUTLYING = 0.3
+#: Steps of a cosine in which usual scores are found.
+STEPS = 1000
 
 
-def in_known_language(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose text is in one of the learned languages."""
+def _size(text: str) -> int:
+    """Length class of a text, the binary logarithm of its number of letters."""
+    return int(np.count_nonzero(_symbols()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")])).bit_length()
+
+
+def least_scores(docs: DataFrame, profiles: Profiles) -> np.ndarray:
+    """The least cosine of a text by its length class.
+
+    It is ``OUTLYING`` times the median of all documents of that length, outside
+    the held-out fold, that are nearest to the language they are labelled with.
+    Cosines grow with the length, much alike in all languages, so a class asks
+    for no less than a shorter one.  Classes below the shortest labelled text ask for nothing.  The driver
+    sees a histogram of a bounded number of rows.
+    """
     ready(docs.sparkSession)
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = texts_of(batch.column(1))
+            names, scores = profiles.nearest(texts)
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, type=pa.string()), pa.array(list(map(_size, texts)), type=pa.int32()), pa.array(np.rint(scores * STEPS).astype(np.int32))],
+                names=["lang", "language", "size", "step"],
+            )
+
+        return step
+
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
+    scored = per_batch(labelled, make, "lang string, language string, size int, step int")
+    found: dict[int, list[tuple[int, int]]] = {}
+    for r in scored.filter(F.col("language") == F.col("lang")).groupBy("size", "step").count().collect():
+        found.setdefault(r.size, []).append((r.step, r["count"]))
+    usual = np.zeros(64)
+    for size, rows in found.items():
+        steps, n = np.array(sorted(rows)).T
+        below = np.cumsum(n)
+        usual[size] = steps[np.searchsorted(below, below[-1] / 2)] / STEPS
+    return OUTLYING * np.maximum.accumulate(usual)
+
+
+def in_known_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose text is in one of the learned languages.
+
+    Null and empty texts and those without a letter go, and all where nothing
+    could be learned.
+    """
+    least = least_scores(docs, profiles)
     at = docs.columns.index("text")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, scores = profiles.nearest(texts_of(batch.column(at)))
-            return batch.filter(pa.array((np.array(names) != UNKNOWN) & (scores >= least)))
+            texts = texts_of(batch.column(at))
+            names, scores = profiles.nearest(texts)
+            return batch.filter(pa.array((np.array(names) != UNKNOWN) & (scores >= least[list(map(_size, texts))])))
 
         return step
 

@@ -45,3 +45,40 @@ def test_vectors_of_different_trigrams_are_nearly_orthogonal():
     assert abs(float(language.profile("xyz") @ language.profile("zyx"))) < 0.35
     assert np.allclose(language.profile("Größe"), language.profile("größe"))
     assert language.profile("12 34") is None
+
+
+FOREIGN = (
+    "Bugün hava çok güzel olduğu için çocuklar parkta oynamaya gittiler ve akşam eve döndüklerinde anneleri onlara sıcak çorba hazırlamıştı. ",
+    "Tänään on hyvin kaunis päivä ja lapset menivät puistoon leikkimään ystäviensä kanssa. Illalla he palasivat kotiin syömään. ",
+    "Сегодня очень хорошая погода, поэтому дети пошли играть в парк со своими друзьями. Вечером они вернулись домой. ",
+    "Dzisiaj jest bardzo piękna pogoda, dlatego dzieci poszły bawić się do parku ze swoimi przyjaciółmi. ",
+)
+
+
+def test_unlearned_languages_and_random_letters_go(spark, frame):
+    rng = np.random.default_rng(8)
+    path = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    clean = {r.doc_id for r in spark.read.parquet(f"{path}/labels.parquet").collect() if r.quality}
+    planted = [(10**9 + k, (FOREIGN[k % 4] * 200)[: 100 * 2 ** (k // 4)], None) for k in range(28)]
+    planted += [(2 * 10**9 + k, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 100 * 2 ** (k // 8))), None) for k in range(56)]
+    df = frame(rows + planted)
+    kept = {r.doc_id for r in language.in_known_language(df, language.learn(df)).collect()}
+    assert not kept & {i for i, _, _ in planted}
+    assert clean <= kept
+
+
+def test_least_scores_equal_medians(spark, given, frame):
+    rows = [(r.doc_id, r.text, r.lang) for r in given("documents")]
+    df = frame(rows)
+    profiles = language.learn(df)
+    names, scores = profiles.nearest([t or "" for _, t, _ in rows])
+    by = {}
+    for (i, text, lang), name, score in zip(rows, names, scores):
+        if name == lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            by.setdefault(sum(map(str.isalpha, text.lower())).bit_length(), []).append(round(score * 1000))
+    got, usual = language.least_scores(df, profiles), 0.0
+    for size in range(64):
+        own = sorted(by.get(size, []))
+        usual = max(usual, own[(len(own) - 1) // 2] / 1000) if own else usual
+        assert abs(got[size] - 0.3 * usual) < 1e-9
