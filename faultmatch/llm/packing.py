@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,8 +17,6 @@ from faultmatch.llm.tokens import WordIds
 GROUP_ROWS = 100_000
 #: After the first packing, a sequence with more than this share of free places takes part in an exchange.
 LOOSE = 1 / 64
-#: Exchanges at most; each one keeps only what saves sequences.
-ROUNDS = 6
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -120,7 +119,8 @@ def _packed(rows: DataFrame, capacity: int, groups: int, turn: int) -> DataFrame
         pack_group, "row long, length long, spread long, sequence long, offset long, fill long, gap long"
     )
     group = F.pmod("spread", F.lit(groups))
-    number = F.lit(turn << 57) + F.shiftleft(group, 25) + F.col("sequence")
+    # bits of a number: 12 for the turn, 31 for the group, 20 for the sequence
+    number = F.lit(turn << 51) + F.shiftleft(group, 20) + F.col("sequence")
     return one.select("row", "length", number.alias("sequence_id"), "offset", "fill", "gap")
 
 
@@ -135,6 +135,7 @@ def pack(rows: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFr
     exchange: those at their bound give up the pieces of loose sequences,
     those with a gap all pieces of sequences that are not full.  What they
     give up is dealt anew and packed again, and kept if it saves sequences.
+    Exchanges end at the bound, in one group, or when one saves nothing.
 
     The driver sees counts of rows and the histogram of lengths, which has at
     most ``capacity + 1`` entries.  An empty table gives no rows.
@@ -146,7 +147,7 @@ def pack(rows: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFr
     bound, final = lower_bound(counts, capacity), None
     pool, n_rows, before = rows, int(counts.sum()), None
     groups = max(1, -(-n_rows // group_rows))
-    for turn in range(ROUNDS + 1):
+    for turn in itertools.count():  # each exchange has fewer groups
         packed = written(_packed(pool, capacity, groups, turn), f"packing-{turn}")
         if before is not None:  # the exchange has to pay
             if packed.select("sequence_id").distinct().count() >= before.select("sequence_id").distinct().count():
@@ -166,7 +167,7 @@ def pack(rows: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFr
         n_used = final.select("sequence_id").distinct().count()
         if n_rows == 0:
             break
-        if groups == 1 or turn == ROUNDS or n_used + before.select("sequence_id").distinct().count() <= bound:
+        if groups == 1 or n_used + before.select("sequence_id").distinct().count() <= bound:
             final = final.unionByName(before)
             break
         groups = max(1, min(groups - 1, -(-n_rows // group_rows)))
