@@ -72,21 +72,49 @@ def flag_anomalies(assigned: DataFrame, centres: Centres) -> DataFrame:
     return assigned.withColumn("anomaly_score", score).withColumn("is_anomaly", score > fv.ANOMALY_THRESHOLD)
 
 
+def weight(rows: DataFrame) -> Column:
+    """How many equal rows a row stands for; 1 without a column that says it."""
+    return F.col("weight") if "weight" in rows.columns else F.lit(1)
+
+
+def weighted_spread(rows: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """``mean_x`` and the population variance ``x`` of each column per key.
+
+    Sums are taken from the least value, so that a column of one value has no variance at all.
+    """
+    w = weight(rows)
+    least = rows.groupBy(*keys).agg(*[F.min(n).alias(f"_l_{n}") for n in names])
+    both = rows.join(F.broadcast(least), list(keys)) if keys else rows.crossJoin(F.broadcast(least))
+    total = F.sum(w).cast("double")
+
+    def first(n: str) -> Column:
+        return F.sum((F.col(n) - F.col(f"_l_{n}")) * w) / total
+
+    def second(n: str) -> Column:
+        return F.sum((F.col(n) - F.col(f"_l_{n}")) * (F.col(n) - F.col(f"_l_{n}")) * w) / total
+
+    return both.groupBy(*keys).agg(
+        *[(F.min(f"_l_{n}") + first(n)).alias(f"mean_{n}") for n in names],
+        *[F.greatest(second(n) - first(n) * first(n), F.lit(0.0)).alias(n) for n in names],
+    )
+
+
 def summary(members: DataFrame) -> DataFrame:
     """Size, success rate, distinct errors and a name of the three main categories per cluster.
 
-    ``members``: cluster, category, error_hash, worked.
+    ``members``: cluster, category, error_hash, worked and, where a row stands for many, weight.
     """
+    w = weight(members)
     main = top_k(
-        members.groupBy("cluster", "category").agg(F.count("*").alias("n")),
+        members.groupBy("cluster", "category").agg(F.sum(w).alias("n")),
         ["cluster"], [F.col("n").desc(), F.col("category").asc()], 3, "rank",
     )
     names = main.groupBy("cluster").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "category"))), lambda r: r["category"]), "-").alias("name")
     )
     totals = members.groupBy("cluster").agg(
-        F.count("*").alias("size"),
-        F.avg(F.when(F.col("worked"), 1.0).otherwise(0.0)).alias("success_rate"),
+        F.sum(w).alias("size"),
+        (F.sum(F.when(F.col("worked"), w).otherwise(0)) / F.sum(w)).alias("success_rate"),
         F.count_distinct("error_hash").alias("errors"),
     )
     return totals.join(names, "cluster")
@@ -94,12 +122,12 @@ def summary(members: DataFrame) -> DataFrame:
 
 def member_rows(members: DataFrame) -> DataFrame:
     """The errors of each cluster and how often each is in it."""
-    return members.groupBy("cluster", "error_hash").agg(F.count("*").alias("times"))
+    return members.groupBy("cluster", "error_hash").agg(F.sum(weight(members)).alias("times"))
 
 
 def keywords(members: DataFrame, k: int = 5) -> DataFrame:
     """Most frequent signature keywords per cluster, counted over members."""
-    per_text = members.groupBy("cluster", "error_signature").agg(F.count("*").alias("n"))
+    per_text = members.groupBy("cluster", "error_signature").agg(F.sum(weight(members)).alias("n"))
     counts = (
         per_text.select("cluster", "n", F.explode(tx.tokens("error_signature")).alias("keyword"))
         .groupBy("cluster", "keyword")
@@ -110,7 +138,7 @@ def keywords(members: DataFrame, k: int = 5) -> DataFrame:
 
 def variance_shares(members: DataFrame) -> DataFrame:
     """Population variance of each feature as a share of the cluster's total."""
-    spread = members.groupBy("cluster").agg(*[F.var_pop(n).alias(n) for n in sc.FEATURE_NAMES])
+    spread = weighted_spread(members, sc.FEATURE_NAMES, "cluster")
     total = F.lit(0.0)
     for n in sc.FEATURE_NAMES:
         total = total + F.col(n)

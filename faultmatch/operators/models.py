@@ -47,6 +47,38 @@ def training_points(kb: DataFrame, feedback: DataFrame) -> DataFrame:
     return rows
 
 
+def point_groups(kb: DataFrame, feedback: DataFrame) -> DataFrame:
+    """The rows of ``training_points`` without their ids, equal ones as one row with ``weight``, their number.
+
+    A text's features do not depend on its rating, nor the time's on the text.  So
+    both sides are summed up before they meet: an error with many knowledge rows
+    and many ratings gives one row for each different text and hour of the week,
+    not one for each pair.  ``newest`` is the time of the last rating.
+    """
+    rated = (
+        feedback.filter(F.col("was_helpful").isNotNull())
+        .select(F.col("solution_hash").alias("error_hash"), F.col("was_helpful").alias("worked"), *sc.time_features("created_at"), "created_at")
+        .groupBy("error_hash", "worked", *sc.TIME_FEATURES)
+        .agg(F.count("*").alias("_ratings"), F.max("created_at").alias("newest"))
+    )
+    features = [n for n in sc.FEATURE_NAMES if n not in sc.TIME_FEATURES]
+    texts = (
+        kb.groupBy("error_hash", "error_signature", "error_text").agg(F.count("*").alias("_rows"))
+        .select("error_hash", "error_signature", "_rows", *sc.text_features("error_text"))
+        .groupBy("error_hash", "error_signature", *features).agg(F.sum("_rows").alias("_rows"))
+        .withColumn("category", tx.categorize("error_signature"))
+    )
+    return rated.join(texts, "error_hash").select(
+        "error_hash", "error_signature", "category", "worked", F.col("worked").cast("double").alias("label"),
+        *sc.FEATURE_NAMES, "newest", (F.col("_ratings") * F.col("_rows")).alias("weight"),
+    )
+
+
+def summed(points: DataFrame, *keys: str) -> DataFrame:
+    """Points as models take them: one row per different features and ``keys``, with ``weight``, a double."""
+    return points.groupBy(*keys, *sc.FEATURE_NAMES).agg(F.sum(cl.weight(points)).cast("double").alias("weight"))
+
+
 def query_points(queries: DataFrame, text: str = "clean_text", ts: str = "ts") -> DataFrame:
     return queries.select(*queries.columns, *sc.features(text, ts))
 
@@ -57,14 +89,15 @@ def assembled(rows: DataFrame) -> DataFrame:
 
 def cluster_centres(points: DataFrame, k: int = fv.CLUSTER_COUNT, seed: int = SEED) -> cl.Centres:
     """Centres by parallel k-means++; the library returns fewer than ``k`` when distinct points run out."""
-    kmeans = KMeans(k=k, initMode="k-means||", maxIter=1000, tol=1e-5, seed=seed, featuresCol="features")
-    found = kmeans.fit(assembled(points)).clusterCenters()
+    kmeans = KMeans(k=k, initMode="k-means||", maxIter=1000, tol=1e-5, seed=seed, featuresCol="features", weightCol="weight")
+    found = kmeans.fit(assembled(summed(points))).clusterCenters()
     return cl.Centres(list(range(len(found))), [[float(x) for x in c] for c in found])
 
 
 def success_tree(points: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH) -> DecisionTreeClassificationModel:
     """Entropy tree of at most ``depth`` levels; all points are used."""
-    return DecisionTreeClassifier(impurity="entropy", maxDepth=depth, seed=seed).fit(assembled(points))
+    tree = DecisionTreeClassifier(impurity="entropy", maxDepth=depth, seed=seed, weightCol="weight")
+    return tree.fit(assembled(summed(points, "label")))
 
 
 def success_net(points: DataFrame, scale: bool = True, seed: int = SEED, epochs: int = 100) -> PipelineModel | MultilayerPerceptronClassificationModel:
@@ -107,10 +140,16 @@ def split_importance(tree: DecisionTreeClassificationModel) -> list[tuple[str, i
     ]
 
 
+def moments(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each feature, 1.0 where it does not vary."""
+    found = cl.weighted_spread(points, sc.FEATURE_NAMES).first()
+    mean = np.array([found[f"mean_{n}"] or 0.0 for n in sc.FEATURE_NAMES])
+    return mean, np.array([(found[n] or 0.0) ** 0.5 or 1.0 for n in sc.FEATURE_NAMES])
+
+
 def fourier_features(rows: DataFrame, points: DataFrame, dims: int = KERNEL_FEATURES, seed: int = SEED) -> DataFrame:
     """Random Fourier features of a Gaussian kernel whose width follows the spread of ``points``."""
-    spread = points.agg(*[F.var_pop(n).alias(n) for n in sc.FEATURE_NAMES]).first()
-    scales = np.array([(v or 0.0) ** 0.5 or 1.0 for v in spread])
+    scales = moments(points)[1]
     rng = np.random.default_rng(seed)
     weights = rng.normal(size=(len(scales), dims)) / (scales[:, None] * np.sqrt(len(scales)))
     offsets = rng.uniform(0, 2 * np.pi, size=dims)
@@ -127,12 +166,16 @@ def category_classifier(points: DataFrame, complexity: float = 100.0, seed: int
     """One-vs-rest linear machines over the Fourier features: training rows with ``label`` and ``prediction``."""
     index = {c: i for i, c in enumerate([c for c, _ in fv.CATEGORIES] + [fv.CATEGORY_DEFAULT])}
     numbers = F.create_map(*[F.lit(x) for pair in index.items() for x in pair])
-    data = fourier_features(points.withColumn("label", numbers[F.col("category")].cast("double")), points, seed=seed)
-    n = max(1, points.count())
+
+    def projected(rows: DataFrame) -> DataFrame:
+        return fourier_features(rows.withColumn("label", numbers[F.col("category")].cast("double")), points, seed=seed)
+
+    data = projected(summed(points, "category"))
+    n = max(1.0, data.agg(F.sum("weight")).first()[0] or 0.0)
     svm = LinearSVC(maxIter=PASSES, regParam=1.0 / (complexity * n), standardization=False)
     # the library keeps the rows it reads once per class under its own persist
-    model = OneVsRest(classifier=svm, labelCol="label", featuresCol="features", parallelism=5).fit(data)
-    return model.transform(data)
+    model = OneVsRest(classifier=svm, labelCol="label", featuresCol="features", weightCol="weight", parallelism=5).fit(data)
+    return model.transform(projected(points))
 
 
 @dataclass

@@ -22,6 +22,10 @@ def points(f):
     return ml.training_points(f.kb_texts, f.feedback)
 
 
+def groups(f):
+    return ml.point_groups(f.kb_texts, f.feedback)
+
+
 def kb_points(f):
     return f.kb_texts.select(
         "kb_id", "steps_text", "created_at", tx.categorize("error_signature").alias("category"),
@@ -75,7 +79,7 @@ def flagged(f):
 
 
 def members(f):
-    return cl.assign(points(f), centres(f))
+    return cl.assign(groups(f), centres(f))
 
 
 register(
@@ -174,7 +178,7 @@ register(
 
 
 def _gates(f):
-    counts = points(f).groupBy("category").agg(F.count("*").alias("n"), F.max("created_at").alias("newest"))
+    counts = groups(f).groupBy("category").agg(F.sum("weight").alias("n"), F.max("newest").alias("newest"))
     age = F.expr(f"(unix_timestamp(TIMESTAMP '{AS_OF}') - unix_timestamp(newest)) / 3600")
     return cl.gates(counts, "n", age).drop("newest")
 
@@ -195,7 +199,7 @@ register(
 
 
 def _clusters(f):
-    p = points(f)
+    p = groups(f)
     c = ml.cluster_centres(p)
     return cl.summary(cl.assign(p, c))
 
@@ -204,7 +208,7 @@ register("k1_kmeans", _clusters)
 
 
 def _tree(f):
-    tree = ml.success_tree(points(f))
+    tree = ml.success_tree(groups(f))
     rows = ml.query_points(mq.asked(f).select("query_id", "clean_text", "ts"))
     return ml.tree_prediction(tree, rows).select("query_id", "tree_works", "tree_confidence")
 
@@ -222,15 +226,16 @@ register("k5_neural_net", _net)
 
 
 def _svm(f):
-    return ml.category_classifier(points(f)).groupBy("category").agg(
-        F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy")
+    right = F.when(F.col("label") == F.col("prediction"), F.col("weight")).otherwise(0.0)
+    return ml.category_classifier(ml.summed(groups(f), "category")).groupBy("category").agg(
+        F.sum("weight").cast("long").alias("n"), (F.sum(right) / F.sum("weight")).alias("accuracy")
     )
 
 
 register("k7_category_svm", _svm)
 register(
     "k9_split_importance",
-    lambda f: f.spark.createDataFrame(ml.split_importance(ml.success_tree(points(f))), "feature string, splits int, share double"),
+    lambda f: f.spark.createDataFrame(ml.split_importance(ml.success_tree(groups(f))), "feature string, splits int, share double"),
 )
 register(
     "k10_augment",
