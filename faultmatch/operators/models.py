@@ -7,19 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassificationModel, DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier, OneVsRest,
+    DecisionTreeClassificationModel, DecisionTreeClassifier, LinearSVC, OneVsRest,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from faultmatch import fixed_values as fv
 from faultmatch.functions import scoring as sc, text as tx
-from faultmatch.operators import clusters as cl
+from faultmatch.operators import clusters as cl, net as nt
 from faultmatch.plans import matching as mt
 
 SEED = 42
@@ -100,19 +98,16 @@ def success_tree(points: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH) -
     return tree.fit(assembled(summed(points, "label")))
 
 
-def success_net(points: DataFrame, scale: bool = True, seed: int = SEED, epochs: int = 100) -> PipelineModel | MultilayerPerceptronClassificationModel:
+def success_net(points: DataFrame, scale: bool = True, seed: int = SEED, epochs: int = 100) -> nt.Net:
     """Two hidden layers of max(10, inputs/2).  Hidden units are sigmoid, the loss is log loss, without dropout."""
     inputs = len(sc.FEATURE_NAMES)
     hidden = max(10, inputs // 2)
-    data, column = assembled(points), "features"
-    scaler = None
-    if scale:
-        scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled").fit(data)
-        data, column = scaler.transform(data), "scaled"
-    net = MultilayerPerceptronClassifier(
-        layers=[inputs, hidden, hidden, 2], maxIter=epochs, seed=seed, featuresCol=column
-    ).fit(data)
-    return net if scaler is None else PipelineModel([scaler, net])
+    rows = summed(points, "label").persist()
+    try:
+        mean, deviation = moments(rows) if scale else (np.zeros(inputs), np.ones(inputs))
+        return nt.fit(rows, sc.FEATURE_NAMES, [inputs, hidden, hidden, 2], mean, deviation, seed, epochs)
+    finally:
+        rows.unpersist()
 
 
 def tree_prediction(tree: DecisionTreeClassificationModel, rows: DataFrame) -> DataFrame:
@@ -122,13 +117,13 @@ def tree_prediction(tree: DecisionTreeClassificationModel, rows: DataFrame) -> D
     return out.withColumn("tree_confidence", confidence).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def net_prediction(net, rows: DataFrame) -> DataFrame:
-    out = net.transform(assembled(rows)).withColumn("_p", vector_to_array("probability"))
-    failure, success = F.col("_p")[0], F.col("_p")[1]
+def net_prediction(net: nt.Net, rows: DataFrame) -> DataFrame:
+    out = rows.withColumn("_p", net.success([F.col(n) for n in sc.FEATURE_NAMES]))
+    failure, success = 1.0 - F.col("_p"), F.col("_p")
     return (
         out.withColumn("neural_confidence", sc.neural_confidence(success, failure))
         .withColumn("neural_works", sc.neural_works(success, failure))
-        .drop("features", "scaled", "rawPrediction", "probability", "prediction", "_p")
+        .drop("_p")
     )
 
 
@@ -185,7 +180,7 @@ class Learned:
     centres: cl.Centres
     clusters: DataFrame
     tree: DecisionTreeClassificationModel
-    net: object
+    net: nt.Net
 
 
 def learn(points: DataFrame, solutions: DataFrame, k: int = fv.CLUSTER_COUNT) -> Learned:

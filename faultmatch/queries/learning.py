@@ -217,7 +217,7 @@ register("k4_decision_tree", _tree)
 
 
 def _net(f):
-    net = ml.success_net(points(f))
+    net = ml.success_net(groups(f))
     rows = ml.query_points(mq.asked(f).select("query_id", "clean_text", "ts"))
     return ml.net_prediction(net, rows).select("query_id", "neural_works", "neural_confidence")
 
@@ -251,7 +251,7 @@ register(
 
 def learned(f):
     solutions = fb.with_stats(f.kb_texts, f.feedback).select("kb_id", "error_text", "steps_text", "success_rate", "created_at")
-    return ml.learn(points(f), solutions)
+    return ml.learn(groups(f), solutions)
 
 
 def plain_queries(f):

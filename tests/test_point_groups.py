@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,22 @@ def test_tree_of_groups_is_that_of_pairs(tables):
     rows = groups.dropDuplicates(sc.FEATURE_NAMES).select("error_hash", *sc.FEATURE_NAMES)
     a, b = (ml.tree_prediction(ml.success_tree(p), rows).orderBy("error_hash", *sc.FEATURE_NAMES).collect() for p in (pairs, groups))
     assert a == b
+
+
+def test_net_takes_weights_and_its_gradient_is_right(tables):
+    from faultmatch.operators import net as nt
+
+    rng = np.random.default_rng(1)
+    outputs, sums = nt.layer_functions([3, 4, 2])
+    w, x, label, weight = rng.normal(size=26), rng.normal(size=(7, 3)), np.array([0, 1, 1, 0, 1, 0, 1.0]), np.array([1, 2, 3, 1, 1, 5, 1.0])
+    many = np.repeat(np.arange(7), weight.astype(int))
+    assert np.allclose(sums(w, x, label, weight), sums(w, x[many], label[many], np.ones(len(many))))
+    by_steps = [(sums(w + e, x, label, weight)[0] - sums(w - e, x, label, weight)[0]) / 2e-6 for e in np.eye(26) * 1e-6]
+    assert np.allclose(sums(w, x, label, weight)[1:], by_steps, atol=1e-5)
+    groups = ml.point_groups(*tables)
+    net = ml.success_net(groups)
+    out = ml.net_prediction(net, groups).withColumn("p", net.success([F.col(n) for n in sc.FEATURE_NAMES]))
+    loss = out.agg(F.sum(-F.log(F.when(F.col("worked"), F.col("p")).otherwise(1 - F.col("p"))) * F.col("weight")) / F.sum("weight")).first()[0]
+    keys = groups.groupBy(*sc.FEATURE_NAMES).agg(F.sum("weight").alias("n"), (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("r"))
+    least = sum(-r["n"] * (q * np.log(q) if q else 0) for r in keys.collect() for q in (r["r"], 1 - r["r"])) / groups.agg(F.sum("weight")).first()[0]
+    assert least <= loss + 1e-9 and loss < least + 0.01
