@@ -19,6 +19,7 @@ from faultmatch import fixed_values as fv
 from faultmatch.functions import scoring as sc, text as tx
 from faultmatch.operators import clusters as cl, net as nt
 from faultmatch.plans import matching as mt
+from faultmatch.session import cut
 
 SEED = 42
 #: Levels of the decision tree, features that approximate the kernel, passes of each linear machine.
@@ -142,9 +143,8 @@ def moments(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.array([(found[n] or 0.0) ** 0.5 or 1.0 for n in sc.FEATURE_NAMES])
 
 
-def fourier_features(rows: DataFrame, points: DataFrame, dims: int = KERNEL_FEATURES, seed: int = SEED) -> DataFrame:
-    """Random Fourier features of a Gaussian kernel whose width follows the spread of ``points``."""
-    scales = moments(points)[1]
+def fourier_features(rows: DataFrame, scales: np.ndarray, dims: int = KERNEL_FEATURES, seed: int = SEED) -> DataFrame:
+    """Random Fourier features of a Gaussian kernel whose width follows the features' deviations."""
     rng = np.random.default_rng(seed)
     weights = rng.normal(size=(len(scales), dims)) / (scales[:, None] * np.sqrt(len(scales)))
     offsets = rng.uniform(0, 2 * np.pi, size=dims)
@@ -161,12 +161,14 @@ def category_classifier(points: DataFrame, complexity: float = 100.0, seed: int
     """One-vs-rest linear machines over the Fourier features: training rows with ``label`` and ``prediction``."""
     index = {c: i for i, c in enumerate([c for c, _ in fv.CATEGORIES] + [fv.CATEGORY_DEFAULT])}
     numbers = F.create_map(*[F.lit(x) for pair in index.items() for x in pair])
+    own = cut(summed(points, "category"))
+    scales = moments(own)[1]
 
     def projected(rows: DataFrame) -> DataFrame:
-        return fourier_features(rows.withColumn("label", numbers[F.col("category")].cast("double")), points, seed=seed)
+        return fourier_features(rows.withColumn("label", numbers[F.col("category")].cast("double")), scales, seed=seed)
 
-    data = projected(summed(points, "category"))
-    n = max(1.0, data.agg(F.sum("weight")).first()[0] or 0.0)
+    data = projected(own)
+    n = max(1.0, own.agg(F.sum("weight")).first()[0] or 0.0)
     svm = LinearSVC(maxIter=PASSES, regParam=1.0 / (complexity * n), standardization=False)
     # the library keeps the rows it reads once per class under its own persist
     model = OneVsRest(classifier=svm, labelCol="label", featuresCol="features", weightCol="weight", parallelism=5).fit(data)
@@ -193,8 +195,6 @@ def learn(points: DataFrame, solutions: DataFrame, k: int = fv.CLUSTER_COUNT) ->
             solutions.select("kb_id", "steps_text", "success_rate", "created_at", *sc.features("error_text", "created_at")),
             centres,
         )
-        from faultmatch.session import cut
-
         clusters = cut(cl.summary(members).join(cl.templates(rows), "cluster", "left"))
         return Learned(centres, clusters, success_tree(points), success_net(points))
     finally:

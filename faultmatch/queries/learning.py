@@ -11,7 +11,7 @@ from faultmatch.queries.base import register
 from faultmatch.queries.reports import r6
 from faultmatch.queries.scores import feature_columns_sql
 from faultmatch.queries.upkeep import hours, sql_stamp
-from faultmatch.session import new_path
+from faultmatch.session import cut, new_path
 from faultmatch.sources.fixtures import AS_OF, VIEWS
 from faultmatch.streaming import jobs
 
@@ -227,7 +227,7 @@ register("k5_neural_net", _net)
 
 def _svm(f):
     right = F.when(F.col("label") == F.col("prediction"), F.col("weight")).otherwise(0.0)
-    return ml.category_classifier(ml.summed(groups(f), "category")).groupBy("category").agg(
+    return ml.category_classifier(cut(ml.summed(groups(f), "category"))).groupBy("category").agg(
         F.sum("weight").cast("long").alias("n"), (F.sum(right) / F.sum("weight")).alias("accuracy")
     )
 
