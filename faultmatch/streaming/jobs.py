@@ -19,12 +19,13 @@ from faultmatch.session import new_path
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", per_batch: int = 1000) -> DataFrame:
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", per_batch)
-        .parquet(folder)
-    )
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+    table = spark._jvm.org.apache.hadoop.fs.Path(folder, pattern)
+    if "*" not in pattern and table.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(table):
+        # a table of many files is a folder of that name, into which the filter on file names does not look
+        stream = reader.parquet(os.path.join(folder, pattern))
+    else:
+        stream = reader.option("pathGlobFilter", pattern).parquet(folder)
     for field in schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             stream = stream.withColumn(field.name, F.col(field.name).cast("timestamp"))

@@ -136,3 +136,15 @@ def test_cascade_gives_one_row_per_query(spark, fixtures):
     assert rows.count() == rows.select("query_id").distinct().count() == fixtures.incoming.count()
     layers = {r["layer"] for r in rows.select("layer").distinct().collect()}
     assert {1, 2} <= layers
+
+
+def test_stream_reads_a_table_that_is_a_folder_or_a_file(spark, tmp_path):
+    rows = spark.range(20).select("id", F.lit(None).cast("string").alias("note"))
+    rows.repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "raw"))
+    next((tmp_path / "raw").glob("part-*.parquet")).rename(tmp_path / "one.parquet")
+    for name in ("many", "one"):
+        stream = jobs.read_files(spark, str(tmp_path), rows.schema, f"{name}.parquet")
+        out = str(tmp_path / f"out_{name}")
+        stream.writeStream.option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start(out, "parquet").awaitTermination()
+        assert spark.read.parquet(out).count() == 20
