@@ -237,11 +237,24 @@ register(
     "k9_split_importance",
     lambda f: f.spark.createDataFrame(ml.split_importance(ml.success_tree(groups(f))), "feature string, splits int, share double"),
 )
+
+
+def _augment(f):
+    """Only groups below the minimum are filled up, so only their ratings meet texts one by one; the others keep their size."""
+    keys = ["error_hash", "worked"]
+    sizes = groups(f).groupBy(*keys).agg(F.sum("weight").alias("n"))
+    few = sizes.filter(F.col("n") < fv.MIN_TRAINING_ROWS).select(F.col("error_hash").alias("solution_hash"), F.col("worked").alias("was_helpful"))
+    rows = ml.training_points(f.kb_texts, f.feedback.join(few, ["solution_hash", "was_helpful"], "left_semi"))
+    filled = cl.augment(rows, keys).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("synthetic"), 1).otherwise(0)).alias("synthetic")
+    )
+    enough = sizes.filter(F.col("n") >= fv.MIN_TRAINING_ROWS)
+    return filled.unionByName(enough.withColumn("synthetic", F.lit(0).cast("long")))
+
+
 register(
     "k10_augment",
-    lambda f: cl.augment(points(f), ["error_hash", "worked"]).groupBy("error_hash", "worked").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("synthetic"), 1).otherwise(0)).alias("synthetic")
-    ),
+    _augment,
     o.sql(
         """SELECT error_hash, worked, greatest(50, count(*)) AS n, greatest(0, 50 - count(*)) AS synthetic FROM t_points GROUP BY error_hash, worked""",
         "t_points",

@@ -1,6 +1,7 @@
 """Training points summed up before they meet, against the pairs one by one."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -71,3 +72,16 @@ def test_net_takes_weights_and_its_gradient_is_right(tables):
     keys = groups.groupBy(*sc.FEATURE_NAMES).agg(F.sum("weight").alias("n"), (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("r"))
     least = sum(-r["n"] * (q * np.log(q) if q else 0) for r in keys.collect() for q in (r["r"], 1 - r["r"])) / groups.agg(F.sum("weight")).first()[0]
     assert least <= loss + 1e-9 and loss < least + 0.01
+
+
+def test_only_small_groups_are_filled_up_row_by_row(tables, monkeypatch):
+    from faultmatch.queries import learning
+
+    keys, whole = ["error_hash", "worked"], cl.augment
+    given = SimpleNamespace(kb_texts=tables[0], feedback=tables[1].filter("solution_hash = 'h1' or feedback_id < 120"))
+    points = learning.points(given)
+    wanted = whole(points, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("synthetic").cast("long")).alias("synthetic"))
+    sizes = []
+    monkeypatch.setattr(cl, "augment", lambda rows, k: sizes.append(rows.groupBy(*k).count().agg(F.max("count")).first()[0]) or whole(rows, k))
+    assert sorted(map(tuple, learning._augment(given).collect())) == sorted(map(tuple, wanted.collect()))
+    assert sizes[0] < 50 <= points.groupBy(*keys).count().agg(F.max("count")).first()[0]
