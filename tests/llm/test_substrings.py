@@ -67,3 +67,12 @@ def test_texts_are_shuffled_once(spark, frame, monkeypatch):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+def test_edges_of_one_number_are_told_apart(spark, frame, given, monkeypatch):
+    """Numbers of 3 bits make nearly all windows alike; the words still decide, across stretches and inside them."""
+    monkeypatch.setattr(substrings, "EDGE_BITS", 3)
+    rows = [(r.doc_id, (r.text or "")[:900]) for r in given("documents")][:120]
+    for size in (1000, 7):
+        monkeypatch.setattr(substrings, "STRETCH", size)
+        assert sorted(map(tuple, substrings.op10(frame(rows)).collect()), key=str) == plain(rows)
