@@ -30,3 +30,16 @@ def test_bucket_products_are_those_of_all_pairs(spark, block_rows):
     plain = ve.top_k(pairs, ["query_id"], [score.desc(), F.col("error_hash"), F.col("kb_id")], 3, "rank")
     a, b = (sorted((r["query_id"], r["rank"], r["kb_id"], round(r["similarity"], 9)) for r in d.collect()) for d in (found, plain))
     assert a == b and len(a) > 72
+
+
+def test_gram_counts_are_of_code_points(spark):
+    texts = ["Disk failed", "disk\nfailed", "a\U0001f600b\U0001f600a\U0001f600b", "ab", "", None, "\u0130stanbul"]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    rows = rows.select(F.lower("a").alias("a"), F.lower("b").alias("b")).withColumn("both", sim.ngram_overlap("a", "b")).withColumn("share", sim.ngram_similarity("a", "b"))
+    for r in rows.collect():
+        if r["a"] is None or r["b"] is None:
+            assert (r["both"]["shared"], r["both"]["joint"], r["share"]) == (None, None, 0.0)
+            continue
+        g, h = ({t[i : i + 3] for i in range(len(t) - 2)} for t in (r["a"], r["b"]))
+        assert (r["both"]["shared"], r["both"]["joint"]) == (len(g & h), len(g | h))
+        assert r["share"] == (len(g & h) / len(g | h) if g | h else 0.0)
