@@ -1,7 +1,7 @@
 """Clusters of error features: nearest centre, radius, anomalies, summaries, recommendations.
 
-A model is a handful of centres.  Their number is a parameter, so they travel as
-literals and every distance is a plain column expression.
+A model is a handful of centres.  Their number is a parameter, so they travel with
+the function that looks for the nearest one, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultmatch import fixed_values as fv
@@ -38,30 +40,25 @@ def category_centres(rows: DataFrame, category: str = "category") -> Centres:
 
 
 def assign(rows: DataFrame, centres: Centres) -> DataFrame:
-    """Nearest centre, its distance and its radius; ties go to the lower id."""
-    model = F.array(
-        *[
-            F.struct(F.array(*[F.lit(float(x)) for x in p]).alias("point"), F.lit(i).alias("id"), F.lit(r).alias("radius"))
-            for i, p, r in zip(centres.ids, centres.points, centres.radii)
-        ]
-    )
+    """Nearest centre, its distance and its radius; ties go to the lower id.
 
-    def distance(x: Column, point: Column) -> Column:
-        squares = F.zip_with(x, point, lambda a, b: (a - b) * (a - b))
-        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, d: total + d))
-
-    def nearest(x: Column) -> Column:
-        options = F.transform(
-            model,
-            lambda c: F.struct(distance(x, c["point"]).alias("d"), c["id"].alias("id"), c["radius"].alias("radius")),
-        )
-        return F.array_min(options)
-
-    # binding the features to one lambda variable keeps them from being repeated per centre
-    bound = F.transform(F.array(F.array(*[F.col(n) for n in sc.FEATURE_NAMES])), nearest)
-    return rows.withColumn("_nearest", bound[0]).select(
+    Squares are summed up feature by feature, a batch of rows at a time; a row without a feature has no distance.
+    """
+    ids, points, radii = np.array(centres.ids), np.array(centres.points, dtype=float), np.array(centres.radii)
+
+    @F.pandas_udf("id int, d double, radius double")
+    def nearest(x: pd.DataFrame) -> pd.DataFrame:
+        columns = [x[n].to_numpy(dtype=float) for n in x.columns]
+        squares = np.zeros((len(points), len(x)))
+        for i, column in enumerate(columns):
+            squares += (column - points[:, i : i + 1]) ** 2
+        first = squares.argmin(axis=0)
+        return pd.DataFrame({"id": ids[first], "d": np.sqrt(squares[first, np.arange(len(x))]), "radius": radii[first]})
+
+    return rows.withColumn("_nearest", nearest(F.struct(*[F.col(n) for n in sc.FEATURE_NAMES]))).select(
         *rows.columns,
-        F.col("_nearest.id").alias("cluster"),
+        # never null, and says so: joins on it need not look for the centre once more to leave out nulls
+        F.coalesce("_nearest.id", F.lit(centres.ids[0])).alias("cluster"),
         F.col("_nearest.d").alias("distance"),
         F.col("_nearest.radius").alias("radius"),
     )

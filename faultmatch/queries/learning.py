@@ -34,8 +34,10 @@ def kb_points(f):
 
 
 def centres(f):
-    """Fixed centres: the mean features of each category of the knowledge base."""
-    return cl.category_centres(kb_points(f))
+    """Fixed centres: the mean features of each category of the knowledge base, worked out once per run."""
+    if not hasattr(f, "_centres"):
+        f._centres = cl.category_centres(kb_points(f))
+    return f._centres
 
 
 def assigned_queries(f):

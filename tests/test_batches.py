@@ -9,6 +9,24 @@ from faultmatch.functions import scoring as sc, similarity as sim, text as tx
 from faultmatch.operators import clusters as cl, net as nt, vectors as ve
 
 
+def test_nearest_centre_is_never_null_and_that_of_the_first_of_equals(spark):
+    width = len(sc.FEATURE_NAMES)
+    centres = cl.Centres([3, 5, 8], [[0.0] * width, [4.0] * width, [4.0] * width])
+    points = [[0.5] * width, [2.0] * width, [4.0] * width, [None] + [4.0] * (width - 1)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, " + ", ".join(f"{n} double" for n in sc.FEATURE_NAMES))
+    near = cl.assign(rows, centres)
+    assert not near.schema["cluster"].nullable
+    found = [(r["cluster"], r["distance"]) for r in near.orderBy("i").collect()]
+    assert [c for c, _ in found] == [3, 3, 5, 3]
+    assert [d for _, d in found] == [pytest.approx(0.5 * width**0.5), pytest.approx(2 * width**0.5), 0.0, None]
+
+
+def test_fixed_centres_are_worked_out_once(fixtures):
+    from faultmatch.queries import learning
+
+    assert learning.centres(fixtures) is learning.centres(fixtures)
+
+
 @pytest.mark.parametrize("block_rows", [7, 32768])
 def test_bucket_products_are_those_of_all_pairs(spark, block_rows):
     rng = np.random.default_rng(1)
