@@ -13,6 +13,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Points that make a task worth its start, and as many as one should hold at most.
+TASK_POINTS, MOST_POINTS = 20_000, 500_000
 #: Pairs of steps that are kept, relative gain over so many steps below which it ends, smallest step.
 MEMORY, GAIN, LEAST_STEP = 10, 1e-6, 1e-10
 
@@ -112,6 +114,11 @@ def minimise(value_of: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.n
     return w
 
 
+def tasks_for(n: int, cores: int) -> int:
+    """Tasks of a step over ``n`` points: every step starts them anew, so no more than cores, unless they would hold too much."""
+    return max(1, min(cores, -(-n // TASK_POINTS)), -(-n // MOST_POINTS))
+
+
 def fit(points: DataFrame, features: list[str], layers: list[int], mean: np.ndarray, deviation: np.ndarray, seed: int, steps: int) -> Net:
     """Train on ``features``, ``label`` and ``weight`` of all points. Tasks keep them as blocks; a step sends one gradient from each task."""
     rng = np.random.default_rng(seed)
@@ -128,10 +135,11 @@ def fit(points: DataFrame, features: list[str], layers: list[int], mean: np.ndar
             parts = [np.ascontiguousarray(p, dtype=np.float64).tobytes() for p in (x, *columns[width:])]
             yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.binary()) for p in parts], names=["x", "label", "weight"])
 
-    rows = points.select(*features, F.col("label").cast("double"), F.col("weight").cast("double"))
+    n, total = points.agg(F.count("*"), F.sum("weight")).first()
+    total = total or 1.0
+    rows = points.select(*features, F.col("label").cast("double"), F.col("weight").cast("double")).coalesce(tasks_for(n, points.sparkSession.sparkContext.defaultParallelism))
     blocks = rows.mapInArrow(block, "x binary, label binary, weight binary").persist()
     try:
-        total = points.agg(F.sum("weight")).first()[0] or 1.0
 
         def value_of(w: np.ndarray) -> tuple[float, np.ndarray]:
             def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

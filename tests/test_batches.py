@@ -61,3 +61,17 @@ def test_gram_counts_are_of_code_points(spark):
         g, h = ({t[i : i + 3] for i in range(len(t) - 2)} for t in (r["a"], r["b"]))
         assert (r["both"]["shared"], r["both"]["joint"]) == (len(g & h), len(g | h))
         assert r["share"] == (len(g & h) / len(g | h) if g | h else 0.0)
+
+
+def test_a_step_of_the_net_starts_few_tasks(spark):
+    assert [nt.tasks_for(n, 12) for n in (0, 1, 20_001, 10**6, 6 * 10**6, 10**8)] == [1, 1, 2, 12, 12, 200]
+    points = spark.range(0, 400, 1, 40).select(
+        (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 > 3).cast("double").alias("label"), F.lit(1.0).alias("weight")
+    )
+    group = spark.sparkContext
+    group.setJobGroup("net", "net")
+    nt.fit(points, ["x"], [1, 2, 2], np.array([3.0]), np.array([2.0]), 1, 3)
+    tracker = group.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("net") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numTasks == 1 for s in stages if s) >= 3 and sum(s.numTasks == 40 for s in stages if s) <= 2
+    group.setLocalProperty("spark.jobGroup.id", None)
