@@ -63,6 +63,23 @@ def test_gram_counts_are_of_code_points(spark):
         assert r["share"] == (len(g & h) / len(g | h) if g | h else 0.0)
 
 
+def test_rewrites_that_are_passed_over_would_have_found_nothing(spark):
+    pieces = [
+        "Exec [dbo].[p x] now", "execute  sp_help", "EXEC a.b", "c:\\temp\\x y.log", "corp\\ann.b$ ", "Login failed for user  'x y'", "ops@corp.example.com",
+        "123e4567-e89b-12d3-a456-426614174000", "12 x34 5", "\u0663\u0664 \u00e9t\u00e9 \u01c5", "a\u00a0 b\u2003c\t\td\r\ne", "_-_ \u200d -- 7", "\U0001f600!", "  ", "",
+    ]
+    texts = pieces + [a + s + b for a in pieces for b in pieces for s in (" ", "", "\u3000")]
+    out = F.lower("t")
+    for pattern, replacement in fv.NORMALIZE_REWRITES:
+        out = F.regexp_replace(out, "(?U)" + pattern, replacement)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.filter(tx.normalize("t") != F.trim(out)).collect() == []
+    assert not rows.select(tx.normalize("t").alias("n")).schema["n"].nullable
+    assert set(tx.REWRITE_NEEDS) | set(tx.REWRITE_FORMS) == {p for p, _ in fv.NORMALIZE_REWRITES}
+    marks = F.length(F.regexp_replace("t", r"(?U)[\p{L}\p{Nd}\s]", ""))
+    assert rows.filter(sc.special_chars("t") != marks).count() == 0
+
+
 def test_a_step_of_the_net_starts_few_tasks(spark):
     assert [nt.tasks_for(n, 12) for n in (0, 1, 20_001, 10**6, 6 * 10**6, 10**8)] == [1, 1, 2, 12, 12, 200]
     points = spark.range(0, 400, 1, 40).select(
