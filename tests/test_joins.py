@@ -141,6 +141,16 @@ def test_bucket_candidates_equal_or_join(spark, fixtures):
     assert got == {(x, y) for x, bx in a for y, by in b if any(p == s for p, s in zip(bx, by))}
 
 
+def test_all_bucket_candidates_are_numbered_without_moving_pairs(spark, fixtures):
+    q = fixtures.embeddings.select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+    kb = fixtures.kb.filter(F.col("embedding").isNotNull()).withColumn("confidence_score", F.expr("nullif(round(confidence_score, 1), 0.5D)"))
+    got = ve.bucket_candidates(q, kb, block_rows=7)
+    want = ve.bucket_candidates(q, kb, 10_000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "WindowExec" not in plan and "row_number" not in plan
+
+
 def test_running_sums_equal_one_window(spark):
     rows = [("hot" if i % 3 else f"k{i % 5}", i * 7 % 101, i) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, t int, id int")
