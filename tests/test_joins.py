@@ -151,6 +151,13 @@ def test_all_bucket_candidates_are_numbered_without_moving_pairs(spark, fixtures
     assert "WindowExec" not in plan and "row_number" not in plan
 
 
+def test_texts_are_not_worked_out_below_the_spread(spark, fixtures):
+    texts = fixtures.incoming.filter("raw_text <> ''").select("query_id", F.lower("raw_text").alias("needle"))
+    hits = ca.containing(texts, fixtures.kb_texts, [F.col("kb_id")], None)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter isnotnull(" in line and "sha2(" in line]
+
+
 def test_running_sums_equal_one_window(spark):
     rows = [("hot" if i % 3 else f"k{i % 5}", i * 7 % 101, i) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, t int, id int")
