@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from faultmatch.llm.common import per_batch, ready, texts_of
 from faultmatch.llm.tokens import byte_letters
 
-#: Pieces and token pairs that a task remembers. Beyond, it forgets all and starts anew.
+#: Pieces and token pairs that a worker remembers. Beyond, it forgets all and starts anew.
 KEPT = 600_000
 #: Longer pieces are not remembered.
 KEPT_LENGTH = 48
@@ -137,6 +138,12 @@ class BytePairs(dict):
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@functools.cache
+def byte_pairs(path: str) -> BytePairs:
+    """The coder of a Python worker: its tasks share the vocabulary and the pieces met."""
+    return BytePairs(path)
+
+
 def _columns(docs: DataFrame, id_col: str, col: str) -> DataFrame:
     ready(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(col))
@@ -150,7 +157,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        coder = BytePairs(vocabulary)
+        coder = byte_pairs(vocabulary)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [coder.encode(t).astype(np.int32) for t in texts_of(batch.column(1))]
@@ -165,7 +172,7 @@ def decode(coded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: s
     """``doc_id, text`` of token ids; special tokens give their text, null ids the empty text."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        coder = BytePairs(vocabulary)
+        coder = byte_pairs(vocabulary)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [coder.decode(np.array(ids or [], dtype="<u4")) for ids in batch.column(1).to_pylist()]
@@ -180,7 +187,7 @@ def op3(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Digests of the ids and of the text decoded from them, taken where the ids are made."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        coder = BytePairs(vocabulary)
+        coder = byte_pairs(vocabulary)
         names = {n: str(n) for n in coder.bytes_of}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

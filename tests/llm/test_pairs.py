@@ -44,3 +44,10 @@ def test_odd_rows(spark, frame):
 @draw(st.one_of(st.text(max_size=30), st.text(alphabet="abehint '\né–1", max_size=40)))
 def test_any_text(text):
     assert CODER.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_tasks_of_a_worker_share_the_pieces_met():
+    coder = pairs.byte_pairs(PATH)
+    coder.encode("a piece met")
+    assert " piece" in pairs.byte_pairs(PATH)
+    assert coder.encode("a piece met").tolist() == LIBRARY.encode("a piece met", add_special_tokens=False).ids
