@@ -22,13 +22,14 @@ need no word at all to win go to ``loose``, which proposes their rows otherwise.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultmatch.functions import similarity as sim
-from faultmatch.operators import candidates as ca, ngram_join as ng
+from faultmatch.operators import candidates as ca
 from faultmatch.operators.ranking import top_k
 from faultmatch.session import cut
 
@@ -39,6 +40,8 @@ LEVEL = 0.05
 #: Values of an equal word and, at most, of a word that is only alike.
 EQUAL, ALIKE = 0.9, 0.7
 EPSILON = 1e-6
+#: 64-bit words of the bitmap of a text's words, a power of 2.
+WORD_BITS = 2
 
 
 @dataclass(frozen=True)
@@ -79,52 +82,72 @@ def classes(rows: DataFrame, fields: tuple[Field, ...], order: list[Column]) ->
     one = top_k(rows.filter(F.coalesce(*names).isNotNull()), [*names, "bonus"], order, 1)
     words = {f"words_{n}": F.array_distinct(sim.long_words(F.coalesce(F.col(n), F.lit("")))) for n in names}
     out = one.withColumns({f"low_{n}": F.lower(n) for n in names}).withColumns(words)
-    out = out.withColumns({f"grams_{f.name}": sim.ngrams(f.name) for f in fields if f.grams})
+    out = out.withColumns({f"_t_{f.name}": sim.trigram_numbers(f"low_{f.name}") for f in fields if f.grams})
     for f in fields:
         if f.grams:
-            out = out.withColumns({f"n_{f.name}": F.size(f"grams_{f.name}")} | {f"bits_{f.name}_{w}": ng.parity_bits(w, f"grams_{f.name}") for w in range(ng.WORDS)})
+            numbers = f"_t_{f.name}"
+            bits = {f"bits_{f.name}_{w}": F.col(f"{numbers}.b{w}") for w in range(sim.BITMAP)}
+            out = out.withColumns({f"grams_{f.name}": F.col(f"{numbers}.codes"), f"n_{f.name}": F.size(f"{numbers}.codes")} | bits).drop(numbers)
     level = F.ceil(F.col("bonus") / LEVEL - EPSILON).cast("int")
     out = out.withColumn("words", F.array_distinct(F.concat(*words))).withColumn("level", level)
-    return cut(out.withColumn("ids", F.transform("words", lambda w: F.xxhash64(w))))
+    out = out.withColumn("ids", F.transform("words", lambda w: F.xxhash64(w)))
+    return cut(out.withColumns(_word_bits("words", "ids")))
 
 
 def prepared(texts: DataFrame) -> DataFrame:
     """Texts (``text_id``, ``text``) with their words, grams and expansions."""
-    out = texts.withColumns({
-        "low": F.lower("text"), "q_words": sim.long_words("text"), "q_grams": sim.ngrams("text"), "q_terms": sim.expand("text"),
-    })
+    out = texts.withColumns({"low": F.lower("text"), "q_words": sim.long_words("text"), "q_terms": sim.expand("text")})
+    out = out.withColumn("_t", sim.trigram_numbers("low")).withColumn("q_grams", F.col("_t.codes"))
     return out.withColumns({
         "n": F.greatest(F.lit(1), F.size("q_words")), "q_ids": F.array_distinct(F.transform("q_words", lambda w: F.xxhash64(w))),
         # without synonyms only a row that holds the text has a term of it
-        "q_bonus": F.when(F.size("q_terms") > 1, 0.5).otherwise(0.0), "q_n": F.size("q_grams"), **{f"q_bits_{w}": ng.parity_bits(w, "q_grams") for w in range(ng.WORDS)},
-    })
+        "q_bonus": F.when(F.size("q_terms") > 1, 0.5).otherwise(0.0), "q_n": F.size("q_grams"), **{f"q_bits_{w}": F.col(f"_t.b{w}") for w in range(sim.BITMAP)},
+    }).drop("_t").withColumn("q_m", F.size("q_ids")).withColumns(_word_bits("q_words", "q_ids"))
 
 
-ASKING = ["text_id", "n", "q_ids", "q_bonus", "slack", "q_n", *[f"q_bits_{w}" for w in range(ng.WORDS)]]
+ASKING = ["text_id", "n", "q_m", "q_bonus", "slack", "q_n", *[f"q_bits_{w}" for w in range(sim.BITMAP)], *[f"q_words_{w}" for w in range(WORD_BITS)]]
+
+
+def _word_bits(prefix: str, ids: str) -> dict[str, Column]:
+    """A bitmap in which every word sets one bit."""
+    return {
+        f"{prefix}_{w}": F.expr(f"aggregate(filter({ids}, x -> (x & {64 * (WORD_BITS - 1)}) = {64 * w}), 0L, (b, x) -> b | shiftleft(1L, cast(x & 63 AS int)))")
+        for w in range(WORD_BITS)
+    }
 
 
 def _offered(score: Score) -> list[str]:
     """Columns of the rows that the bound of a pair needs."""
-    parts = [[f"n_{f.name}", *[f"bits_{f.name}_{w}" for w in range(ng.WORDS)]] for f in score.fields if f.grams]
-    return ["kb_id", "level", "bonus", "ids", *[c for part in parts for c in part]]
+    parts = [[f"n_{f.name}", *[f"bits_{f.name}_{w}" for w in range(sim.BITMAP)]] for f in score.fields if f.grams]
+    return ["kb_id", "level", "bonus", "ids", *[f"words_{w}" for w in range(WORD_BITS)], *[c for part in parts for c in part]]
+
+
+def _fuzzy_most(common: Column) -> Column:
+    """An upper bound of the fuzzy part of a pair with so many common words whose row does not hold the text."""
+    return F.least(F.lit(1.0), (common * EQUAL + F.col("slack") + F.col("q_bonus")) / F.col("n"))
 
 
 def _most(score: Score) -> Column:
-    """An upper bound of the score of a pair whose row does not hold the text.
+    """An upper bound of the score of a pair whose row does not hold the text, from bitmaps.
 
-    Different words with one number only raise it.  Bitmaps of two sets of grams
-    differ in at most as many bits as the sets have unshared grams.
+    Of the words behind a bit that only the text has, at least one is not the row's; different words with one bit only raise
+    the bound.  Bitmaps of two sets of grams differ in at most as many bits as the sets have unshared grams.
     """
-    words = F.size(F.array_intersect("q_ids", "ids")) * EQUAL + F.col("slack") + F.col("q_bonus")
-    total = F.least(F.lit(1.0), words / F.col("n")) * score.fuzzy + F.col("bonus")
+    apart = sum((F.bit_count(F.col(f"q_words_{w}").bitwiseAND(F.bitwise_not(F.col(f"words_{w}")))) for w in range(WORD_BITS)), F.lit(0))
+    total = _fuzzy_most(F.col("q_m") - apart) * score.fuzzy + F.col("bonus")
     for f in score.fields:
         if f.grams:
-            apart = sum((F.bit_count(F.col(f"q_bits_{w}").bitwiseXOR(F.col(f"bits_{f.name}_{w}"))) for w in range(ng.WORDS)), F.lit(0))
+            apart = sum((F.bit_count(F.col(f"q_bits_{w}").bitwiseXOR(F.col(f"bits_{f.name}_{w}"))) for w in range(sim.BITMAP)), F.lit(0))
             both = F.col("q_n") + F.col(f"n_{f.name}")
             total = total + F.when((F.col("q_n") > 0) & (F.col(f"n_{f.name}") > 0), (both - apart) / (both + apart)).otherwise(0.0) * f.grams
     return total + EPSILON
 
 
+def _may_win(score: Score) -> Column:
+    """Whether a pair whose row does not hold the text can reach the text's ``bound``. Lists of words are not looked at, which would cost far more."""
+    return _most(score) >= F.col("bound") - EPSILON
+
+
 def likeness(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """``word, target, value, df``: words of texts, the row words they are equal or alike to, and how many rows have these."""
     frequency = rows.select(F.explode("words").alias("target")).groupBy("target").agg(F.count("*").alias("df"))
@@ -148,10 +171,19 @@ def _holds_any(low: Column, terms: str) -> Column:
 
 
 def scored(pairs: DataFrame, texts: DataFrame, rows: DataFrame, score: Score) -> DataFrame:
-    """Pairs (``text_id``, ``kb_id``) that are allowed, with their score."""
+    """Pairs (``text_id``, ``kb_id``) that are allowed, with their score.
+
+    Where texts have a ``bound``, pairs are left out that cannot reach it with their common words and the overlap they have;
+    words are compared one by one only for the others.
+    """
     both = pairs.join(texts, "text_id").join(rows, "kb_id")
     total = F.col("bonus")
     parts = {}
+    if "bound" in texts.columns:
+        overlaps = sum((sim.jaccard("q_grams", f"grams_{f.name}") * f.grams for f in score.fields if f.grams), F.col("bonus"))
+        holds = functools.reduce(Column.__or__, [F.coalesce(F.contains(f"low_{f.name}", "low"), F.lit(False)) for f in score.fields])
+        words = _fuzzy_most(F.size(F.array_intersect("q_ids", "ids"))) * score.fuzzy
+        both = both.filter((words + overlaps >= F.col("bound") - EPSILON) | holds)
     for f in score.fields:
         low, name = F.col(f"low_{f.name}"), f.name
         bonus = F.when(_holds_any(low, "q_terms"), 0.5).otherwise(0.0)
@@ -222,6 +254,8 @@ def best_match(
     offers = rows.select(F.explode("words").alias("target"), *_offered(score))
     heads = top_k(offers, ["target"], [F.col("bonus").desc(), F.col("kb_id")], SEED_ROWS)
     first = ordered.filter(F.col("place") < SEED_WORDS).select("text_id", "word").join(targets, "word").join(texts.select(ASKING), "text_id")
+    # few bytes, but each row meets many: not left to a few tasks
+    first = first.repartition(2 * first.sparkSession.sparkContext.defaultParallelism)
     promising = first.join(heads, "target").select("text_id", "kb_id", F.round(_most(score), 6).alias("most")).distinct()
     seeds = top_k(promising, ["text_id"], [F.col("most").desc(), F.col("kb_id")], SEEDS).select("text_id", "kb_id")
     known = cut(scored(seeds, texts, rows, score))
@@ -236,7 +270,7 @@ def best_match(
     needed = needed.withColumn("sum", F.col("need") * F.col("n") - F.col("q_bonus"))
     reach = ordered.join(needed, "text_id").filter(F.col("rest") >= F.col("sum")).select("text_id", "level", "word")
     met = reach.join(targets, "word").join(asked.select(*ASKING, "bound"), "text_id").join(offers, ["target", "level"])
-    met = met.filter(_most(score) >= F.col("bound") - EPSILON).select("text_id", "kb_id")
+    met = met.filter(_may_win(score)).select("text_id", "kb_id")
 
     # rows that hold the text have the full fuzzy part whatever their words
     whole = asked.join(_inner_word(asked, table), "text_id").select("text_id", "low", F.col("word").alias("target"))
@@ -250,7 +284,11 @@ def best_match(
     open_texts = cut(asked.join(open_texts, "text_id", "left_semi"))
     pairs = met.unionByName(holding)
     if not open_texts.isEmpty():
-        pairs = pairs.unionByName(loose(open_texts, rows))
+        # ``holding`` has the rows that hold the text, but for fragments
+        fragments = without_inner_word(open_texts).select("text_id", F.lit(True).alias("fragment"))
+        proposed = loose(open_texts, rows).join(asked.select(*ASKING, "bound").join(fragments, "text_id", "left"), "text_id")
+        proposed = proposed.join(rows.select(_offered(score)), "kb_id").filter(_may_win(score) | F.col("fragment").isNotNull())
+        pairs = pairs.unionByName(proposed.select("text_id", "kb_id"))
     pairs = pairs.distinct().join(known.select("text_id", "kb_id"), ["text_id", "kb_id"], "left_anti")
     found = known.unionByName(scored(pairs, asked, rows, score)).filter(F.col("score") > score.minimum)
     names = [c for c in rows.columns if c not in found.columns]

@@ -57,15 +57,18 @@ def exact_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
     )
 
 
-def _texts(queries: DataFrame, column: str) -> DataFrame:
-    """``text_id, text``: distinct texts of a column, named by a query that has them."""
-    return queries.groupBy(F.col(column).alias("text")).agg(F.min("query_id").alias("text_id")).filter(F.col("text").isNotNull())
+def _texts(queries: DataFrame, column: str, **more: Column) -> DataFrame:
+    """``text_id, text``: distinct texts of a column, numbered, and what ``more`` says of each.
+
+    They are cut, so that a condition on ``more`` is neither moved below the distinct texts nor asked of the queries they are joined to.
+    """
+    texts = queries.select(F.col(column).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    return cut(texts.withColumn("text_id", F.monotonically_increasing_id()).withColumns(more))
 
 
-def _with_keywords(texts: DataFrame) -> DataFrame:
-    """Texts that have keywords, their own or those of their synonyms."""
-    keywords = tx.tokens(F.array_join(sim.expand("text"), " "))
-    return texts.withColumn("tokens", keywords).filter(F.size("tokens") > 0)
+def _with_keywords(queries: DataFrame, column: str) -> DataFrame:
+    """Distinct texts that have keywords, their own or those of their synonyms."""
+    return _texts(queries, column, tokens=tx.tokens(F.array_join(sim.expand("text"), " "))).filter(F.size("tokens") > 0)
 
 
 def _has_keyword(column: str) -> Column:
@@ -84,16 +87,16 @@ def _rows_with_keywords(column: str) -> Callable[[DataFrame, DataFrame], DataFra
 
 def _answers(queries: DataFrame, column: str, texts: DataFrame, best: DataFrame, kb: DataFrame) -> DataFrame:
     """Best rows of texts, handed to every query that has the text."""
-    found = texts.select("text_id", F.col("text").alias(column)).join(best, "text_id")
+    found = cut(texts.select("text_id", F.col("text").alias(column)).join(best, "text_id"))
     rows = kb.select("kb_id", "error_hash", "resolution_steps", "success_rate", "feedback_count").join(
-        best.select("kb_id").distinct(), "kb_id", "left_semi"
+        found.select("kb_id").distinct(), "kb_id", "left_semi"
     )
     return queries.select("query_id", column).join(found.join(rows, "kb_id"), column)
 
 
 def keyword_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
     """Best combined score above 0.4 among all rows whose signature holds a keyword of any expansion; ties by rate."""
-    texts = _with_keywords(_texts(queries, "signature"))
+    texts = _with_keywords(queries, "signature")
     rows = kb.select(
         "kb_id", "error_hash", "error_signature", "error_text", "raw_rate", "created_at",
         F.when(F.col("success_rate") > 0.7, 0.2).otherwise(0.0).alias("bonus"),
@@ -108,7 +111,7 @@ def keyword_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
 
 def fuzzy_match(queries: DataFrame, kb: DataFrame) -> DataFrame:
     """Best mixed text and signature similarity above 0.5 among all rows whose text holds a keyword; ties by age."""
-    texts = _with_keywords(_texts(queries, "clean_text"))
+    texts = _with_keywords(queries, "clean_text")
     rows = kb.select(
         "kb_id", "error_hash", "error_signature", "error_text", "created_at",
         (F.col("success_rate") * F.least(F.lit(1.0), F.col("feedback_count") / 10.0) * 0.2).alias("bonus"),

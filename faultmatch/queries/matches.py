@@ -9,6 +9,7 @@ from faultmatch.queries import oracle as o
 from faultmatch.queries.base import register
 from faultmatch.queries.reports import BY_RATE
 from faultmatch.queries.scores import LEVELS, guidance_sql, modifiers_sql, unified_sql
+from faultmatch.session import cut
 
 COLS = "query_id, source, error_hash, steps_text, confidence, success_rate, feedback_count, has_conflicts, version"
 ROUNDED = (
@@ -22,6 +23,12 @@ def rated(f):
     return fb.with_stats(f.kb_texts, f.feedback)
 
 
+def rated_once(f):
+    """The rated rows for a query that reads them several times; signatures and hashes are worked out once for them and the feedback."""
+    f.hold("kb_texts")
+    return f.once("rated", lambda: cut(rated(f)))
+
+
 def asked(f):
     """Every incoming row as a query, unchecked."""
     return f.queries.withColumn("clean_text", F.col("raw_text")).select(
@@ -29,6 +36,11 @@ def asked(f):
     )
 
 
+def asked_texts(f):
+    """The queries' texts alone, worked out once."""
+    return f.once("asked_texts", lambda: cut(asked(f).select("query_id", "clean_text")))
+
+
 def kb_vectors(f):
     return f.embeddings.select(F.col("vec_id").cast("string").alias("kb_id"), "embedding")
 
@@ -191,7 +203,7 @@ def layer(n):
 
 register("m1_exact_match", lambda f: show(mt.exact_match(asked(f), rated(f))), layer(1))
 register("m2_keyword_match", lambda f: show(mt.keyword_match(asked(f), rated(f))), layer(2))
-register("m3_fuzzy_match", lambda f: show(mt.fuzzy_match(asked(f), rated(f))), layer(3))
+register("m3_fuzzy_match", lambda f: show(mt.fuzzy_match(asked_texts(f), rated_once(f))), layer(3))
 
 
 def with_vectors(f):
