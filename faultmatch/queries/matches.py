@@ -266,10 +266,13 @@ register(
 
 
 def checked(f):
-    return audit.validate(f.incoming, f.security_log)
+    """Incoming rows with their verdicts, worked out once for all steps that read them."""
+    f.hold("incoming")
+    return f.once("checked", lambda: cut(audit.validate(f.incoming, f.security_log)))
 
 
 def cascaded(f, learned=None):
+    f.hold("kb_texts")
     return mt.cascade(checked(f), f.kb_texts, kb_vectors(f), f.feedback, f.patterns, query_vectors(f), learned)
 
 

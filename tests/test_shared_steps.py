@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from conftest import SF
 from faultmatch.functions import similarity as sim
-from faultmatch.operators import best_match as bm
+from faultmatch.operators import audit, best_match as bm
 from faultmatch.plans import matching as mt
 from test_best_match import asked, knowledge, overlap
 
@@ -34,6 +36,14 @@ def test_keywords_are_found_once_for_equal_texts(spark):
     assert answers.count() == 50
 
 
+def test_a_report_judges_its_input_once(spark, monkeypatch):
+    calls = []
+    plain = audit.validate
+    monkeypatch.setattr(audit, "validate", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    entry.queries()["m20_report"](spark, SF)
+    assert len(calls) == 1
+
+
 def test_trigrams_as_numbers_are_those_of_the_text(spark):
     rows = [(0, "abcabc"), (1, "ab"), (2, ""), (3, None), (4, "naïve 你好吗 x"), (5, "page page page")]
     df = spark.createDataFrame(rows, "id int, text string").withColumn("t", sim.trigram_numbers("text"))
